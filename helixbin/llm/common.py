@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 #: Bytes of text that a Python worker turns into numpy arrays at a time; one longer text is a chunk of its own.
 CHUNK_BYTES = 4 << 20
@@ -44,6 +45,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most_rows: int = 20000) -> DataFrame:
+    """A materialized table, hinted for broadcast if its counted rows are few; otherwise as it is, for a shuffled join."""
+    return broadcast(df) if df.count() <= most_rows else df
+
+
 def byte_chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Rows lo to hi of a string column as (lo, hi, bytes, offsets): text i of the chunk is bytes[offsets[i]:offsets[i + 1]]; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbin.llm.common import byte_chunks, materialize, sums_between
+from helixbin.llm.common import broadcast_if_small, byte_chunks, materialize, sums_between
 
 #: Fewest words of a document, and largest share of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
@@ -191,6 +191,7 @@ def fit(rows: DataFrame) -> DataFrame:
     p = len(STATS)
     eye = F.array(*(F.lit(1.0 / floors[i] if i == j else 0.0) for i in range(p) for j in range(p)))
     params = start.select("g", F.array(*(F.col(f"m{i}") for i in range(p))).alias("centre"), eye.alias("matrix"))
+    params = broadcast_if_small(materialize(params))
     by_bin = Window.partitionBy("g").orderBy("bin")
     for _ in range(STEPS):
         near = rows.join(params, "g").withColumn("bin", F.least(F.greatest((BIN_PER_E * F.log(_distance2() + 1e-6) + BINS / 2).cast("int"), F.lit(0)), F.lit(BINS - 1)))
@@ -199,7 +200,7 @@ def fit(rows: DataFrame) -> DataFrame:
         total = F.sum("n").over(Window.partitionBy("g"))
         cum = bins.select("g", "bin", F.sum("n").over(by_bin).alias("n"), run("s", p).alias("s"), run("c", len(_pairs())).alias("c"), total.alias("total"))
         nearest = cum.where(F.col("n") >= SUPPORT * F.col("total")).groupBy("g").agg(F.min_by(F.struct("n", "s", "c"), "bin").alias("v")).select("g", "v.*")
-        params = materialize(_estimate(nearest))
+        params = broadcast_if_small(materialize(_estimate(nearest)))
     return params
 
 

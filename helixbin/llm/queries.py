@@ -7,18 +7,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbin.llm import quality
+from helixbin.llm import licenses, mixing, quality, urls, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.planned(_read(spark, sf_dir, "documents"))
+    first = F.get("copies", F.lit(0))["position"].alias("first_position")
+    return plan.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(_read(spark, sf_dir, "documents"), ["doc_id"])
     counts = [F.col(f"q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return rows.select("doc_id", *counts, "base_failed", "kept", "distance2")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_quality_rules,)}
-SQL: dict[str, str] = {}
+def op5_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.with_media(_read(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "m.*")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(_read(spark, sf_dir, "pages"), ["page_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op4_quality_rules, op5_lossless_webp, op6_url_filter)}
+SQL: dict[str, str] = {"op1_license_scan": licenses.sql()}
