@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbin.llm import licenses, mixing, quality, urls, webp
+from helixbin.llm import bpe, licenses, mixing, quality, urls, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +25,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken", first).orderBy("first_position", "doc_id")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.with_token_digests(_read(spark, sf_dir, "documents"), ["doc_id"], vocabulary)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.judged(_read(spark, sf_dir, "documents"), ["doc_id"])
     counts = [F.col(f"q.{k}").alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -38,5 +44,5 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_read(spark, sf_dir, "pages"), ["page_id"])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op4_quality_rules, op5_lossless_webp, op6_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter)}
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql()}
