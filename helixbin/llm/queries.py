@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbin.llm import bpe, licenses, mixing, quality, toxicity, urls, webp
+from helixbin.llm import bpe, licenses, mixing, neardup, quality, toxicity, urls, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,5 +51,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("toxic", F.col("p_toxic") >= 0.5)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op8_toxicity)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.judged(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op8_toxicity, op9_near_duplicates)}
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql()}
