@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbin.llm import bpe, licenses, lines, mixing, neardup, quality, toxicity, urls, webp
+from helixbin.llm import bpe, licenses, lines, mixing, neardup, quality, substrings, toxicity, urls, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(_read(spark, sf_dir, "pages"), ["page_id"])
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.judged(_read(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     models = toxicity.train(docs, _read(spark, sf_dir, "labels"))
@@ -60,5 +64,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda p: p.cast("string")), ",").alias("removed"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op8_toxicity, op9_near_duplicates, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op7_substring_dedup, op8_toxicity, op9_near_duplicates, op10_line_dedup)}
 SQL: dict[str, str] = {"op1_license_scan": licenses.sql()}
