@@ -31,7 +31,7 @@ def positive_pairs(frags: DataFrame, fppc: int, seed: int = 1) -> DataFrame:
     whole = counted.where(F.col("m") == fppc).select("contig", "i", "j")
     few = rows.withColumn("total", (F.col("n") - F.col("d")) * (F.col("n") - F.col("d") + 1) / 2).where((F.col("n") <= F.col("d")) | (F.col("total") < fppc))
     drawn = few.select("contig", "n", F.explode(F.sequence(F.lit(0), F.lit(fppc - 1))).alias("q"))
-    pick = lambda side: (draw(F.col("contig") * 7919 + F.col("q") * 2 + side + seed) % F.col("n")).cast("int")
+    pick = lambda side: (draw(F.pmod("contig", F.lit(MODULUS)) * 7919 + F.col("q") * 2 + side + seed) % F.col("n")).cast("int")
     return whole.unionByName(drawn.select("contig", pick(0).alias("i"), pick(1).alias("j")))
 
 
@@ -58,7 +58,7 @@ def split_test(contigs: DataFrame, ratio: float, seed: int = 1) -> DataFrame:
     """(contig, test): a share of the contigs, at least 2, by the rank of their draw; without replacement."""
     from helixbin.operators.ranking import ranked
 
-    rows = contigs.select("contig", (draw(F.col("contig") * 31 + seed) * (1 << 30) + F.col("contig")).alias("h"))
+    rows = contigs.select("contig", F.struct(draw(F.pmod("contig", F.lit(MODULUS)) * 31 + seed), "contig").alias("h"))
     total = rows.count()
     return ranked(rows, "h", "r").select("contig", (F.col("r") < max(2, int(ratio * total))).alias("test"))
 
