@@ -12,7 +12,7 @@ offsets, an anchor serves consecutive windows, and there is about one anchor in
    hashes of its windows; in a chunk, suffixes are sorted to find equal ones, and equal strings are sent once.
 3. Texts meet their repeats, and what is covered is cut out.
 
-Two 64-bit hashes must agree for windows of different chunks to count as equal; inside a chunk the bytes are compared.
+96 bits of hash must agree for windows of different chunks to count as equal, 128 for contexts; inside a chunk the bytes are compared.
 
 Defined results: null text is empty; texts under 100 bytes stay; rows of equal doc_id and text are one document and get equal
 results; a null id is later than all others; texts of 2**27 bytes or more raise ValueError; an empty table gives an empty result.
@@ -33,6 +33,8 @@ from helixbin.llm.common import byte_chunks, materialize, mix64, prefix_hashes,
 from helixbin.llm.mixing import ranked
 
 LENGTH, GRAM = 100, 32
+#: Bytes of text whose anchors are found side by side.
+SIDE_BY_SIDE = 1 << 20
 #: A byte's place in the corpus is its document's number times 2**START_BITS plus its place in the text.
 ID_BITS, START_BITS = 36, 27
 LOCAL = 1 << 20  # marks anchors that their chunk has settled
@@ -122,7 +124,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = np.asarray(batch.column(1))
-            for lo, _, data, offsets in byte_chunks(batch.column(0)):
+            for lo, _, data, offsets in byte_chunks(batch.column(0), SIDE_BY_SIDE):
                 if np.diff(offsets).max(initial=0) >> START_BITS:
                     raise ValueError(f"a text has 2**{START_BITS} bytes or more")
                 prefix = prefix_hashes(data)
@@ -191,9 +193,10 @@ def _window_hashes(texts: DataFrame, open_anchors: DataFrame) -> DataFrame:
                     cls[np.argsort(start[some], kind="stable")] = number[np.argsort(sequence, kind="stable")]
                     by = np.lexsort((g[some], cls))
                     local[some[by[1:]]] = cls[by[1:]] == cls[by[:-1]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(local, g, hh)), pa.array(w.view(np.int64)), pa.array(g), pa.array(local)], names=["h", "w", "g", "local"])
+                # 96 bits tell windows of different chunks apart: the anchor's hash sends 32 of its own
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(local, g, hh).astype(np.int64).view(np.uint64).astype(np.uint32).view(np.int32)), pa.array(w.view(np.int64)), pa.array(g), pa.array(local)], names=["h", "w", "g", "local"])
 
-    return texts.join(by_text, "rid").select("rid", "z", "a").mapInArrow(run, "h bigint, w bigint, g bigint, local boolean")
+    return texts.join(by_text, "rid").select("rid", "z", "a").mapInArrow(run, "h int, w bigint, g bigint, local boolean")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
