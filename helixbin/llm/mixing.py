@@ -116,3 +116,30 @@ def training_order(plan: DataFrame) -> DataFrame:
     """A row per copy, range-sorted by training position: the columns of the plan, with position and words for copies."""
     rest = [c for c in plan.columns if c != "copies"]
     return plan.select(*rest, F.explode("copies").alias("copy")).select(*rest, "copy.*").orderBy("position", "doc_id")
+
+
+def sql(curriculum=CURRICULUM) -> str:
+    """DuckDB SQL for op2's rows: the caps are filled in the order in which they bind."""
+    at = lambda kinds: " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(kinds))
+    times = []
+    for _, knots in curriculum:
+        sums, cases = integral(knots), ""
+        for i in range(len(knots) - 1):
+            (t0, w0), (t1, w1) = knots[i], knots[i + 1]
+            rest, slope = f"greatest(y * {sums[-1]!r} - {sums[i]!r}, 0.0)", (w1 - w0) / (t1 - t0)
+            root = f"sqrt(greatest({w0 * w0!r}::DOUBLE + {2 * slope!r}::DOUBLE * {rest}, 0.0))"
+            cases += f" WHEN y * {sums[-1]!r} <= {sums[i + 1]!r} THEN {t0!r} + 2 * {rest} / greatest({w0!r} + {root}, 1e-12)"
+        times.append(f"CASE{cases} ELSE {knots[-1][0]!r} END")
+    taken = " + ".join(f"greatest(0, least(size, demand - (start + {e} * source_size)))" for e in range(MAX_REPEATS))
+    return f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n FROM d GROUP BY source),
+k AS (SELECT source, n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(curriculum)} AS kind FROM s),
+w AS (SELECT source, n, kind, CASE kind {at(repr(float(w * integral(c)[-1])) + "::DOUBLE" for w, c in curriculum)} END AS weight FROM k),
+c AS (SELECT *, {MAX_REPEATS} * n AS cap, {MAX_REPEATS} * n / weight AS r, coalesce(sum({MAX_REPEATS} * n) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_, sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_ FROM w WINDOW o AS (ORDER BY {MAX_REPEATS} * n / weight, source)),
+l AS (SELECT arg_min(level, r) AS level FROM (SELECT r, (CAST((SELECT sum(n) FROM s) AS DOUBLE) - CAST(full_ AS DOUBLE)) / open_ AS level FROM c) WHERE r >= level),
+t AS (SELECT source, n AS source_size, kind, least(weight * level, CAST(cap AS DOUBLE)) AS target FROM c, l),
+p AS (SELECT doc_id, size, source_size, target, kind, floor(target + 0.5) AS demand, sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (SELECT *, start / greatest(target, 1e-9) AS y FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST({taken} AS BIGINT) AS taken,
+  CASE WHEN least(size, demand - start) > 0 THEN round(CASE kind {at(times)} END, 9) END AS first_position FROM y"""

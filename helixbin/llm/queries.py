@@ -65,4 +65,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op7_substring_dedup, op8_toxicity, op9_near_duplicates, op10_line_dedup)}
-SQL: dict[str, str] = {"op1_license_scan": licenses.sql()}
+SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_source_mix": mixing.sql(), "op6_url_filter": urls.sql()}
