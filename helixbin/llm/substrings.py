@@ -147,7 +147,7 @@ def _zipped(docs: DataFrame) -> DataFrame:
     """(rid, z): compressed texts, for shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             z = [pack.compress((t.as_py() or "").encode()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(z, pa.binary())], names=["rid", "z"])
@@ -156,7 +156,8 @@ def _zipped(docs: DataFrame) -> DataFrame:
 
 
 def _window_hashes(texts: DataFrame, open_anchors: DataFrame) -> DataFrame:
-    """(h, w, g, local): hash of the anchor and of the window, and place, of the windows that the anchors serve."""
+    """(h, w, g): hash of the anchor and of the window, and place, of the windows that the anchors serve; the place of a window that
+    the chunk has found to be a repeat is ~g."""
     by_text = open_anchors.groupBy(F.shiftright("g", START_BITS).alias("rid")).agg(F.sort_array(F.collect_list(F.struct(F.col("g").bitwiseAND((1 << START_BITS) - 1).alias("lo"), "ol", "h"))).alias("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +195,9 @@ def _window_hashes(texts: DataFrame, open_anchors: DataFrame) -> DataFrame:
                     by = np.lexsort((g[some], cls))
                     local[some[by[1:]]] = cls[by[1:]] == cls[by[:-1]]
                 # 96 bits tell windows of different chunks apart: the anchor's hash sends 32 of its own
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(local, g, hh).astype(np.int64).view(np.uint64).astype(np.uint32).view(np.int32)), pa.array(w.view(np.int64)), pa.array(g), pa.array(local)], names=["h", "w", "g", "local"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.where(local, g, hh).astype(np.int64).view(np.uint64).astype(np.uint32).view(np.int32)), pa.array(w.view(np.int64)), pa.array(np.where(local, ~g, g))], names=["h", "w", "g"])
 
-    return texts.join(by_text, "rid").select("rid", "z", "a").mapInArrow(run, "h int, w bigint, g bigint, local boolean")
+    return texts.join(by_text, "rid").select("rid", "z", "a").mapInArrow(run, "h int, w bigint, g bigint")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -219,7 +220,8 @@ def repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = materialize(found.select("g", "ol", "h", whole.alias("whole"), (F.col("c0") != F.col("c1")).alias("open")).where("whole OR open"))
     texts = _zipped(docs)
     windows = _window_hashes(texts, found.where("NOT whole")).repartition("h", "w")
-    later = windows.withColumn("f", F.min("g").over(Window.partitionBy("h", "w"))).where("local OR g > f")
+    earliest = F.min(F.when(F.col("g") >= 0, F.col("g"))).over(Window.partitionBy("h", "w"))
+    later = windows.withColumn("f", earliest).where("g < 0 OR g > f").withColumn("g", F.when(F.col("g") < 0, F.bitwise_not("g")).otherwise(F.col("g")))
     one = lambda df, size: df.select(F.shiftright("g", START_BITS).alias("rid"), F.col("g").bitwiseAND((1 << START_BITS) - 1).alias("lo"), size.cast("int").alias("size"))
     return one(found.where("whole"), F.col("ol").bitwiseAND(255) + LENGTH).union(one(later, F.lit(LENGTH))), texts
 
