@@ -45,6 +45,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """A table in the warehouse, which driver and executors share, hashed and sorted by key: joins and windows on key read it in place."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"helixbin_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def broadcast_if_small(df: DataFrame, most_rows: int = 20000) -> DataFrame:
     """A materialized table, hinted for broadcast if its counted rows are few; otherwise as it is, for a shuffled join."""
     return broadcast(df) if df.count() <= most_rows else df

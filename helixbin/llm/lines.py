@@ -1,11 +1,11 @@
 """Line dedup: exact set-similarity join on the tokens of lines; DataFrame functions only.
 
-A line's tokens are its distinct words, lower-cased. They are ordered by rarity: words are hashed into BUCKETS, the words of the
-whole corpus are counted by bucket, and rarer buckets come first (any total order keeps the join exact). Two lines of
-Jaccard similarity SIMILARITY or more must share a token among their first ones (prefix filter), have similar numbers of
+A line's tokens are its distinct words. They are ordered by rarity: words are hashed into BUCKETS, the words of the
+whole corpus are counted by bucket, and rarer classes of buckets come first (any total order keeps the join exact). Two lines of
+Jaccard similarity SIMILARITY or more must share tokens among their first ones (prefix filter), have similar numbers of
 tokens (length filter), and have enough tokens left after the first shared one (positional filter). What passes is verified
 on whole token sets. A line is removed when an earlier line matches, by (doc_id, position), nulls last; lines without
-words stay. Words are compared by 48 bits of hash and their bucket.
+words stay. Words are compared by 56 bits of hash and their class.
 
 Lines of equal tokens are one set from the start, and only a set's first line can be kept. Sets that share a prefix token
 are first compared with the earliest of them, so that a large group of near copies gives as many pairs as it has members;
@@ -17,40 +17,55 @@ equal results; an empty table gives an empty result; other columns pass through
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbin.llm.common import materialize
+from helixbin.llm.common import broadcast_if_small, bucketed, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIMILARITY = 0.8
-#: Buckets in which words are counted; their counts, a fixed number, reach the driver.
-BUCKETS = 1 << 16
+#: Buckets in which words are counted, and the logarithmic classes of their counts: a printable character for each bucket, a
+#: string of fixed size in all, reaches the driver.
+BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 18, 93, 1.3, 4096
+#: Shared prefix tokens that make a candidate; prefixes are longer by one less, so that no match is missed.
+SHARED = 3
+#: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
+ID_BITS, LINE_BITS = 40, 23
+#: Sets to verify up to which they are broadcast to the texts; more of them are joined by shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def _words(line: Column) -> Column:
-    return F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(BUCKETS - 1)
+
+
 def rarity(docs: DataFrame) -> Column:
-    """Array of the place of each bucket of words, rarest first, as a constant."""
-    each = docs.select(F.explode(_words(_text())).alias("w")).select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b"))
-    counts = dict(each.groupBy("b").count().collect())
-    order = sorted(range(BUCKETS), key=lambda b: (counts.get(b, 0), b))
-    place = [0] * BUCKETS
-    for i, b in enumerate(order):
-        place[b] = i
-    return F.from_json(F.lit(str(place)), "array<int>")
+    """The class of each bucket of words by its count in all texts, one byte a bucket, as a constant."""
+    each = docs.select(F.explode(_words(_text())).alias("w")).select(_bucket(F.col("w")).alias("b"))
+    classes = each.groupBy("b").count().select(F.floor(F.col("b") / CHUNK).alias("c"), (F.col("b") % CHUNK).alias("i"), F.least(F.floor(F.log("count") / math.log(FACTOR)), F.lit(CLASSES)).cast("int").alias("v"))
+    rows = classes.groupBy("c").agg(F.array_join(F.collect_list(F.format_string("%04x%02x", "i", "v")), "").alias("m"))
+    place = np.full(BUCKETS, 33, np.uint8)
+    for c, m in rows.toLocalIterator():  # 3 bytes a bucket
+        raw = np.frombuffer(bytes.fromhex(m), np.uint8).reshape(-1, 3).astype(int)
+        place[c * CHUNK + raw[:, 0] * 256 + raw[:, 1]] = 33 + raw[:, 2]
+    return F.unhex(F.lit(place.tobytes().hex()))
 
 
 def tokens(line: Column, places: Column) -> Column:
-    """Sorted distinct tokens of a line: place of the word's bucket, then 48 bits of its hash."""
-    hashes = F.transform(_words(line), lambda w: F.xxhash64(w))
-    keyed = F.transform(F.array_distinct(hashes), lambda h: F.shiftleft(F.element_at(places, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 48).bitwiseOR(F.shiftrightunsigned(h, 16)))
+    """Sorted distinct tokens of a line: class of the word's bucket, then 56 bits of its hash."""
+    kind = lambda w: F.ascii(F.substring(places, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
+    keyed = F.transform(F.array_distinct(_words(line)), lambda w: F.shiftleft(kind(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))
     return F.sort_array(keyed)
 
 
@@ -59,76 +74,100 @@ def _need(a: Column, b: Column) -> Column:
     return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (a + b) - 1e-9)
 
 
-def _passes(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Length and positional filter for sets of n and m tokens that share the tokens at i and j (from 0)."""
-    need = _need(n, m)
-    return (F.least(n, m) >= F.ceil(SIMILARITY * F.greatest(n, m) - 1e-9)) & (F.least(n - i, m - j) >= need)
+def _passes(x: str, y: str) -> Column:
+    """Length and positional filter for two entries: sizes n over places i of a shared token, packed as n * 2**32 + i."""
+    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
+    i, j = F.col(x).bitwiseAND(0xFFFFFFFF), F.col(y).bitwiseAND(0xFFFFFFFF)
+    # of the shared tokens, up to SHARED - 1 may stand before this one, and are counted by rows of their own
+    return (F.least(n, m) >= F.ceil(SIMILARITY * F.greatest(n, m) - 1e-9)) & (F.least(n - i, m - j) + SHARED - 1 >= _need(n, m))
+
+
+def _candidates(rows: DataFrame, x: str, y: str, xn: str, yn: str) -> DataFrame:
+    """Distinct (x, y) that share enough prefix tokens, from a row for each shared one; sets of fewer tokens share all they need."""
+    need = _need(F.shiftright(xn, 32), F.shiftright(yn, 32))
+    shared = rows.where(_passes(xn, yn)).select(F.col(x).alias("x"), F.col(y).alias("y"), F.least(need, F.lit(SHARED)).alias("need"))
+    return shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("x", "y")
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_tk", F.xxhash64(_text())).withColumn("_rk", F.xxhash64(F.lit("row"), F.col("doc_id"), _text()))
+    """Adds did, the id with null last, and tk, a hash of the text: rows equal in both are one document."""
+    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("tk", F.xxhash64(_text()))
+
+
+def _with_places(lines: DataFrame) -> DataFrame:
+    """Adds sid, a number in the order of (did, tk, pos) that is distinct for each."""
+    lo, hi, last = lines.agg(F.min("did"), F.max("did"), F.max("pos")).first()
+    packs = lo is None or (lo >= 0 and hi < 1 << ID_BITS and last < 1 << LINE_BITS)
+    if packs and not lines.select("did", "tk").distinct().groupBy("did").count().where("count > 1").limit(1).count():
+        return lines.withColumn("sid", F.shiftleft("did", LINE_BITS) + F.col("pos"))
+    parts = max(1, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    places = lines.select("did", "tk", "pos").distinct().repartitionByRange(parts, "did", "tk", "pos").sortWithinPartitions("did", "tk", "pos")
+    places = materialize(places.withColumn("sid", F.monotonically_increasing_id()))
+    return materialize(lines.join(places, ["did", "tk", "pos"]))
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, places: Column) -> DataFrame:
-    """Distinct (s, t) of the pairs (x: s, t, at; y: s, t, at) whose sets are similar."""
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, places: Column) -> DataFrame:
+    """Distinct sid x of the pairs (x, y) of sets that are similar."""
     pairs = materialize(pairs)
-    wanted = pairs.select("x.*").union(pairs.select("y.*")).distinct()
-    by_row = wanted.groupBy(F.col("at.rk").alias("_rk"), F.col("at.tk").alias("_tk")).agg(F.collect_set(F.struct("s", "t", "at.pos")).alias("w"))
-    lines = rows.select("_rk", "_tk", "text").join(by_row, ["_rk", "_tk"]).dropDuplicates(["_rk", "_tk"]).select(F.split(_text(), "\n").alias("ls"), F.explode("w").alias("w"))
-    sets = materialize(lines.select("w.s", "w.t", tokens(F.element_at("ls", F.col("w.pos") + 1), places).alias("k")))
-    x, y = sets.select(F.col("s").alias("xs"), F.col("t").alias("xt"), F.col("k").alias("xk")), sets.select(F.col("s").alias("ys"), F.col("t").alias("yt"), F.col("k").alias("yk"))
-    flat = pairs.select(F.col("x.s").alias("xs"), F.col("x.t").alias("xt"), F.col("y.s").alias("ys"), F.col("y.t").alias("yt"))
-    both = flat.join(x, ["xs", "xt"]).join(y, ["ys", "yt"])
-    shared = F.size(F.array_intersect("xk", "yk"))
-    return both.where(shared >= _need(F.size("xk"), F.size("yk"))).select(F.col("xs").alias("s"), F.col("xt").alias("t")).distinct()
+    wanted = materialize(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(sets.select("sid", "did", "tk", "pos"), "sid"))
+    by_row = wanted.groupBy("did", "tk").agg(F.collect_set(F.struct("sid", "pos")).alias("w"))
+    if wanted.count() <= BROADCAST_ROWS:
+        by_row = F.broadcast(by_row)
+    each = rows.select("did", "tk", "text").join(by_row, ["did", "tk"]).select(F.split(_text(), "\n").alias("ls"), "w")
+    each = each.select(F.explode(F.transform("w", lambda x: F.struct(x["sid"].alias("sid"), F.element_at("ls", x["pos"] + 1).alias("line")))).alias("w"))
+    found = materialize(each.select("w.sid", tokens(F.col("w.line"), places).alias("k")))
+    x, y = found.toDF("x", "xk"), found.toDF("y", "yk")
+    both = pairs.join(x, "x").join(y, "y")
+    return both.where(F.size(F.array_intersect("xk", "yk")) >= _need(F.size("xk"), F.size("yk"))).select("x").distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """(_rk, _tk, removed): sorted positions of the lines to remove, of the documents that have some."""
+    """(did, tk, removed): sorted positions of the lines to remove, of the documents that have some."""
     places = rarity(docs)
     rows = _row_keys(docs.select("doc_id", "text"))
-    lines = rows.select("doc_id", "_rk", "_tk", F.posexplode(F.split(_text(), "\n")).alias("pos", "line")).withColumn("k", tokens(F.col("line"), places))
+    lines = rows.select("did", "tk", F.posexplode(F.split(_text(), "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD)).withColumn("k", tokens(F.col("line"), places))
     size = F.size("k")
-    at = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_tk").alias("tk"), F.col("_rk").alias("rk"), F.col("pos").alias("pos"))
-    prefix = F.slice("k", 1, (size - F.ceil(SIMILARITY * size - 1e-9) + 1).cast("int"))
-    lines = materialize(lines.where(size > 0).select(at.alias("at"), F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), prefix.alias("prefix")))
-    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("at", "n", "prefix"), "at").alias("v")).select("s", "t", "v.*"))
+    # a prefix token keeps 32 bits: that can only add candidates
+    prefix = F.transform(F.slice("k", 1, (size - F.ceil(SIMILARITY * size - 1e-9) + SHARED).cast("int")), lambda t: F.hash(t))
+    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), prefix.alias("prefix")))
+    lines = _with_places(lines)
+    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "prefix"), "sid").alias("v")).select("s", "t", "v.*"))
 
-    every = sets.select("s", "t", "at", "n", F.posexplode("prefix").alias("i", "token"))
+    every = sets.select("sid", "n", F.posexplode("prefix").alias("i", "token")).select("token", "sid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni"))
     by_token = Window.partitionBy("token")
-    entry = F.struct("at", "s", "t", "n", "i")
-    shared = materialize(every.withColumn("m", F.count(F.lit(1)).over(by_token)).withColumn("first", F.min(entry).over(by_token)).where("m > 1"))
-    me = F.struct("s", "t", "at").alias("x")
-    leader = F.struct(F.col("first.s").alias("s"), F.col("first.t").alias("t"), F.col("first.at").alias("at")).alias("y")
-    first_pairs = shared.where((F.col("at") != F.col("first.at")) & _passes(F.col("n"), F.col("i"), F.col("first.n"), F.col("first.i"))).select(me, leader).distinct()
-    later = materialize(_verified(first_pairs, rows, places))
+    in_order = by_token.orderBy("sid")
+    shared = every.withColumn("m", F.count(F.lit(1)).over(by_token)).withColumn("fs", F.first("sid").over(in_order)).withColumn("fn", F.first("ni").over(in_order))
+    # stored by token, so that partners meet without another shuffle
+    shared = bucketed(shared.where("m > 1").drop("m"), "token")
+    leaders = _candidates(shared.where("sid <> fs"), "sid", "fs", "ni", "fn")
+    later = materialize(_verified(leaders, sets, rows, places))
 
-    open_sets = shared.join(later, ["s", "t"], "left_anti").where("at <> first.at").select(F.col("token"), me, F.col("n").alias("xn"), F.col("i").alias("xi"))
-    partners = shared.select("token", F.struct("s", "t", "at").alias("y"), F.col("n").alias("yn"), F.col("i").alias("yi"), F.col("first.at").alias("f"))
-    rest = open_sets.join(partners, "token").where((F.col("y.at") < F.col("x.at")) & (F.col("y.at") != F.col("f")) & _passes(F.col("xn"), F.col("xi"), F.col("yn"), F.col("yi"))).select("x", "y").distinct()
-    later = later.union(_verified(rest, rows, places))
+    settled = broadcast_if_small(later, BROADCAST_ROWS).select(F.col("x").alias("sid"))
+    open_sets = shared.where("sid <> fs").join(settled, "sid", "left_anti").select("token", F.col("sid").alias("x"), F.col("ni").alias("xn"))
+    partners = shared.select("token", F.col("sid").alias("y"), F.col("ni").alias("yn"))
+    rest = _candidates(open_sets.join(partners, "token").where("y < x"), "x", "y", "xn", "yn")
+    later = later.union(_verified(rest, sets, rows, places))
 
-    verdict = sets.select("s", "t", F.col("at").alias("first")).join(later.withColumn("later", F.lit(True)), ["s", "t"], "left")
-    gone = lines.select("s", "t", "at").join(verdict, ["s", "t"]).where(F.coalesce("later", F.lit(False)) | (F.col("at") > F.col("first")))
-    gone = gone.select("at.rk", "at.tk", "at.pos").groupBy(F.col("rk").alias("_rk"), F.col("tk").alias("_tk"))
-    return gone.agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    verdict = sets.select("s", "t", F.col("sid").alias("first")).join(later.toDF("first").withColumn("later", F.lit(True)), "first", "left")
+    gone = lines.select("did", "tk", "pos", "sid", "s", "t").join(verdict, ["s", "t"]).where(F.coalesce("later", F.lit(False)) | (F.col("sid") > F.col("first")))
+    return gone.groupBy("did", "tk").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep of docs (doc_id, text), n_lines, n_removed, and removed, the sorted positions of removed lines."""
-    gone = removed_lines(docs)
-    rows = _row_keys(docs).select(*keep, "_rk", "_tk", F.size(F.split(_text(), "\n")).alias("n_lines"))
-    out = rows.join(gone, ["_rk", "_tk"], "left")
+    gone = removed_lines(docs).toDF("_did", "_tk", "removed")
+    rows = _row_keys(docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), "doc_id", "text"))
+    rows = rows.select(*(f"_k{i}" for i in range(len(keep))), F.col("did").alias("_did"), F.col("tk").alias("_tk"), F.size(F.split(_text(), "\n")).alias("n_lines"))
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select(*keep, "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
+    out = rows.join(gone, ["_did", "_tk"], "left")
+    return out.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "n_lines", F.size(removed).alias("n_removed"), removed.alias("removed"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs with the remaining lines of their texts; columns as before. Null texts stay null."""
     names = docs.columns
     moved = docs.toDF(*(n if n in ("doc_id", "text") else f"_c{i}" for i, n in enumerate(names)))
-    gone = removed_lines(moved)
-    out = _row_keys(moved).join(gone, ["_rk", "_tk"], "left")
+    out = _row_keys(moved).join(removed_lines(moved), ["did", "tk"], "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("removed", i))
     text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     return out.withColumn("text", text).select(*moved.columns).toDF(*names)
