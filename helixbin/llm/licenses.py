@@ -1,7 +1,8 @@
 """License scans: exact containment join of text blocks with license templates; DataFrame functions only.
 
-A block is a line of a text; a template is a short notice with a label. Tokens are ordered by their frequency in
-the whole corpus, rarest first. A template is contained in a block when at least THRESHOLD of its distinct tokens
+A block is a line of a text, or any run of a text's words, across lines, that is as long as the template, so that wrapped
+notices are found; a template is a short notice with a label. Tokens are ordered by their frequency in the whole corpus,
+rarest first. A template is contained in a block when at least THRESHOLD of its distinct tokens
 stand in the block. A block that holds so many must hold one of the template's first (rarest) tokens, must be long
 enough, and must have enough tokens left after the first common one; only what passes these filters is verified.
 The templates are a parameter with a checked bound, and so is the vocabulary whose counts reach the driver.
@@ -94,11 +95,23 @@ def contained(block: Column, tokens: list[str], threshold: float) -> Column:
     return F.when(enough, F.when(found >= need, found / F.lit(float(n))).otherwise(0.0)).otherwise(0.0)
 
 
+def windowed(words: str, present: Column, tokens: list[str], length: int, threshold: float) -> Column:
+    """As contained, for the best run of length words; present are the template tokens of all words, rarest first."""
+    n = len(tokens)
+    need = max(1, math.ceil(threshold * n - 1e-9))
+    whole = _strings(tokens)
+    # a best run can be shifted to start with a token of the template
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(whole, F.element_at(words, i)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(whole, F.slice(words, i, length)))))
+    return F.when(contained(present, tokens, threshold) > 0, F.when(most >= need, most / F.lit(float(n))).otherwise(0.0)).otherwise(0.0)
+
+
 def scanned(docs: DataFrame, keep: list[str], base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The columns keep of docs (text), n_words, n_base, first_word, last_word, base_labels, labels and score."""
     wanted = template_tokens(templates)
     order = token_order(docs, sorted({t for _, ts in wanted for t in ts}))
     rank = {t: i for i, t in enumerate(order)}
+    lengths = [len(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))) for (_, text), (_, ts) in zip(templates, wanted) if ts]
     wanted = [(label, sorted(ts, key=rank.__getitem__)) for label, ts in wanted if ts]
     first = {t for _, ts in wanted for t in ts[: len(ts) - max(1, math.ceil(threshold * len(ts) - 1e-9)) + 1]}
 
@@ -114,12 +127,14 @@ def scanned(docs: DataFrame, keep: list[str], base=BASE, templates=TEMPLATES, th
         places.append(F.when(some, F.filter(F.sequence(F.lit(0), n - len(parts)), _stands("words", parts))).otherwise(F.array().cast("array<int>")))
 
     def best(low: Column) -> Column:
-        """For each template the largest containment in a line."""
+        """For each template the largest containment in a line or a run of words."""
         blocks = F.transform(F.split(low, "\n"), lambda b: F.array_intersect(_strings(order), words_of(b)))
         live = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(sorted(first, key=rank.__getitem__))))
         each = F.transform(live, lambda b: F.array(*(contained(b, ts, threshold) for _, ts in wanted)))
         zero = F.array(*(F.lit(0.0) for _ in wanted))
-        return F.aggregate(each, zero, lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q)))
+        present = F.array_intersect(_strings(order), F.col("words"))
+        runs = F.array(*(windowed("words", present, ts, length, threshold) for (_, ts), length in zip(wanted, lengths)))
+        return F.aggregate(each, F.coalesce(runs, zero), lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q)))
 
     rows = rows.select(*(f"_k{i}" for i in range(len(keep))), F.size("words").alias("n_words"), *(p.alias(f"p{i}") for i, p in enumerate(places)), F.when(has_prefix, best(F.col("low"))).alias("best"))
     hits = [F.col(f"p{i}") for i in range(len(base))]

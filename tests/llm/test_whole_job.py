@@ -1,11 +1,12 @@
 """Cases in which an operator once did less than its whole job."""
 
 import itertools
+import textwrap
 
 import numpy as np
 import pyarrow as pa
 
-from helixbin.llm import neardup
+from helixbin.llm import licenses, neardup
 
 TEXTS = "doc_id long, text string"
 
@@ -53,3 +54,19 @@ def test_near_duplicates_in_full_buckets_without_an_original(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), TEXTS).repartition(4)
     got = {r.doc_id: r.class_id for r in neardup.judged(frame, ["doc_id"]).collect()}
     assert len(set(got.values())) > 100 and got == {i: find(i) for i in range(len(texts))}
+
+
+def test_wrapped_notices(spark):
+    rows = []
+    for k, (label, notice) in enumerate(licenses.TEMPLATES):
+        for width, lead in ((70, " * "), (30, "# "), (12, "")):
+            wrapped = "\n".join(lead + x for x in textwrap.wrap(notice, width, break_long_words=False))
+            rows.append((len(rows), f"words before it\n{wrapped}\nand words after it", label))
+    whole = "Copyright (c) 2020 X\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software"
+    rows.append((len(rows), whole, "mit-notice"))
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string, want string"), ["doc_id", "want"]).collect()}
+    for i, _, label in rows:
+        assert label in got[i].labels.split(",") and got[i].score == 1, rows[i]
+    scattered = "permission\n" + "is hereby granted other words " * 30 + "\nfree of charge to any person\n" + "more of it " * 30 + "\nobtaining a copy of this software and associated"
+    apart = licenses.scanned(spark.createDataFrame([(0, scattered)], "doc_id long, text string"), ["doc_id"]).first()
+    assert (apart.labels, apart.score) == ("", 0)
