@@ -1,16 +1,18 @@
 """License scans: exact containment join of text blocks with license templates; DataFrame functions only.
 
 A block is a line of a text, or any run of a text's words, across lines, that is as long as the template, so that wrapped
-notices are found; a template is a short notice with a label. Tokens are ordered by their frequency in the whole corpus,
-rarest first. A template is contained in a block when at least THRESHOLD of its distinct tokens
-stand in the block. A block that holds so many must hold one of the template's first (rarest) tokens, must be long
-enough, and must have enough tokens left after the first common one; only what passes these filters is verified.
-The templates are a parameter with a checked bound, and so is the vocabulary whose counts reach the driver.
+notices are found; a template is a short notice with a label. Tokens are ordered by the number of texts of the corpus that hold them,
+rarest first. A template is contained in a block when at least THRESHOLD of its distinct tokens stand in the block.
 
-The phrases of BASE are found beside that wherever their words stand consecutively.
+One pass cuts each text into words and keeps, beside their number and the places of the phrases of BASE, the template tokens that the
+text holds. These tokens are joined with the first (rarest) tokens of each template: a text whose block contains a template holds one of
+them (prefix filter), holds enough tokens (length filter), and has enough left after the first common one (positional filter). Only
+the pairs of text and template that pass are verified, block by block; texts without such a pair are not read again.
+The templates are a parameter with a checked bound, and so is the vocabulary whose counts reach the driver.
 
 Defined results: null text is empty, with no words, labels or score; rows are judged singly, so repeated rows and
-ids have equal results; texts are read whole; an empty table gives an empty result.
+ids have equal results; texts of any length are read whole; an empty table gives an empty result; columns of clashing names are moved
+aside and come back as they were.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixbin.llm.common import materialize
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases and their labels.
@@ -46,12 +50,17 @@ TEMPLATES = (
 THRESHOLD, MAX_TEMPLATES, MAX_VOCABULARY = 0.85, 1000, 20000
 
 
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+#: All ASCII characters that are no letter or digit.
+_OTHERS = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
 
 
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _spaced(text: Column) -> Column:
+    """The text in lower case with a space for each character outside words."""
+    return F.trim(F.translate(F.coalesce(text, F.lit("")), UPPER + _OTHERS, LOWER + " " * len(_OTHERS)))
+
+
+def _words(spaced: Column) -> Column:
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def template_tokens(templates) -> list[tuple[str, list[str]]]:
@@ -65,13 +74,6 @@ def template_tokens(templates) -> list[tuple[str, list[str]]]:
     return out
 
 
-def token_order(docs: DataFrame, tokens: list[str]) -> list[str]:
-    """The tokens, rarest in the whole corpus first; at most MAX_VOCABULARY counts reach the driver."""
-    each = docs.select(F.explode(words_of(lowered(F.col("text")))).alias("w")).where(F.col("w").isin(tokens))
-    counts = {r["w"]: r["count"] for r in each.groupBy("w").count().collect()}
-    return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
-
-
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -81,82 +83,99 @@ def _stands(words: str, parts: list[str]) -> Callable[[Column], Column]:
     return lambda i: reduce(Column.__and__, (F.element_at(words, i + (k + 1)) == p for k, p in enumerate(parts)))
 
 
-def contained(block: Column, tokens: list[str], threshold: float) -> Column:
-    """Share of the template's tokens (rarest first) in a block (its template tokens, rarest first), or 0 if under the threshold."""
-    n = len(tokens)
-    need = max(1, math.ceil(threshold * n - 1e-9))
-    prefix = _strings(tokens[: n - need + 1])
-    whole = _strings(tokens)
-    common = F.array_intersect(block, whole)
-    first = F.element_at(common, 1)
-    left = F.least(n - F.array_position(whole, first), F.size(block) - F.array_position(block, first)) + 1
-    found = F.when(left >= need, F.size(common)).otherwise(0)
-    enough = (F.size(block) >= need) & F.arrays_overlap(block, prefix)
-    return F.when(enough, F.when(found >= need, found / F.lit(float(n))).otherwise(0.0)).otherwise(0.0)
+def _cut(docs: DataFrame, keep: list[str], base, tokens: list[str]) -> DataFrame:
+    """rid, a number of each row, the columns keep, the text, n_words, held, the tokens in the text, and p0, p1, ..., places of the phrases of base."""
+    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), "text", _spaced(F.col("text")).alias("_low"))
+    rows = rows.select(*(f"_k{i}" for i in range(len(keep))), "text", _words(F.col("_low")).alias("words"))
+    rows = rows.select(*(f"_k{i}" for i in range(len(keep))), "text", "words", F.array_intersect("words", _strings(tokens)).alias("held"))
+    places = []
+    for k, (phrase, _) in enumerate(base):
+        parts = phrase.split(" ")
+        some = reduce(Column.__and__, (F.array_contains("held", x) for x in parts)) & (F.size("words") >= len(parts))
+        found = F.filter(F.sequence(F.lit(0), F.size("words") - len(parts)), _stands("words", parts))
+        places.append(F.when(some, found).otherwise(F.array().cast("array<int>")).alias(f"p{k}"))
+    return rows.select(F.monotonically_increasing_id().alias("rid"), *(f"_k{i}" for i in range(len(keep))), "text", F.size("words").alias("n_words"), "held", *places)
+
+
+def token_order(rows: DataFrame, tokens: list[str]) -> list[str]:
+    """The tokens, those in the fewest texts first; at most MAX_VOCABULARY counts reach the driver."""
+    counts = {r["w"]: r["count"] for r in rows.select(F.explode("held").alias("w")).groupBy("w").count().collect()}
+    return sorted(tokens, key=lambda t: (counts.get(t, 0), t))
 
 
-def windowed(words: str, present: Column, tokens: list[str], length: int, threshold: float) -> Column:
-    """As contained, for the best run of length words; present are the template tokens of all words, rarest first."""
-    n = len(tokens)
-    need = max(1, math.ceil(threshold * n - 1e-9))
-    whole = _strings(tokens)
-    # a best run can be shifted to start with a token of the template
-    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(whole, F.element_at(words, i)))
-    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(whole, F.slice(words, i, length)))))
-    return F.when(contained(present, tokens, threshold) > 0, F.when(most >= need, most / F.lit(float(n))).otherwise(0.0)).otherwise(0.0)
+def _candidates(rows: DataFrame, wanted: list[tuple[int, list[str], int]], order: list[str], threshold: float) -> DataFrame:
+    """(rid, text, template, tokens, rare, need, length) of the texts and templates that pass the filters."""
+    rank = {t: i for i, t in enumerate(order)}
+    entries = []
+    for number, ts, length in wanted:
+        ts = sorted(ts, key=rank.__getitem__)
+        need = max(1, math.ceil(threshold * len(ts) - 1e-9))
+        rare = ts[: len(ts) - need + 1]
+        entries += [(t, j, number, ts, rare, need, length) for j, t in enumerate(rare)]
+    spark = rows.sparkSession
+    prefixes = spark.createDataFrame(entries, "token string, j int, template int, tokens array<string>, rare array<string>, need int, length int")  # within the checked bounds
+    sorted_held = rows.where(F.size("held") > 0).select("rid", F.array_intersect(_strings(order), F.col("held")).alias("block"))
+    tokens = sorted_held.select("rid", F.size("block").alias("n"), "block", F.posexplode("block").alias("i", "token"))
+    pairs = tokens.join(F.broadcast(prefixes), "token").where((F.col("n") >= F.col("need")) & (F.least(F.col("n") - F.col("i"), F.size("tokens") - F.col("j")) >= F.col("need")))
+    pairs = pairs.where(F.size(F.array_intersect("block", "tokens")) >= F.col("need")).select("rid", "template", "tokens", "rare", "need", "length").dropDuplicates(["rid", "template"])
+    return pairs.join(rows.select("rid", "text"), "rid")
+
+
+def _verified(pairs: DataFrame) -> DataFrame:
+    """(rid, template, share) of the pairs in which a line, or a run of length words, holds need of the tokens; the largest share."""
+    pairs = pairs.withColumn("words", _words(_spaced(F.col("text"))))
+    by_line = F.transform(F.split("text", "\n"), lambda x: F.size(F.array_intersect("tokens", _words(_spaced(x)))))
+    # a run that holds so many tokens holds a rare one, and can be shifted to start with a token
+    rare = F.filter(F.sequence(F.lit(1), F.size("words")), lambda i: F.array_contains("rare", F.element_at("words", i)))
+    near = F.array_distinct(F.flatten(F.transform(rare, lambda i: F.sequence(F.greatest(i - F.col("length") + 1, F.lit(1)), i))))
+    starts = F.filter(near, lambda i: F.array_contains("tokens", F.element_at("words", i)))
+    by_run = F.transform(starts, lambda i: F.size(F.array_intersect("tokens", F.slice("words", i, F.col("length")))))
+    most = F.greatest(F.array_max(by_line), F.array_max(by_run))
+    # written before it is filtered: a filter would be pushed into the lambdas, words and all
+    found = materialize(pairs.select("rid", "template", "need", most.alias("most"), F.size("tokens").alias("n")))
+    return found.where("most >= need").select("rid", "template", (F.col("most") / F.col("n")).alias("share"))
 
 
 def scanned(docs: DataFrame, keep: list[str], base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The columns keep of docs (text), n_words, n_base, first_word, last_word, base_labels, labels and score."""
-    wanted = template_tokens(templates)
-    order = token_order(docs, sorted({t for _, ts in wanted for t in ts}))
-    rank = {t: i for i, t in enumerate(order)}
-    lengths = [len(re.findall(WORD, text.translate(str.maketrans(UPPER, LOWER)))) for (_, text), (_, ts) in zip(templates, wanted) if ts]
-    wanted = [(label, sorted(ts, key=rank.__getitem__)) for label, ts in wanted if ts]
-    first = {t for _, ts in wanted for t in ts[: len(ts) - max(1, math.ceil(threshold * len(ts) - 1e-9)) + 1]}
-
-    rows = docs.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)), lowered(F.col("text")).alias("low"))
-    rows = rows.withColumn("words", words_of(F.col("low")))
-    has_prefix = F.arrays_overlap("words", _strings(sorted(first, key=rank.__getitem__)))
+    fold = str.maketrans(UPPER, LOWER)
+    named = template_tokens(templates)
+    wanted = [(k, ts, len(re.findall(WORD, text.translate(fold)))) for k, ((_, text), (_, ts)) in enumerate(zip(templates, named)) if ts]
+    vocabulary = sorted({t for _, ts, _ in wanted for t in ts})
+    every_token = sorted({*vocabulary, *(x for phrase, _ in base for x in phrase.split(" "))})
+    cut = _cut(docs, keep, base, every_token)
+    least = min((max(1, math.ceil(threshold * len(ts) - 1e-9)) for _, ts, _ in wanted), default=1)
+    # the text is kept only where some template's number of tokens is reached
+    enough = F.size(F.array_intersect("held", _strings(vocabulary))) >= least
+    rows = materialize(cut.withColumn("text", F.when(enough, F.col("text"))))
+    order = token_order(rows, every_token)
+    found = _verified(_candidates(rows, wanted, [t for t in order if t in set(vocabulary)], threshold)) if wanted else None
 
-    places = []
-    for phrase, _ in base:
-        parts = phrase.split(" ")
-        n = F.size("words")
-        some = (n >= len(parts)) & F.array_contains("words", parts[0]) & F.array_contains("words", parts[-1])
-        places.append(F.when(some, F.filter(F.sequence(F.lit(0), n - len(parts)), _stands("words", parts))).otherwise(F.array().cast("array<int>")))
-
-    def best(low: Column) -> Column:
-        """For each template the largest containment in a line or a run of words."""
-        blocks = F.transform(F.split(low, "\n"), lambda b: F.array_intersect(_strings(order), words_of(b)))
-        live = F.filter(blocks, lambda b: F.arrays_overlap(b, _strings(sorted(first, key=rank.__getitem__))))
-        each = F.transform(live, lambda b: F.array(*(contained(b, ts, threshold) for _, ts in wanted)))
-        zero = F.array(*(F.lit(0.0) for _ in wanted))
-        present = F.array_intersect(_strings(order), F.col("words"))
-        runs = F.array(*(windowed("words", present, ts, length, threshold) for (_, ts), length in zip(wanted, lengths)))
-        return F.aggregate(each, F.coalesce(runs, zero), lambda a, x: F.zip_with(a, x, lambda p, q: F.greatest(p, q)))
-
-    rows = rows.select(*(f"_k{i}" for i in range(len(keep))), F.size("words").alias("n_words"), *(p.alias(f"p{i}") for i, p in enumerate(places)), F.when(has_prefix, best(F.col("low"))).alias("best"))
     hits = [F.col(f"p{i}") for i in range(len(base))]
-    every = F.concat(*hits)
-    base_labels = [F.when(F.size(h) > 0, F.lit(label)) for h, (_, label) in zip(hits, base)]
-    own_labels = [F.when(F.col("best")[i] > 0, F.lit(label)) for i, (label, _) in enumerate(wanted)]
-    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*labels)))), ",")
-    score = F.greatest(F.coalesce(F.array_max("best"), F.lit(0.0)), F.when(F.size(every) > 0, 1.0).otherwise(0.0))
+    places = F.concat(*hits) if hits else F.array().cast("array<int>")
+    base_labels = F.array_compact(F.array(*(F.when(F.size(h) > 0, F.lit(label)) for h, (_, label) in zip(hits, base)))) if hits else _strings([])
+    if found is None:
+        rows = rows.withColumn("own", _strings([])).withColumn("share", F.lit(0.0))
+    else:
+        labels = F.element_at(_strings([label for label, _ in named]), F.col("template") + 1)
+        own = found.groupBy("rid").agg(F.collect_set(labels).alias("own"), F.max("share").alias("share"))
+        rows = rows.join(own, "rid", "left")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.size(places) > 0, 1.0).otherwise(0.0))
     return rows.select(
         *(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)),
         F.col("n_words").cast("long"),
-        F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).cast("long").alias("first_word"),
-        F.array_max(every).cast("long").alias("last_word"),
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
         joined(base_labels).alias("base_labels"),
-        joined(base_labels + own_labels).alias("labels"),
+        joined(F.concat(base_labels, F.coalesce("own", _strings([])))).alias("labels"),
         F.round(score, 6).alias("score"),
     )
 
 
 def sql(base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """DuckDB SQL for the result on documents, by comparing every line with every template."""
+    """DuckDB SQL for the result on documents, by comparing every line and run of words with every template of which a text holds enough."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     words = lambda s: f"regexp_extract_all({s}, {quote(WORD)})"
     phrases, labels = [], []
@@ -166,10 +185,15 @@ def sql(base=BASE, templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
         phrases.append(f"list_filter(range(0, len(w) - {len(parts) - 1}), lambda i: {test})")
         labels.append(label)
     tests, own = [], []
-    for label, ts in template_tokens(templates):
-        need = max(1, math.ceil(threshold * len(ts) - 1e-9))
-        both = f"len(list_intersect(b, [{', '.join(map(quote, ts))}]))"
-        tests.append(f"list_max(list_transform(bs, lambda b: CASE WHEN {both} >= {need} THEN {both} / {float(len(ts))} ELSE 0.0 END))")
+    fold = str.maketrans(UPPER, LOWER)
+    for (label, ts), (_, text) in zip(template_tokens(templates), templates):
+        need, length = max(1, math.ceil(threshold * len(ts) - 1e-9)), len(re.findall(WORD, text.translate(fold)))
+        tokens = f"[{', '.join(map(quote, ts))}]"
+        both = lambda block: f"len(list_intersect({block}, {tokens}))"
+        by_line = f"list_max(list_transform(bs, lambda b: {both('b')}))"
+        by_run = f"list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains({tokens}, w[i])), lambda i: {both(f'w[i : i + {length - 1}]')}))"
+        most = f"greatest({by_line}, {by_run})"
+        tests.append(f"CASE WHEN {both('w')} < {need} THEN 0.0 WHEN {most} >= {need} THEN {most} / {float(len(ts))} ELSE 0.0 END")
         own.append(label)
     base_list = ", ".join(f"CASE WHEN len(p{i}) > 0 THEN {quote(x)} END" for i, x in enumerate(labels))
     own_list = ", ".join(f"CASE WHEN t{i} > 0 THEN {quote(x)} END" for i, x in enumerate(own))
