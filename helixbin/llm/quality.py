@@ -1,27 +1,31 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant (MCD).
 
-Every text becomes a vector of transformed statistics. For each language and source, concentration steps
-look for the half-sample (here three quarters) whose covariance has the least determinant; a document is
-rejected when its Mahalanobis distance from that estimate is too large, or when it fails a base rule.
+Every text becomes a vector of transformed statistics. For each language and source, and for each language and all texts, which steady
+the estimates of small groups, concentration steps look for the three quarters of the rows whose covariance has the least
+determinant; a document is rejected when its Mahalanobis distance from the estimate of its language and source is too
+large, or when it fails a base rule.
 
-A concentration step is one aggregation: rows are binned by their distance under the last estimate, sums
-and cross products are added up by group and bin, and a running sum over the bounded number of bins of a
-group gives the estimate of its nearest three quarters. No group's rows meet in one task, and every row counts.
+A concentration step is one aggregation: rows are binned by their distance under the last estimate, sums and cross products are
+added up by group and bin, and a running sum over the bounded number of bins of a group gives the estimate of its nearest three
+quarters. No group's rows meet in one task, and every row counts. There are three starts (medians and quartiles, moments, spatial
+signs); after two steps each group goes on with that of least determinant until no determinant falls any more.
+
+An estimate from n rows is shrunk as if WEIGHT further rows had come from that of the next larger group, and all texts' as if WEIGHT
+rows had come from PRIOR. So any covariance is regular and small groups need no switch; WEIGHT is nothing beside a large group's rows.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group like
 others; rows are judged singly, so repeated rows and repeated ids get equal verdicts; an empty table gives
-an empty result; other columns of the input pass through ``kept_rows`` unchanged, and clashing names are
-moved aside because the statistics live in one struct column of their own.
+an empty result; texts of any length are read whole, in chunks; other columns of the input pass through ``kept_rows`` unchanged, and
+clashing names are moved aside because the statistics live in one struct column of their own.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,55 +34,65 @@ from helixbin.llm.common import broadcast_if_small, byte_chunks, materialize, su
 
 #: Fewest words of a document, and largest share of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
-#: Share of a group's rows that the MCD concentrates on, concentration steps, and fewest rows of a group of its own.
-SUPPORT, STEPS, MIN_GROUP = 0.75, 3, 100
-#: Rejection beyond this Mahalanobis distance: about the 1 - 1e-6 quantile of six Gaussian statistics.
-CUTOFF = 6.5
+#: Share of a group's rows that the MCD concentrates on, steps of all starts, most steps, and the fall of a log determinant that ends them.
+SUPPORT, FIRST_STEPS, MOST_STEPS, TOLERANCE = 0.75, 2, 20, 1e-2
+#: Rejection beyond this Mahalanobis distance. It is far outside a Gaussian's range, as shares of short texts scatter more than others.
+CUTOFF = 7.5
 #: Bins of distance in a concentration step: BIN_PER_E per factor e, clamped to BINS.
-BINS, BIN_PER_E = 400, 20.0
-#: Transformed statistics and the least standard deviation that each is given. Shares of short texts are
-#: coarse and most groups have no symbols at all, so that without floors one odd character would be an outlier.
-STATS = {"word_length": 0.15, "symbols": 0.55, "dup_lines": 0.9, "repeats": 0.9, "capitals": 0.55, "digits": 0.8}
+BINS, BIN_PER_E = 160, 8.0
+#: Code points of a word that count for the spread of word lengths, so that a key or an address in a text is one long word only.
+LONG_WORD = 20
+#: Transformed statistics, and a usual centre and spread of each: what WEIGHT rows are assumed to have shown before any row is read.
+PRIOR = {"word_length": (1.6, 0.1), "length_spread": (0.9, 0.15), "diversity": (0.95, 0.03), "marks": (-3.5, 0.4), "capitals": (-4.0, 0.5), "line_words": (3.7, 0.8)}
+WEIGHT = 30.0
 
 _WS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))
-_DIGIT = np.isin(np.arange(256), list(range(48, 58)))
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_digits")
+_MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_distinct", "capped", "capped2")
+CHUNK = 1 << 20
 
 
-def _lines_and_repeats(text: bytes) -> tuple[int, int, int]:
-    """Lines with a word, those equal to an earlier one, and words inside three-word windows that occur twice or more."""
+def _by_lines_and_words(text: bytes) -> tuple[int, int, int, int]:
+    """Lines with a word, those equal to an earlier one, words inside three-word windows that occur twice or more, and distinct words."""
     lines = [x for x in text.split(b"\n") if x.strip()]
     dup = len(lines) - len(set(lines))
     words = text.split()
     windows = list(zip(words, words[1:], words[2:]))
     if len(set(windows)) == len(windows):
-        return len(lines), dup, 0
+        return len(lines), dup, 0, len(set(words))
     seen = Counter(windows)
     covered = bytearray(len(words))
     for i, w in enumerate(windows):
         if seen[w] > 1:
             covered[i : i + 3] = b"\1\1\1"
-    return len(lines), dup, sum(covered)
+    return len(lines), dup, sum(covered), len(set(words))
 
 
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     """The counts of COUNTS for every text."""
     out = {k: np.zeros(len(texts), np.int64) for k in COUNTS}
-    for lo, hi, data, offsets in byte_chunks(texts):
-        ws = _WS[data]
-        starts = ~ws
-        starts[1:] &= ws[:-1]
-        first = offsets[:-1][offsets[:-1] < offsets[1:]]
-        starts[first] = ~ws[first]
-        out["n_words"][lo:hi] = sums_between(starts, offsets)
-        out["word_chars"][lo:hi] = sums_between(((data & 0xC0) != 0x80) & ~ws, offsets)
-        for k, table in (("n_symbols", _SYMBOL), ("n_capitals", _UPPER), ("n_digits", _DIGIT)):
+    for lo, hi, data, offsets in byte_chunks(texts, CHUNK):
+        word = ~_WS[data]
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        start = np.flatnonzero(word & (edge[:-1] | ~np.r_[False, word[:-1]]))
+        end = np.flatnonzero(word & (edge[1:] | ~np.r_[word[1:], False])) + 1
+        points = np.zeros(len(data) + 1, np.int64)
+        np.cumsum(word & ((data & 0xC0) != 0x80), out=points[1:])
+        first = np.searchsorted(start, offsets)
+        out["n_words"][lo:hi] = np.diff(first)
+        out["word_chars"][lo:hi] = np.diff(points[offsets])
+        capped = np.r_[0, np.minimum(points[end] - points[start], LONG_WORD)]
+        out["capped"][lo:hi] = np.diff(np.cumsum(capped)[first])
+        out["capped2"][lo:hi] = np.diff(np.cumsum(capped * capped)[first])
+        for k, table in (("n_symbols", _SYMBOL), ("n_capitals", _UPPER), ("n_marks", _MARK)):
             out[k][lo:hi] = sums_between(table[data], offsets)
         raw = data.tobytes()
         for i in range(hi - lo):
-            out["n_lines"][lo + i], out["n_dup_lines"][lo + i], out["n_repeat_words"][lo + i] = _lines_and_repeats(raw[offsets[i] : offsets[i + 1]])
+            for k, v in zip(("n_lines", "n_dup_lines", "n_repeat_words", "n_distinct"), _by_lines_and_words(raw[offsets[i] : offsets[i + 1]])):
+                out[k][lo + i] = v
     return out
 
 
@@ -103,16 +117,19 @@ def base_failed(q: str = "q") -> Column:
 
 
 def statistics(q: str = "q") -> list[Column]:
-    """The transformed statistics: logarithms of the mean word length and of shares in per cent."""
+    """The transformed statistics, all continuous: logarithms of the mean and the spread of word lengths, of distinct words on the scale
+    of all words, of the odds of marks and capitals among the characters, and of the words of a line."""
     c = lambda k: F.col(f"{q}.{k}").cast("double")
-    share = lambda k, of: F.log1p(100 * c(k) / F.greatest(c(of), F.lit(1.0)))
+    words = F.greatest(c("n_words"), F.lit(1.0))
+    odds = lambda k: F.log((c(k) + 0.5) / (F.greatest(c("word_chars") - c(k), F.lit(0.0)) + 0.5))
+    mean = c("capped") / words
     return [
-        F.log(F.greatest(c("word_chars"), F.lit(1.0)) / F.greatest(c("n_words"), F.lit(1.0))),
-        share("n_symbols", "n_words"),
-        share("n_dup_lines", "n_lines"),
-        share("n_repeat_words", "n_words"),
-        share("n_capitals", "n_words"),
-        share("n_digits", "n_words"),
+        F.log(F.greatest(c("word_chars"), F.lit(1.0)) / words),
+        0.5 * F.log(F.greatest(c("capped2") / words - mean * mean, F.lit(0.0)) + 0.05),
+        F.log(F.greatest(c("n_distinct"), F.lit(1.0))) / F.log(words + 1),
+        odds("n_marks"),
+        odds("n_capitals"),
+        F.log(words / F.greatest(c("n_lines"), F.lit(1.0))),
     ]
 
 
@@ -124,8 +141,11 @@ def _even_chi2_cdf(x: float, dof: int) -> float:
     return 1 - float(np.exp(-x / 2)) * total
 
 
+@lru_cache(4096)
 def consistency(p: int, support: float) -> float:
     """Factor that makes the covariance of the nearest share of Gaussian rows unbiased (p even)."""
+    if support >= 1:
+        return 1.0
     lo, hi = 0.0, 100.0
     for _ in range(80):
         mid = (lo + hi) / 2
@@ -133,104 +153,182 @@ def consistency(p: int, support: float) -> float:
     return support / _even_chi2_cdf(lo, p + 2)
 
 
-def _pairs() -> list[tuple[int, int]]:
-    return [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
+P = len(PRIOR)
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_GROUP = "g struct<lang: string, source: string>"
 
 
-def _whitening(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Turns sums into a centre and a whitening matrix: the squared length of matrix (x - centre) is the squared distance."""
-    p, floors, factor = len(STATS), np.array(list(STATS.values())), consistency(len(STATS), SUPPORT)
-    for frame in frames:
-        centres, matrices = [], []
-        for n, s, c in zip(frame["n"], frame["s"], frame["c"]):
-            mean = np.asarray(s, float) / n
-            cov = np.zeros((p, p))
-            for (i, j), v in zip(_pairs(), c):
-                cov[i, j] = cov[j, i] = v / n - mean[i] * mean[j]
-            cov = cov * factor + np.diag(floors**2)
-            centres.append(mean)
-            matrices.append(np.linalg.inv(np.linalg.cholesky(cov)).ravel())
-        yield pd.DataFrame({"g": frame["g"], "centre": centres, "matrix": matrices})
+def square(upper: np.ndarray) -> np.ndarray:
+    """Symmetric matrix from its upper triangle, row by row."""
+    out = np.zeros((P, P))
+    for (i, j), v in zip(_PAIRS, upper):
+        out[i, j] = out[j, i] = v
+    return out
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
-    return sums.mapInPandas(_whitening, "g struct<lang: string, source: string>, centre array<double>, matrix array<double>")
+def moments(n: float, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of n rows from their sums and the sums of their products."""
+    mean = np.asarray(s, float) / n
+    return mean, square(np.asarray(c, float) / n) - np.outer(mean, mean)
 
 
-def _distance2() -> Column:
-    p = len(STATS)
-    diff = [F.col("x")[j] - F.col("centre")[j] for j in range(p)]
-    rows = [reduce(Column.__add__, (F.col("matrix")[i * p + j] * diff[j] for j in range(i + 1))) for i in range(p)]
-    return reduce(Column.__add__, (r * r for r in rows))
+def steadied(n: float, cov: np.ndarray) -> np.ndarray:
+    """The covariance of n rows together with WEIGHT rows of the prior."""
+    return (n * cov + WEIGHT * np.diag([spread**2 for _, spread in PRIOR.values()])) / (n + WEIGHT)
+
+
+def whitening(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """W with squared distance |W (x - centre)|**2, and the logarithm of the determinant."""
+    root = np.linalg.cholesky(cov)
+    return np.linalg.inv(root), 2 * float(np.log(np.diag(root)).sum())
+
+
+def _table(rows: list[list], like: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    kinds = {"start": pa.int32(), "n": pa.float64(), "det": pa.float64()}
+    columns = [pa.array([r[k] for r in rows], kinds.get(name, pa.list_(pa.float64()))) for k, name in enumerate(names)]
+    return pa.RecordBatch.from_arrays([like.column("g"), *columns], names=["g", *names])
+
+
+def _estimated(sums: DataFrame) -> DataFrame:
+    """(g, start, n, centre, cov, matrix, det) from (g, start, n, total, s, c): estimates of the n nearest of total rows."""
+    names = ["start", "n", "centre", "cov", "matrix", "det"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for start, n, total, s, c in zip(*(batch.column(k).to_pylist() for k in ("start", "n", "total", "s", "c"))):
+                mean, cov = moments(n, s, c)
+                cov = steadied(n, cov * consistency(P, round(n / total, 3)))
+                matrix, det = whitening(cov)
+                rows.append([start, float(total), mean.tolist(), [cov[i, j] for i, j in _PAIRS], matrix.ravel().tolist(), det])
+            yield _table(rows, batch, names)
+
+    return sums.mapInArrow(run, f"{_GROUP}, start int, n double, centre array<double>, cov array<double>, matrix array<double>, det double")
+
+
+def _whitened(estimates: DataFrame) -> DataFrame:
+    """(g, centre, matrix) from (g, centre, cov)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [[centre, whitening(square(cov))[0].ravel().tolist()] for centre, cov in zip(batch.column("centre").to_pylist(), batch.column("cov").to_pylist())]
+            yield _table(rows, batch, ["centre", "matrix"])
+
+    return estimates.select("g", "centre", "cov").mapInArrow(run, f"{_GROUP}, centre array<double>, matrix array<double>")
 
 
-def _sums() -> list[Column]:
-    x = lambda i: F.col("x")[i]
-    return [F.count(F.lit(1)).alias("n"), F.array(*(F.sum(x(i)) for i in range(len(STATS)))).alias("s"), F.array(*(F.sum(x(i) * x(j)) for i, j in _pairs())).alias("c")]
+def _distance2() -> Column:
+    diff = [F.col("x")[j] - F.col("centre")[j] for j in range(P)]
+    rows = [reduce(Column.__add__, (F.col("matrix")[i * P + j] * diff[j] for j in range(i + 1))) for i in range(P)]
+    return reduce(Column.__add__, (r * r for r in rows))
 
 
-def grouped(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows with their group g: language and source, or a pool of the language's, or of all, small groups."""
-    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
-    sizes = rows.groupBy(lang.alias("l"), source.alias("s")).count()
-    own = F.col("count") >= MIN_GROUP
-    pool = sizes.where(~own).groupBy("l").agg(F.sum("count").alias("pool"))
-    sizes = sizes.join(pool.withColumnRenamed("l", "pl"), F.col("l").eqNullSafe(F.col("pl")), "left")
-    # struct fields: both null stands for the pool of all; a null source beside a language for the pool of that language
-    tag = F.when(own, F.struct(F.concat(F.lit("="), F.coalesce("l", F.lit("\0"))).alias("lang"), F.concat(F.lit("="), F.coalesce("s", F.lit("\0"))).alias("source")))
-    tag = tag.when(F.col("pool") >= MIN_GROUP, F.struct(F.concat(F.lit("="), F.coalesce("l", F.lit("\0"))).alias("lang"), F.lit("").alias("source")))
-    sizes = sizes.select("l", "s", tag.otherwise(F.struct(F.lit("").alias("lang"), F.lit("").alias("source"))).alias("g"))
-    return rows.join(sizes, lang.eqNullSafe(F.col("l")) & source.eqNullSafe(F.col("s")), "left").select(*keep, "g")
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.count(F.lit(1)).alias("n"), F.array(*(F.sum(v) for v in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("c")]
+
+
+def _tag(name: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
+
+
+def _group(lang: Column, source: Column) -> Column:
+    return F.struct(lang.alias("lang"), source.alias("source"))
+
+
+def grouped(rows: DataFrame) -> DataFrame:
+    """(g, x): each row of rows (lang, source, x) in the group of its language and source, that of its language, and that of all."""
+    every = [_group(_tag("lang"), _tag("source")), _group(_tag("lang"), F.lit("")), _group(F.lit(""), F.lit(""))]
+    return rows.select(F.explode(F.array(*every)).alias("g"), "x")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, start, n, centre, cov, matrix, det) of the three starts of each group of rows (g, x)."""
+    x = [F.col("x")[i] for i in range(P)]
+    quartiles = F.array(*(F.percentile_approx(v, [0.25, 0.5, 0.75], 200) for v in x))
+    whole = materialize(rows.groupBy("g").agg(quartiles.alias("q"), *_sums(x)).withColumn("total", F.col("n")))
+    middle = F.transform("q", lambda q: q[1])
+    scale = F.transform("q", lambda q: F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-6)))
+    flat = F.array(*(F.col("n") * (F.col("mid")[i] * F.col("mid")[j] + (F.col("scale")[i] * F.col("scale")[j] if i == j else F.lit(0.0))) for i, j in _PAIRS))
+    named = materialize(whole.select("g", "n", "total", "s", "c", middle.alias("mid"), scale.alias("scale")))
+    by_quartiles = named.select("g", F.lit(0).alias("start"), "n", "total", F.transform("mid", lambda v: v * F.col("n")).alias("s"), flat.alias("c"))
+    by_moments = named.select("g", F.lit(1).alias("start"), "n", "total", "s", "c")
+    z = [(x[i] - F.col("mid")[i]) / F.col("scale")[i] for i in range(P)]
+    length = F.sqrt(F.greatest(reduce(Column.__add__, (v * v for v in z)), F.lit(1e-12)))
+    signs = rows.join(broadcast_if_small(named.select("g", "mid", "scale")), "g").select("g", F.array(*(v / length for v in z)).alias("x"))
+    signs = signs.groupBy("g").agg(*_sums(x)).select("g", "n", F.col("c").alias("u"))
+    # the signs' covariance has trace 1: times P it is on the quartiles' scale
+    spread = F.array(*(F.col("n") * F.col("mid")[i] * F.col("mid")[j] + P * F.col("u")[k] * F.col("scale")[i] * F.col("scale")[j] for k, (i, j) in enumerate(_PAIRS)))
+    by_signs = signs.join(named.drop("n", "s", "c"), "g").select("g", F.lit(2).alias("start"), "n", "total", F.transform("mid", lambda v: v * F.col("n")).alias("s"), spread.alias("c"))
+    return materialize(_estimated(by_quartiles.union(by_moments).union(by_signs)))
+
+
+def _step(rows: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Estimates of the nearest share of each group's rows under its last estimates."""
+    by_bin = Window.partitionBy("g", "start").orderBy("bin")
+    bin_ = F.least(F.greatest((BIN_PER_E * F.log(_distance2() + 1e-6) + BINS / 2).cast("int"), F.lit(0)), F.lit(BINS - 1))
+    near = rows.join(broadcast_if_small(estimates.select("g", "start", "centre", "matrix")), "g").select("g", "start", "x", bin_.alias("bin"))
+    bins = near.groupBy("g", "start", "bin").agg(*_sums([F.col("x")[i] for i in range(P)]))
+    run = lambda name, k: F.array(*(F.sum(F.col(name)[i]).over(by_bin) for i in range(k)))
+    total = F.sum("n").over(Window.partitionBy("g", "start"))
+    upto = bins.select("g", "start", "bin", F.sum("n").over(by_bin).alias("n"), run("s", P).alias("s"), run("c", len(_PAIRS)).alias("c"), total.alias("total"))
+    nearest = upto.where(F.col("n") >= SUPPORT * F.col("total")).groupBy("g", "start").agg(F.min_by(F.struct("n", "total", "s", "c"), "bin").alias("v"))
+    return materialize(_estimated(nearest.select("g", "start", "v.*")))
+
+
+def concentrated(rows: DataFrame) -> DataFrame:
+    """(g, n, centre, cov) of each group of rows (g, x): the estimate of least determinant."""
+    last = _starts(rows)
+    for k in range(MOST_STEPS):
+        new = _step(rows, last)
+        if k + 1 < FIRST_STEPS:
+            last = new
+            continue
+        if k + 1 == FIRST_STEPS:
+            best = new.groupBy("g").agg(F.min_by(F.struct("start", "n", "centre", "cov", "matrix", "det"), F.struct("det", "start")).alias("v"))
+            last = materialize(best.select("g", "v.*"))
+            continue
+        before = last.select("g", F.struct("start", "n", "centre", "cov", "matrix", "det").alias("b"))
+        both = new.join(before, "g").withColumn("falls", F.col("det") < F.col("b.det") - TOLERANCE)
+        chosen = F.when(F.col("falls"), F.struct("start", "n", "centre", "cov", "matrix", "det")).otherwise(F.col("b"))
+        both = materialize(both.select("g", "falls", chosen.alias("v")))
+        last = both.select("g", "v.*")
+        if not both.where("falls").limit(1).count():
+            break
+    return last.select("g", "n", "centre", "cov")
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """MCD estimates (g, centre, matrix) of rows (g, x) by concentration steps, from all rows' mean and covariance
-    of the nearest three quarters by coordinate-wise spread."""
-    start = rows.groupBy("g").agg(*(F.percentile_approx(F.col("x")[i], 0.5, 200).alias(f"m{i}") for i in range(len(STATS))))
-    floors = list(STATS.values())
-    p = len(STATS)
-    eye = F.array(*(F.lit(1.0 / floors[i] if i == j else 0.0) for i in range(p) for j in range(p)))
-    params = start.select("g", F.array(*(F.col(f"m{i}") for i in range(p))).alias("centre"), eye.alias("matrix"))
-    params = broadcast_if_small(materialize(params))
-    by_bin = Window.partitionBy("g").orderBy("bin")
-    for _ in range(STEPS):
-        near = rows.join(params, "g").withColumn("bin", F.least(F.greatest((BIN_PER_E * F.log(_distance2() + 1e-6) + BINS / 2).cast("int"), F.lit(0)), F.lit(BINS - 1)))
-        bins = near.groupBy("g", "bin").agg(*_sums())
-        run = lambda name, k: F.array(*(F.sum(F.col(name)[i]).over(by_bin) for i in range(k)))
-        total = F.sum("n").over(Window.partitionBy("g"))
-        cum = bins.select("g", "bin", F.sum("n").over(by_bin).alias("n"), run("s", p).alias("s"), run("c", len(_pairs())).alias("c"), total.alias("total"))
-        nearest = cum.where(F.col("n") >= SUPPORT * F.col("total")).groupBy("g").agg(F.min_by(F.struct("n", "s", "c"), "bin").alias("v")).select("g", "v.*")
-        params = broadcast_if_small(materialize(_estimate(nearest)))
-    return params
+    """(g, centre, matrix) of each language and source of rows (lang, source, x): its MCD estimate, shrunk towards its language's,
+    and that towards that of all rows."""
+    found = concentrated(grouped(rows))
+    shrunk = lambda name: F.zip_with(F.col(name), F.col(f"p.{name}"), lambda a, b: (F.col("n") * a + WEIGHT * b) / (F.col("n") + WEIGHT)).alias(name)
+    parent = lambda df, *by: df.select(*(F.col(f"g.{b}").alias(f"_{b}") for b in by), F.struct("centre", "cov").alias("p"))
+    whole = found.where("g.lang = ''")
+    langs = found.where("g.lang <> '' AND g.source = ''").withColumn("_source", F.lit(""))
+    langs = langs.join(F.broadcast(parent(whole, "source")), "_source").select("g", "n", shrunk("centre"), shrunk("cov"))  # one row
+    pairs = found.where("g.source <> ''").withColumn("_lang", F.col("g.lang"))
+    pairs = pairs.join(parent(langs, "lang"), "_lang").select("g", "n", shrunk("centre"), shrunk("cov"))
+    return broadcast_if_small(materialize(_whitened(pairs)))
 
 
 def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns keep, the counts q, base_failed, distance2 and kept, of every row of docs (text, lang, source).
 
     The rows with their counts are written to shared storage once; the estimates read only their narrow columns.
-    A text is needed again only where keep names it.
+    A text is needed again only where keep names it. Rows of a language and source without a text that passes the base rules have no
+    distance.
     """
     carried = list(dict.fromkeys([*keep, "lang", "source"]))
     rows = materialize(with_counts(docs, carried))
-    x = F.array(*statistics()).alias("x")
-    narrow = materialize(grouped(rows.where(~base_failed()).select("lang", "source", x), ["x"]))
-    params = fit(narrow)
-    names = grouped_names(rows.where(~base_failed()))
-    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
-    table = names.join(params, "g").drop("g")
-    out = rows.join(table, lang.eqNullSafe(F.col("l")) & source.eqNullSafe(F.col("s")), "left")
-    out = out.withColumn("x", F.array(*statistics())).withColumn("distance2", _distance2())
+    narrow = materialize(rows.where(~base_failed()).select("lang", "source", F.array(*statistics()).alias("x")))
+    params = fit(narrow).select("g.lang", "g.source", "centre", "matrix").toDF("_lang", "_source", "centre", "matrix")
+    named = rows.withColumn("_lang", _tag("lang")).withColumn("_source", _tag("source"))
+    out = named.join(params, ["_lang", "_source"], "left").withColumn("x", F.array(*statistics())).withColumn("distance2", _distance2())
     failed = base_failed()
     kept = ~failed & F.coalesce(F.col("distance2") <= CUTOFF**2, F.lit(True))
     return out.select(*keep, "q", failed.alias("base_failed"), F.round("distance2", 6).alias("distance2"), kept.alias("kept"))
 
 
-def grouped_names(rows: DataFrame) -> DataFrame:
-    """(l, s, g): the group of each language and source."""
-    pairs = rows.select("lang", "source")
-    return grouped(pairs, [F.col("lang").cast("string").alias("l"), F.col("source").cast("string").alias("s")]).distinct()
-
-
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     names = docs.columns
