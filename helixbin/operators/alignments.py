@@ -56,17 +56,49 @@ def runs(spanned: DataFrame, keys: list[str]) -> DataFrame:
     return swept.where("depth > 0")
 
 
-def zero_filled(depths: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, depth ARRAY<INT>) with a value for every position of (keys, length), zeros included."""
-    packed = depths.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("pos", F.col("depth").cast("int")))).alias("m"))
-    every = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda p: F.coalesce(F.try_element_at("m", p), F.lit(0)))
-    return lengths.where("length > 0").join(packed, keys, "left").select(*keys, every.alias("depth"))
+def zero_filled(runs: DataFrame, lengths: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, depth ARRAY<INT>) with a value for every position of (keys, length), zeros included, from runs (keys, start, end, depth)
+    that do not overlap. The array is put together from the runs and the gaps between them, so that its cost is its length."""
+    packed = runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("depth").cast("int").alias("depth")))).alias("r"))
+    rows = lengths.where("length > 0").join(packed, keys, "left")
+    none = F.array().cast("array<struct<start:int,end:int,depth:int>>")
+    inside = F.filter(F.coalesce(F.col("r").cast("array<struct<start:int,end:int,depth:int>>"), none), lambda x: (x["start"] < F.col("length")) & (x["end"] > 0))
+    rows = rows.select(*keys, F.col("length").cast("int").alias("length"), inside.alias("r"))
+    before = lambda i: F.when(i > 0, F.get(F.col("r"), i - 1)["end"]).otherwise(F.lit(0))
+    zeros = lambda n: F.array_repeat(F.lit(0), F.greatest(n, F.lit(0)))
+    clipped = lambda x: F.array_repeat(x["depth"], F.least(x["end"], F.col("length")) - F.greatest(x["start"], F.lit(0)))
+    each = F.transform("r", lambda x, i: F.concat(zeros(x["start"] - before(i)), clipped(x)))
+    last = F.coalesce(F.get(F.col("r"), F.size("r") - 1)["end"], F.lit(0))
+    return rows.select(*keys, F.concat(F.flatten(each), zeros(F.col("length") - last)).alias("depth"))
+
+
+def valid_runs(contigs: DataFrame) -> DataFrame:
+    """(contig, start, end, shift) of the maximal stretches of letters other than N: a position p there becomes p - shift once all N
+    are dropped. A row a stretch, not a base."""
+    pieces = contigs.select("contig", F.regexp_extract_all(F.upper("seq"), F.lit("N+|[^N]+"), F.lit(0)).alias("p"))
+    # running lengths: of all pieces, and of those of N
+    fold = F.aggregate("p", F.struct(F.lit(0).alias("at"), F.lit(0).alias("gone"), F.array().cast("array<struct<start:int,end:int,shift:int>>").alias("out")), _advance, lambda s: s["out"])
+    return pieces.select("contig", F.explode(fold).alias("r")).select("contig", "r.*")
+
+
+def _advance(state: Column, piece: Column) -> Column:
+    n, gap = F.length(piece), F.startswith(piece, F.lit("N"))
+    end = state["at"] + n
+    here = F.struct(state["at"].alias("start"), end.alias("end"), state["gone"].alias("shift"))
+    return F.struct(end.alias("at"), (state["gone"] + F.when(gap, n).otherwise(0)).alias("gone"), F.when(gap, state["out"]).otherwise(F.concat(state["out"], F.array(here))).alias("out"))
+
+
+def masked_runs(runs: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Runs (contig, ..., start, end, depth) cut to the valid letters of contigs, re-indexed as if all N were dropped."""
+    valid = valid_runs(contigs).toDF("contig", "_lo", "_hi", "_shift")
+    both = runs.join(valid, "contig").where((F.col("start") < F.col("_hi")) & (F.col("end") > F.col("_lo")))
+    cut = both.withColumn("start", F.greatest("start", "_lo") - F.col("_shift")).withColumn("end", F.least("end", "_hi") - F.col("_shift"))
+    return cut.drop("_lo", "_hi", "_shift")
 
 
 def valid_positions(contigs: DataFrame) -> DataFrame:
     """(contig, pos, new_pos) of letters other than N: the position, and the position once all N are dropped."""
-    letters = contigs.select("contig", F.posexplode(F.split(F.upper("seq"), "")).alias("pos", "base")).where("base <> 'N' AND base <> ''")
-    return letters.select("contig", "pos", (F.row_number().over(Window.partitionBy("contig").orderBy("pos")) - 1).alias("new_pos"))
+    return valid_runs(contigs).select("contig", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "shift").select("contig", "pos", (F.col("pos") - F.col("shift")).alias("new_pos"))
 
 
 def masked(coverage: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -74,21 +106,29 @@ def masked(coverage: DataFrame, contigs: DataFrame) -> DataFrame:
     return coverage.join(valid_positions(contigs), ["contig", "pos"]).withColumn("pos", F.col("new_pos")).drop("new_pos")
 
 
+def totals(runs: DataFrame) -> DataFrame:
+    """(contig, sample, depth): the summed depth of runs (contig, sample, start, end, depth)."""
+    return runs.groupBy("contig", "sample").agg(F.sum((F.col("end") - F.col("start")) * F.col("depth")).alias("depth"))
+
+
 def prevalence(depths: DataFrame, lengths: DataFrame, min_prevalence: int = 2, noise: float = 0.1) -> DataFrame:
-    """(contig, prevalence, kept): samples whose mean depth over the whole length, zeros included, exceeds the noise."""
+    """(contig, prevalence, kept): samples whose mean depth over the whole length, zeros included, exceeds the noise.
+    depths (contig, sample, depth) has a row a position, or any partial sums of these."""
     sums = depths.groupBy("contig", "sample").agg(F.sum("depth").alias("total")).join(lengths, "contig")
     per = sums.groupBy("contig").agg(F.count_if(F.col("total") / F.col("length") > noise).alias("n"))
     out = lengths.select("contig").join(per, "contig", "left").select("contig", F.coalesce("n", F.lit(0)).cast("long").alias("prevalence"))
     return out.withColumn("kept", F.col("prevalence") >= min_prevalence)
 
 
-def exclusions(depths: DataFrame, lengths: DataFrame, min_prevalence: int = 2, noise: float = 0.1) -> DataFrame:
-    """(contig, reason, value) of the rows that prevalence rejects; the value lists the means by sample to one decimal."""
+def exclusions(depths: DataFrame, lengths: DataFrame, samples: list, min_prevalence: int = 2, noise: float = 0.1) -> DataFrame:
+    """(contig, reason, value) of the rows that prevalence rejects; the value lists the means of all samples, in their order and to one
+    decimal, those without a read as 0.0."""
     gone = prevalence(depths, lengths, min_prevalence, noise).where("NOT kept").select("contig")
-    means = depths.groupBy("contig", "sample").agg(F.sum("depth").alias("t")).join(lengths, "contig").select("contig", "sample", F.round(F.col("t") / F.col("length"), 1).alias("m"))
-    listed = means.groupBy("contig").agg(F.array_sort(F.collect_list(F.struct("sample", "m"))).alias("l"))
-    text = F.array_join(F.transform("l", lambda x: x["m"].cast("string")), ",")
-    return gone.join(listed, "contig", "left").select("contig", F.lit("prevalence").alias("reason"), F.coalesce(text, F.lit("")).alias("value"))
+    means = depths.groupBy("contig", "sample").agg(F.sum("depth").alias("t")).join(lengths, "contig").select("contig", F.struct("sample", F.round(F.col("t") / F.col("length"), 1).alias("m")).alias("m"))
+    listed = means.groupBy("contig").agg(F.map_from_entries(F.collect_list("m")).alias("l"))
+    value = lambda s: F.coalesce(F.try_element_at("l", s), F.lit(0.0)).cast("double").cast("string")
+    text = F.array_join(F.transform(F.array(*map(F.lit, samples)), value), ",")
+    return gone.join(listed, "contig", "left").select("contig", F.lit("prevalence").alias("reason"), text.alias("value"))
 
 
 def by_length(contigs: DataFrame, min_length: int) -> DataFrame:

@@ -35,6 +35,11 @@ def positive_pairs(frags: DataFrame, fppc: int, seed: int = 1) -> DataFrame:
     return whole.unionByName(drawn.select("contig", pick(0).alias("i"), pick(1).alias("j")))
 
 
+def some_of(rows: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """n of the pairs (contig, i, j), or all if there are fewer: the first in a fixed pseudo-random order, so that reruns agree."""
+    return rows.orderBy(F.xxhash64("contig", "i", "j", F.lit(seed)), "contig", "i", "j").limit(n)
+
+
 def negative_pairs(frags: DataFrame, n_pairs: int, seed: int = 1) -> DataFrame:
     """(pair, a, i, b, j): draws of two different contigs and a fragment of each, from (contig, n), uniform over contigs.
 

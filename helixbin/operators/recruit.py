@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a block of references that one row of the blocked join carries.
+BLOCK = 512
+
 
 def percentile_vectors(depths: DataFrame, percentiles: list[float] | None = None) -> DataFrame:
     """(contig, sample, pct): interpolated percentiles 0 to 99 of the depths (contig, sample, depth), zeros included."""
@@ -16,17 +23,41 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
+def _mean_distances(queries: DataFrame, refs: DataFrame) -> DataFrame:
+    """(contig, bin, sample, dist): the mean distance of queries (contig, sample, pct) to refs (bin, sample, ref, rp) of each bin, by sample."""
+    sizes = refs.groupBy("bin", "sample").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    dealt = refs.join(sizes, ["bin", "sample"]).withColumn("block", F.pmod(F.xxhash64("ref"), "blocks"))
+    packed = dealt.groupBy("bin", "sample", "block").agg(F.flatten(F.collect_list("rp")).alias("rps"))
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *refs.schema]}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, total = [], []
+            pcts, rps = batch.column("pct"), batch.column("rps")
+            for k in range(batch.num_rows):
+                x = pcts[k].values.to_numpy()
+                y = rps[k].values.to_numpy().reshape(-1, len(x))
+                total.append(float(np.sqrt(np.square(y - x).sum(axis=1)).sum()))
+                n.append(len(y))
+            yield pa.RecordBatch.from_arrays([batch.column("contig"), batch.column("bin"), batch.column("sample"), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["contig", "bin", "sample", "n", "total"])
+
+    each = queries.select("contig", "sample", "pct").join(packed, "sample").select("contig", "bin", "sample", "pct", "rps")
+    parts = each.mapInArrow(run, f"contig {kind['contig']}, bin {kind['bin']}, sample {kind['sample']}, n bigint, total double")
+    return parts.groupBy("contig", "bin", "sample").agg((F.sum("total") / F.sum("n")).alias("dist"))
+
+
 def recruits(vectors: DataFrame, bins: DataFrame, lengths: DataFrame, min_bin_size: int = 3, shorter: int = 2048, longer: int = 1024) -> DataFrame:
     """(contig, bin, score): contigs with longer < length < shorter join the bin of least mean distance over the samples, the
     lower bin on ties, if in no sample they are farther from its contigs than those are from each other on average.
 
-    Every query meets every bin's contigs, which is the operator's definition; the join is by sample, so that it is hashed."""
+    Every query meets every bin's contigs, which is the operator's definition: references are packed into blocks of BLOCK rows of a bin
+    and sample, and a worker computes a query's distances to a whole block at once."""
     sized = bins.join(bins.groupBy("bin").count().where(F.col("count") >= min_bin_size).select("bin"), "bin", "left_semi")
     refs = sized.join(vectors, "contig").select("bin", "sample", F.col("contig").alias("ref"), F.col("pct").alias("rp"))
     other = refs.select("bin", "sample", F.col("ref").alias("ref2"), F.col("rp").alias("rp2"))
     intra = refs.join(other, ["bin", "sample"]).where("ref < ref2").groupBy("bin", "sample").agg(F.avg(_distance("rp", "rp2")).alias("intra"))
     queries = lengths.where((F.col("length") > longer) & (F.col("length") < shorter)).select("contig").join(vectors, "contig")
-    dist = queries.join(refs, "sample").groupBy("contig", "bin", "sample").agg(F.avg(_distance("pct", "rp")).alias("dist"))
+    dist = _mean_distances(queries, refs)
     samples = vectors.agg(F.count_distinct("sample").alias("n")).first()["n"]
     judged = dist.join(intra, ["bin", "sample"]).groupBy("contig", "bin").agg(F.every(F.col("dist") <= F.col("intra")).alias("ok"), F.count(F.lit(1)).alias("n"), F.avg("dist").alias("score"))
     fits = judged.where(F.col("ok") & (F.col("n") == samples))

@@ -55,14 +55,14 @@ def preprocess(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
             reads = files.read_samples(spark, cfg.alignments)
             for row in A.counters(reads, ["sample"], tests).orderBy("sample").collect():  # one row a sample
                 log.info("reads of sample %s: %s", row["sample"], row.asDict())
-            depths = A.depth(A.spans(reads.where(A.accepted(tests, cfg.compat)), cfg.compat), ["contig", "sample"])
+            covered = A.runs(A.spans(reads.where(A.accepted(tests, cfg.compat)), cfg.compat), ["contig", "sample"])
             valid = raw.join(out["contigs"].select("contig"), "contig", "left_semi")
-            depths = materialize(A.masked(depths, valid))
+            covered = materialize(A.masked_runs(covered, valid))
             lengths = out["contigs"].select("contig", "length")
-            gone = materialize(A.exclusions(depths, lengths, cfg.min_prevalence))
+            gone = materialize(A.exclusions(A.totals(covered), lengths, list(range(len(cfg.alignments))), cfg.min_prevalence))
             excluded = excluded.unionByName(gone)
             every = A.without_ids(lengths, gone).select("contig", "length", F.explode(F.sequence(F.lit(0), F.lit(len(cfg.alignments) - 1))).alias("sample"))
-            cover = A.zero_filled(depths, every, ["contig", "sample"])
+            cover = A.zero_filled(covered, every, ["contig", "sample"])
         else:
             raise ValueError("coverage needs alignments or a coverage table")
         cover = stage(spark, cfg.path("coverage"), lambda: cover, cfg.resume)
@@ -103,7 +103,7 @@ def make_pairs(spark: SparkSession, cfg: Config, contigs: DataFrame) -> tuple[Da
     def drawn(test: bool, n: int) -> DataFrame:
         own = materialize(named.join(parts.where(F.col("test") == test), "contig", "left_semi"))
         fppc = -(-(n // 2) // max(1, own.count()))
-        pos = pairs.positive_pairs(own, fppc, cfg.seed).limit(n // 2).select(F.col("contig").alias("a"), "i", F.col("contig").alias("b"), "j")
+        pos = pairs.some_of(pairs.positive_pairs(own, fppc, cfg.seed), n // 2, cfg.seed).select(F.col("contig").alias("a"), "i", F.col("contig").alias("b"), "j")
         neg = pairs.negative_pairs(own, n // 2, cfg.seed).select("a", "i", "b", "j")
         both = pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0)))
         a, b = named.select(F.col("contig").alias("a"), F.col("name").alias("na")), named.select(F.col("contig").alias("b"), F.col("name").alias("nb"))

@@ -26,7 +26,7 @@ def test_depth_and_runs_agree(spark):
     for r in A.runs(spanned, ["contig"]).collect():
         flat |= {p: r.depth for p in range(r.start, r.end)}
     assert flat == depth
-    dense = A.zero_filled(A.depth(spanned, ["contig"]), spark.createDataFrame([("V0", 12), ("V1", 2)], "contig string, length int"), ["contig"])
+    dense = A.zero_filled(A.runs(spanned, ["contig"]), spark.createDataFrame([("V0", 12), ("V1", 2)], "contig string, length int"), ["contig"])
     assert {r.contig: r.depth for r in dense.collect()} == {"V0": want + [0, 0], "V1": [0, 0]}
 
 
@@ -54,8 +54,8 @@ def test_prevalence_and_log(spark):
     lengths = spark.createDataFrame([(f"V{c}", 10) for c in range(4)], "contig string, length int")
     got = {r.contig: (r.prevalence, r.kept) for r in A.prevalence(depths, lengths).collect()}
     assert got == {"V0": (3, True), "V1": (1, False), "V2": (3, True), "V3": (0, False)}
-    gone = {r.contig: tuple(r)[1:] for r in A.exclusions(depths, lengths).collect()}
-    assert gone == {"V1": ("prevalence", "30.0"), "V3": ("prevalence", "")}
+    gone = {r.contig: tuple(r)[1:] for r in A.exclusions(depths, lengths, [0, 1, 2]).collect()}
+    assert gone == {"V1": ("prevalence", "0.0,0.0,30.0"), "V3": ("prevalence", "0.0,0.0,0.0")}
 
 
 def test_mask_and_sync(spark):
@@ -63,6 +63,12 @@ def test_mask_and_sync(spark):
     assert [(r.pos, r.new_pos) for r in A.valid_positions(df).orderBy("pos").collect()] == [(0, 0), (3, 1), (4, 2)]
     cover = spark.createDataFrame([("a", p, p * 10) for p in range(5)], "contig string, pos int, depth int")
     assert [(r.pos, r.depth) for r in A.masked(cover, df).orderBy("pos").collect()] == [(0, 0), (1, 30), (2, 40)]
+    runs = spark.createDataFrame([("a", 0, 2, 7), ("a", 2, 4, 8)], "contig string, start int, end int, depth int")
+    assert sorted((r.start, r.end, r.depth) for r in A.masked_runs(runs, df).collect()) == [(0, 1, 7), (1, 2, 8)]
+    odd = spark.createDataFrame([("n", "NNN"), ("e", ""), ("w", "acg")], "contig string, seq string")
+    assert sorted(map(tuple, A.valid_runs(odd).collect())) == [("w", 0, 3, 0)]
+    long = A.zero_filled(spark.createDataFrame([("a", p, p + 1, p) for p in range(0, 60000, 3)], "contig string, start int, end int, depth int"), spark.createDataFrame([("a", 60000)], "contig string, length int"), ["contig"])
+    assert long.first().depth == [p if p % 3 == 0 else 0 for p in range(60000)]
     x, y = (spark.createDataFrame([(c,) for c in s], "contig string") for s in ("abc", "bcd"))
     assert {r.contig: r.side for r in A.synchronized(x, y).collect()} == {"a": "left", "b": "both", "c": "both", "d": "right"}
     assert A.without_ids(x, y).select(F.collect_list("contig")).first()[0] == ["a"]
