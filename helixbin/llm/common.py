@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -45,13 +46,10 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """A table in the warehouse, which driver and executors share, hashed and sorted by key: joins and windows on key read it in place."""
-    spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"helixbin_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
-    return spark.table(name)
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that nothing refers to any more; else they stay until the driver needs memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, most_rows: int = 20000) -> DataFrame:

@@ -2,71 +2,80 @@
 
 A line's tokens are its distinct words. They are ordered by rarity: words are hashed into BUCKETS, the words of the
 whole corpus are counted by bucket, and rarer classes of buckets come first (any total order keeps the join exact). Two lines of
-Jaccard similarity SIMILARITY or more must share tokens among their first ones (prefix filter), have similar numbers of
-tokens (length filter), and have enough tokens left after the first shared one (positional filter). What passes is verified
-on whole token sets. A line is removed when an earlier line matches, by (doc_id, position), nulls last; lines without
-words stay. Words are compared by 56 bits of hash and their class.
+Jaccard similarity SIMILARITY or more must share a token among their first ones (prefix filter), have similar numbers of
+tokens (length filter), and have enough tokens left after the first shared one (positional filter). They also differ in no more
+tokens than the similarity allows, and so do the 64-bit parities of their tokens. What passes is verified on the words themselves.
+A line is removed when an earlier line matches, by (doc_id, position), nulls last; lines without words stay.
 
-Lines of equal tokens are one set from the start, and only a set's first line can be kept. Sets that share a prefix token
-are first compared with the earliest of them, so that a large group of near copies gives as many pairs as it has members;
-only sets that this does not settle are compared with all earlier partners.
+A prefix token of a bucket of HOT words or more would bring many chance partners together. Different lines that match share four
+tokens or more, the second of them among one more than the prefix, so such a token is joined as a pair with each later token there.
+
+Lines of equal tokens are one set from the start, and only a set's first line can be kept. Sets that share one of their rarest keys
+are first compared with the earliest of them and with their predecessor there, so that a large group of near copies gives as many
+pairs as it has members; only sets that this does not settle are compared with all earlier partners.
 
 Defined results: null and empty texts have one line without words; rows of equal doc_id and text are one document and get
-equal results; an empty table gives an empty result; other columns pass through ``without_repeats`` unchanged.
+equal results; ids that are no whole numbers count as null; lines of any length are compared whole; an empty table gives an empty
+result; other columns, also of clashing names, pass through ``without_repeats`` unchanged.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbin.llm.common import broadcast_if_small, bucketed, materialize
+from helixbin.llm.common import broadcast_if_small, materialize, release
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 SIMILARITY = 0.8
-#: Buckets in which words are counted, and the logarithmic classes of their counts: a printable character for each bucket, a
-#: string of fixed size in all, reaches the driver.
-BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 18, 93, 1.3, 4096
-#: Shared prefix tokens that make a candidate; prefixes are longer by one less, so that no match is missed.
-SHARED = 3
+#: Buckets in which words are counted, and classes of their counts, a factor apart: a number for each bucket, a fixed size in all.
+BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 19, 120, 1.3, 4096
+#: Words of a bucket from which its tokens are joined in pairs.
+HOT = 1000
+#: Rarest keys by which a set meets its leaders.
+LEADERS = 3
 #: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
 ID_BITS, LINE_BITS = 40, 23
 #: Sets to verify up to which they are broadcast to the texts; more of them are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
 
-def _words(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(WORD), F.lit(0))
+def _spaced(text: Column) -> Column:
+    """The text with a space for every other white space of a line."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), "\t\x0b\x0c\r", text)
+
+
+def _words(line: str) -> Column:
+    """Words of a trimmed line without white space but spaces."""
+    return F.when(F.contains(line, F.lit("  ")), F.array_remove(F.split(line, " "), "")).otherwise(F.split(line, " "))
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def _bucket(word: Column) -> Column:
-    return F.hash(word).bitwiseAND(BUCKETS - 1)
+def _class(count: Column) -> Column:
+    return F.least(F.floor(F.log(F.greatest(count, F.lit(1))) / math.log(FACTOR)), F.lit(CLASSES)).cast("long")
 
 
-def rarity(docs: DataFrame) -> Column:
-    """The class of each bucket of words by its count in all texts, one byte a bucket, as a constant."""
-    each = docs.select(F.explode(_words(_text())).alias("w")).select(_bucket(F.col("w")).alias("b"))
-    classes = each.groupBy("b").count().select(F.floor(F.col("b") / CHUNK).alias("c"), (F.col("b") % CHUNK).alias("i"), F.least(F.floor(F.log("count") / math.log(FACTOR)), F.lit(CLASSES)).cast("int").alias("v"))
-    rows = classes.groupBy("c").agg(F.array_join(F.collect_list(F.format_string("%04x%02x", "i", "v")), "").alias("m"))
-    place = np.full(BUCKETS, 33, np.uint8)
-    for c, m in rows.toLocalIterator():  # 3 bytes a bucket
-        raw = np.frombuffer(bytes.fromhex(m), np.uint8).reshape(-1, 3).astype(int)
-        place[c * CHUNK + raw[:, 0] * 256 + raw[:, 1]] = 33 + raw[:, 2]
-    return F.unhex(F.lit(place.tobytes().hex()))
+def rarity(docs: DataFrame) -> DataFrame:
+    """One row: the class of each bucket of words by its count in all texts, shifted by 56 bits, as an array of BUCKETS numbers."""
+    words = F.split(F.replace(_spaced(_text()), F.lit("\n"), F.lit(" ")), " ")
+    each = docs.select(F.explode(words).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b"))
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
+    counts = each.groupBy("b").count().union(every).groupBy("b").agg(F.sum("count").alias("n"))
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    chunks = counts.select("b", F.floor(F.col("b") / CHUNK).alias("c"), F.shiftleft(_class(F.col("n")), 56).alias("v")).groupBy("c").agg(in_order("b", "v").alias("v"))
+    return materialize(chunks.agg(F.flatten(in_order("c", "v")).alias("places")))
 
 
-def tokens(line: Column, places: Column) -> Column:
+def tokens(words: Column, places: Column) -> Column:
     """Sorted distinct tokens of a line: class of the word's bucket, then 56 bits of its hash."""
-    kind = lambda w: F.ascii(F.substring(places, _bucket(w) + 1, F.lit(1)).cast("string")).cast("long")
-    keyed = F.transform(F.array_distinct(_words(line)), lambda w: F.shiftleft(kind(w), 56).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 8)))
-    return F.sort_array(keyed)
+    hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(places, h.bitwiseAND(BUCKETS - 1)).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -74,24 +83,42 @@ def _need(a: Column, b: Column) -> Column:
     return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (a + b) - 1e-9)
 
 
-def _passes(x: str, y: str) -> Column:
-    """Length and positional filter for two entries: sizes n over places i of a shared token, packed as n * 2**32 + i."""
-    n, m = F.shiftright(x, 32), F.shiftright(y, 32)
-    i, j = F.col(x).bitwiseAND(0xFFFFFFFF), F.col(y).bitwiseAND(0xFFFFFFFF)
-    # of the shared tokens, up to SHARED - 1 may stand before this one, and are counted by rows of their own
-    return (F.least(n, m) >= F.ceil(SIMILARITY * F.greatest(n, m) - 1e-9)) & (F.least(n - i, m - j) + SHARED - 1 >= _need(n, m))
+def _keys(k: str, n: Column) -> Column:
+    """The join keys of sorted tokens k: each prefix token, hot ones with each later token up to the next after the prefix. An entry is
+    32 bits of hash, which can only add candidates, then the token's place."""
+    prefix = (n - F.ceil(SIMILARITY * n - 1e-9) + 1).cast("int")
+    wide = F.slice(k, 1, prefix + 1)
+    hot = F.lit(math.ceil(math.log(HOT) / math.log(FACTOR)) << 56)
+    single = lambda t, i: F.shiftleft(t, 32).bitwiseOR(i)
+    paired = lambda t, i: F.when(t < hot, F.array(single(t, i))).otherwise(F.transform(F.slice(wide, i + 2, n), lambda u: single(F.xxhash64(t, u), i)))
+    return F.when(F.element_at(k, prefix) < hot, F.transform(F.slice(k, 1, prefix), single)).otherwise(F.flatten(F.transform(F.slice(k, 1, prefix), paired)))
+
+
+def _parity(k: str) -> Column:
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+
+
+def _key(entry: str) -> Column:
+    return F.shiftright(entry, 32).cast("int")
 
 
-def _candidates(rows: DataFrame, x: str, y: str, xn: str, yn: str) -> DataFrame:
-    """Distinct (x, y) that share enough prefix tokens, from a row for each shared one; sets of fewer tokens share all they need."""
-    need = _need(F.shiftright(xn, 32), F.shiftright(yn, 32))
-    shared = rows.where(_passes(xn, yn)).select(F.col(x).alias("x"), F.col(y).alias("y"), F.least(need, F.lit(SHARED)).alias("need"))
-    return shared.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.first("need").alias("need")).where("c >= need").select("x", "y")
+def _packed(n: str, entry: str, open_: Column) -> Column:
+    """Size, place and whether the set is open, in one number."""
+    return F.shiftleft(F.col(n).cast("long"), 32) + 2 * F.col(entry).bitwiseAND(0x7FFFFFFF) + open_.cast("long")
+
+
+def _passes(xp: Column, xb: Column, yp: Column, yb: Column) -> Column:
+    """Length, positional and parity filter for two entries of a key."""
+    n, m = F.shiftright(xp, 32), F.shiftright(yp, 32)
+    i, j = (F.shiftright(p.bitwiseAND(0xFFFFFFFF), 1) for p in (xp, yp))
+    need = _need(n, m)
+    return (F.least(n, m) >= F.ceil(SIMILARITY * F.greatest(n, m) - 1e-9)) & (F.bit_count(xb.bitwiseXOR(yb)) <= n + m - 2 * need) & (F.least(n - i, m - j) >= need)
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
     """Adds did, the id with null last, and tk, a hash of the text: rows equal in both are one document."""
-    return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1))).withColumn("tk", F.xxhash64(_text()))
+    did = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1))
+    return docs.withColumn("did", did).withColumn("tk", F.xxhash64(_text()))
 
 
 def _with_places(lines: DataFrame) -> DataFrame:
@@ -106,8 +133,8 @@ def _with_places(lines: DataFrame) -> DataFrame:
     return materialize(lines.join(places, ["did", "tk", "pos"]))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, places: Column) -> DataFrame:
-    """Distinct sid x of the pairs (x, y) of sets that are similar."""
+def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Distinct sid x of the pairs (x, y) of sets whose words are similar."""
     pairs = materialize(pairs)
     wanted = materialize(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(sets.select("sid", "did", "tk", "pos"), "sid"))
     by_row = wanted.groupBy("did", "tk").agg(F.collect_set(F.struct("sid", "pos")).alias("w"))
@@ -115,38 +142,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame, places: Column
         by_row = F.broadcast(by_row)
     each = rows.select("did", "tk", "text").join(by_row, ["did", "tk"]).select(F.split(_text(), "\n").alias("ls"), "w")
     each = each.select(F.explode(F.transform("w", lambda x: F.struct(x["sid"].alias("sid"), F.element_at("ls", x["pos"] + 1).alias("line")))).alias("w"))
-    found = materialize(each.select("w.sid", tokens(F.col("w.line"), places).alias("k")))
+    each = each.select("w.sid", F.trim(_spaced(F.col("w.line"))).alias("line"))
+    found = materialize(each.select("sid", F.array_distinct(_words("line")).alias("k")).dropDuplicates(["sid"]))
     x, y = found.toDF("x", "xk"), found.toDF("y", "yk")
     both = pairs.join(x, "x").join(y, "y")
     return both.where(F.size(F.array_intersect("xk", "yk")) >= _need(F.size("xk"), F.size("yk"))).select("x").distinct()
 
 
+def _led(sets: DataFrame) -> DataFrame:
+    """Distinct (x, y) of sets and their leaders, the earliest set and the one before x with a key, that pass the filters."""
+    first_keys = sets.select("sid", "n", "bits", F.explode(F.slice("keys", 1, LEADERS)).alias("e"))
+    entries = first_keys.select(_key("e").alias("key"), F.struct("sid", _packed("n", "e", F.lit(0)).alias("p"), "bits").alias("e"))
+    in_order = Window.partitionBy("key").orderBy("e.sid")
+    led = entries.withColumn("first", F.first("e").over(in_order)).withColumn("last", F.lag("e").over(in_order)).where("last IS NOT NULL")
+    each = led.select("e", F.explode(F.array_distinct(F.array("first", "last"))).alias("y"))
+    return each.where(_passes(F.col("e.p"), F.col("e.bits"), F.col("y.p"), F.col("y.bits"))).select(F.col("e.sid").alias("x"), F.col("y.sid").alias("y")).distinct()
+
+
+def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Distinct (x, y) of sets x that are not settled and earlier sets y that share a key and pass the filters."""
+    marked = sets.join(settled.select(F.col("x").alias("sid"), F.lit(True).alias("settled")), "sid", "left")
+    entries = marked.select("sid", "n", "bits", "settled", F.explode("keys").alias("e")).select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits")
+    entries = entries.where("key IS NOT NULL AND sid IS NOT NULL AND p IS NOT NULL AND bits IS NOT NULL")  # or else the sides would differ in that
+    # both sides are the same rows, so that they are shuffled once; hence openness is judged with the order of the two
+    one, two = entries.toDF("key", "x", "xp", "xb"), entries.toDF("key", "y", "yp", "yb")
+    earlier = F.col("y") < F.when(F.col("xp").bitwiseAND(1) == 1, F.col("x")).otherwise(F.lit(-(1 << 63)))
+    return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb"))).select("x", "y").distinct()
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(did, tk, removed): sorted positions of the lines to remove, of the documents that have some."""
-    places = rarity(docs)
+    places = rarity(docs).scalar()
     rows = _row_keys(docs.select("doc_id", "text"))
-    lines = rows.select("did", "tk", F.posexplode(F.split(_text(), "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD)).withColumn("k", tokens(F.col("line"), places))
+    lines = rows.select("did", "tk", F.posexplode(F.split(_spaced(_text()), "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD))
+    lines = lines.select("did", "tk", "pos", F.trim("line").alias("line")).select("did", "tk", "pos", _words("line").alias("w"))
+    # a lambda may not hold a subquery; the two selections are collapsed into one, so that no row carries the places
+    lines = lines.select("did", "tk", "pos", "w", places.alias("places")).select("did", "tk", "pos", tokens(F.col("w"), F.col("places")).alias("k"))
     size = F.size("k")
-    # a prefix token keeps 32 bits: that can only add candidates
-    prefix = F.transform(F.slice("k", 1, (size - F.ceil(SIMILARITY * size - 1e-9) + SHARED).cast("int")), lambda t: F.hash(t))
-    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), prefix.alias("prefix")))
+    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), _parity("k").alias("bits"), _keys("k", size).alias("keys")))
     lines = _with_places(lines)
-    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "prefix"), "sid").alias("v")).select("s", "t", "v.*"))
-
-    every = sets.select("sid", "n", F.posexplode("prefix").alias("i", "token")).select("token", "sid", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("ni"))
-    by_token = Window.partitionBy("token")
-    in_order = by_token.orderBy("sid")
-    shared = every.withColumn("m", F.count(F.lit(1)).over(by_token)).withColumn("fs", F.first("sid").over(in_order)).withColumn("fn", F.first("ni").over(in_order))
-    # stored by token, so that partners meet without another shuffle
-    shared = bucketed(shared.where("m > 1").drop("m"), "token")
-    leaders = _candidates(shared.where("sid <> fs"), "sid", "fs", "ni", "fn")
-    later = materialize(_verified(leaders, sets, rows, places))
-
-    settled = broadcast_if_small(later, BROADCAST_ROWS).select(F.col("x").alias("sid"))
-    open_sets = shared.where("sid <> fs").join(settled, "sid", "left_anti").select("token", F.col("sid").alias("x"), F.col("ni").alias("xn"))
-    partners = shared.select("token", F.col("sid").alias("y"), F.col("ni").alias("yn"))
-    rest = _candidates(open_sets.join(partners, "token").where("y < x"), "x", "y", "xn", "yn")
-    later = later.union(_verified(rest, sets, rows, places))
+    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "bits", "keys"), "sid").alias("v")).select("s", "t", "v.*"))
+
+    release(docs.sparkSession)
+    later = materialize(_verified(_led(sets), sets, rows))
+    release(docs.sparkSession)
+    later = later.union(_verified(_partners(sets, broadcast_if_small(later, BROADCAST_ROWS)), sets, rows))
 
     verdict = sets.select("s", "t", F.col("sid").alias("first")).join(later.toDF("first").withColumn("later", F.lit(True)), "first", "left")
     gone = lines.select("did", "tk", "pos", "sid", "s", "t").join(verdict, ["s", "t"]).where(F.coalesce("later", F.lit(False)) | (F.col("sid") > F.col("first")))
