@@ -136,6 +136,7 @@ def _with_places(lines: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct sid x of the pairs (x, y) of sets whose words are similar."""
     pairs = materialize(pairs)
+    release(rows.sparkSession)  # the entries of the join that made the pairs are not needed beside the words
     wanted = materialize(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(sets.select("sid", "did", "tk", "pos"), "sid"))
     by_row = wanted.groupBy("did", "tk").agg(F.collect_set(F.struct("sid", "pos")).alias("w"))
     if wanted.count() <= BROADCAST_ROWS:
