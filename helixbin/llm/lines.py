@@ -4,7 +4,8 @@ A line's tokens are its distinct words. They are ordered by rarity: words are ha
 whole corpus are counted by bucket, and rarer classes of buckets come first (any total order keeps the join exact). Two lines of
 Jaccard similarity SIMILARITY or more must share a token among their first ones (prefix filter), have similar numbers of
 tokens (length filter), and have enough tokens left after the first shared one (positional filter). They also differ in no more
-tokens than the similarity allows, and so do the 64-bit parities of their tokens. What passes is verified on the words themselves.
+tokens than the similarity allows, and so do the 64-bit parities of their tokens. What passes is compared by longer parities of its
+words, and then verified on the words themselves.
 A line is removed when an earlier line matches, by (doc_id, position), nulls last; lines without words stay.
 
 A prefix token of a bucket of HOT words or more would bring many chance partners together. Different lines that match share four
@@ -37,6 +38,8 @@ BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 19, 120, 1.3, 4096
 HOT = 1000
 #: Rarest keys by which a set meets its leaders.
 LEADERS = 3
+#: 64-bit parities of a line's words by which candidates are compared before their words are.
+PARITIES = 4
 #: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
 ID_BITS, LINE_BITS = 40, 23
 #: Sets to verify up to which they are broadcast to the texts; more of them are joined by shuffle.
@@ -94,10 +97,15 @@ def _keys(k: str, n: Column) -> Column:
     return F.when(F.element_at(k, prefix) < hot, F.transform(F.slice(k, 1, prefix), single)).otherwise(F.flatten(F.transform(F.slice(k, 1, prefix), paired)))
 
 
-def _parity(k: str) -> Column:
+def _parity(k: str | Column) -> Column:
     return F.aggregate(k, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
 
 
+def _parities(hashes: str) -> Column:
+    """Parities of the hashes, dealt to PARITIES of them by further bits: sets differ in no fewer elements than their parities in bits."""
+    return F.array(*(_parity(F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(PARITIES - 1) == q)) for q in range(PARITIES)))
+
+
 def _key(entry: str) -> Column:
     return F.shiftright(entry, 32).cast("int")
 
@@ -144,9 +152,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     each = rows.select("did", "tk", "text").join(by_row, ["did", "tk"]).select(F.split(_text(), "\n").alias("ls"), "w")
     each = each.select(F.explode(F.transform("w", lambda x: F.struct(x["sid"].alias("sid"), F.element_at("ls", x["pos"] + 1).alias("line")))).alias("w"))
     each = each.select("w.sid", F.trim(_spaced(F.col("w.line"))).alias("line"))
-    found = materialize(each.select("sid", F.array_distinct(_words("line")).alias("k")).dropDuplicates(["sid"]))
-    x, y = found.toDF("x", "xk"), found.toDF("y", "yk")
-    both = pairs.join(x, "x").join(y, "y")
+    found = each.select("sid", F.array_distinct(_words("line")).alias("k")).dropDuplicates(["sid"]).withColumn("h", F.transform("k", lambda w: F.xxhash64(w)))
+    found = materialize(found.select("sid", "k", F.size("k").alias("n"), _parities("h").alias("b")))
+    # most candidates are long lines that 64 bits cannot tell apart; these are told apart on narrow rows, so that no words are shuffled for them
+    x, y = found.select("sid", "n", "b").toDF("x", "xn", "xb"), found.select("sid", "n", "b").toDF("y", "yn", "yb")
+    differ = reduce(Column.__add__, (F.bit_count(F.get("xb", F.lit(q)).bitwiseXOR(F.get("yb", F.lit(q)))) for q in range(PARITIES)))
+    close = pairs.join(x, "x").join(y, "y").where(differ <= F.col("xn") + F.col("yn") - 2 * _need(F.col("xn"), F.col("yn")))
+    close = materialize(close.select("x", "y"))
+    x, y = found.select("sid", "k").toDF("x", "xk"), found.select("sid", "k").toDF("y", "yk")
+    both = close.join(x, "x").join(y, "y")
     return both.where(F.size(F.array_intersect("xk", "yk")) >= _need(F.size("xk"), F.size("yk"))).select("x").distinct()
 
 
