@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixbin.llm import bpe, licenses, lines, mixing, neardup, quality, substrings, toxicity, urls, webp
+from helixbin.llm import bpe, centroids, conversations, licenses, lines, mixing, neardup, quality, substrings, topk, toxicity, urls, webp
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -64,5 +64,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_removed", F.array_join(F.transform("removed", lambda p: p.cast("string")), ",").alias("removed"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op7_substring_dedup, op8_toxicity, op9_near_duplicates, op10_line_dedup)}
-SQL: dict[str, str] = {"op1_license_scan": licenses.sql(), "op2_source_mix": mixing.sql(), "op6_url_filter": urls.sql()}
+def op11_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.judged(_read(spark, sf_dir, "conversations"))
+
+
+def op13_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.summarised(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_source_mix, op3_byte_bpe, op4_quality_rules, op5_lossless_webp, op6_url_filter, op7_substring_dedup,
+        op8_toxicity, op9_near_duplicates, op10_line_dedup, op11_exact_topk, op12_conversation_repair, op13_ball_kmeans,
+    )
+}
+SQL: dict[str, str] = {
+    "op1_license_scan": licenses.sql(),
+    "op2_source_mix": mixing.sql(),
+    "op6_url_filter": urls.sql(),
+    "op11_exact_topk": topk.sql(),
+    "op12_conversation_repair": conversations.sql(),
+    "op13_ball_kmeans": centroids.sql(),
+}
