@@ -6,6 +6,7 @@ of a user, a sample an event type; a latent vector is an embedding, ten to a con
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from helixbin.functions import sequence as S
 from helixbin.operators import alignments as A
 from helixbin.operators import embed, graph, latent, network, pairs, recruit, repeats
-from helixbin.sources.store import materialize
+from helixbin.sources import bam
+from helixbin.sources.store import materialize, shared_dir
 
 ALPHABET, DEALT = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
 FRAG, STEP, FRAGS, SCALE = 1024, 128, 30, 0.4
@@ -40,6 +42,20 @@ def alignments(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def as_bam(spark: SparkSession, d: str, scale: int = 1) -> str:
+    """The alignments as a folder of indexed BAM files in shared storage; positions are scaled."""
+    aligned = F.col("l_quantity").cast("int")
+    rows = table(spark, d, "lineitem").select(
+        F.concat_ws(".", "l_orderkey", "l_linenumber").alias("name"), (F.col("l_linenumber") * 256).cast("int").alias("flag"), F.col("l_suppkey").cast("string").alias("contig"),
+        ((F.col("l_partkey") % 1000) * scale).cast("int").alias("pos"), F.round(F.col("l_discount") * 1000).cast("int").alias("mapq"),
+        F.concat(aligned.cast("string"), F.lit("M"), F.when(aligned < 50, F.concat((50 - aligned).cast("string"), F.lit("S"))).otherwise("")).alias("cigar"),
+        (F.col("l_orderkey") % 700).cast("int").alias("tlen"), F.lit("*").alias("seq"),
+    )
+    path = f"{shared_dir(spark)}/alignments-{uuid.uuid4().hex}"
+    bam.write_bam(rows, path)
+    return path
+
+
 def coverage(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("contig"), F.col("event_type").alias("sample"), "event_id", F.col("value").alias("depth"))
 
@@ -97,9 +113,12 @@ def q04_length_filter(spark, d):
     return rows.select("contig", F.col("length").cast("long").alias("value"), F.when(F.col("kept"), "kept").otherwise("length").alias("reason"))
 
 
-@query(f"""WITH {A_SQL}, g AS (SELECT contig, count(*) AS total, count_if((flag & 256) = 0) AS "primary", count_if({T_SQL[0]}) AS mapped, count_if({T_SQL[1]}) AS quality, count_if({T_SQL[2]}) AS aligned, count_if({T_SQL[3]}) AS flagged, count_if({T_SQL[4]}) AS template FROM a GROUP BY contig)
+COUNTERS = f"""WITH {A_SQL}, g AS (SELECT contig, count(*) AS total, count_if((flag & 256) = 0) AS "primary", count_if({T_SQL[0]}) AS mapped, count_if({T_SQL[1]}) AS quality, count_if({T_SQL[2]}) AS aligned, count_if({T_SQL[3]}) AS flagged, count_if({T_SQL[4]}) AS template FROM a GROUP BY contig)
 SELECT contig, total, CAST("primary" AS BIGINT) AS "primary", CAST(mapped AS BIGINT) AS mapped, CAST(quality AS BIGINT) AS quality, CAST(aligned AS BIGINT) AS aligned, CAST(flagged AS BIGINT) AS flagged, CAST(template AS BIGINT) AS template,
-round("primary" / total, 6) AS primary_fraction, round(mapped / total, 6) AS mapped_fraction, round(quality / total, 6) AS quality_fraction, round(aligned / total, 6) AS aligned_fraction, round(flagged / total, 6) AS flagged_fraction, round(template / total, 6) AS template_fraction FROM g""")
+round("primary" / total, 6) AS primary_fraction, round(mapped / total, 6) AS mapped_fraction, round(quality / total, 6) AS quality_fraction, round(aligned / total, 6) AS aligned_fraction, round(flagged / total, 6) AS flagged_fraction, round(template / total, 6) AS template_fraction FROM g"""
+
+
+@query(COUNTERS)
 def q05_alignment_filter(spark, d):
     return A.counters(alignments(spark, d), ["contig"], A.predicates(**TESTS))
 
@@ -395,3 +414,20 @@ def q30_latents(spark, d):
 @query()
 def q31_terminal_repeats(spark, d):
     return repeats.terminal_repeats(contigs(spark, d))
+
+
+@query(COUNTERS)
+def q32_bam_counters(spark, d):
+    """The alignments written as BAM and read in splits of 256 KB; counters as of q05."""
+    reads = bam.read_bam(spark, [as_bam(spark, d)], split_bytes=256 << 10)
+    return A.counters(reads.withColumn("contig", F.col("contig").cast("long")), ["contig"], A.predicates(**TESTS))
+
+
+@query(f"""WITH {A_SQL} SELECT contig, count(*) AS reads, CAST(sum(least(s * 100 + e - s, 45000) - greatest(s * 100, 40000)) AS BIGINT) AS bases
+FROM a WHERE s * 100 < 45000 AND s * 100 + e - s > 40000 GROUP BY contig""")
+def q33_bam_window(spark, d):
+    """Reads of all contigs over positions 40000 to 45000, by the index."""
+    lo, hi = 40_000, 45_000
+    reads = bam.read_bam(spark, [as_bam(spark, d, 100)], window=(lo, hi)).withColumn("contig", F.col("contig").cast("long"))
+    inside = F.least("ref_end", F.lit(hi)) - F.greatest("ref_start", F.lit(lo))
+    return reads.groupBy("contig").agg(F.count(F.lit(1)).alias("reads"), F.sum(inside).cast("long").alias("bases"))

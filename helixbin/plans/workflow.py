@@ -14,7 +14,7 @@ from helixbin.functions import sequence as S
 from helixbin.operators import alignments as A
 from helixbin.operators import embed, graph, latent, network, pairs, recruit, repeats
 from helixbin.plans.config import Config
-from helixbin.sources import files
+from helixbin.sources import bam, files
 from helixbin.sources.store import exists, materialize, stage
 
 log = logging.getLogger("helixbin")
@@ -52,6 +52,7 @@ def preprocess(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
             cover = spark.read.parquet(cfg.coverage)
         elif cfg.alignments:
             tests = A.predicates(cfg.min_mapping_quality, cfg.min_aln_coverage, cfg.flag, tuple(cfg.tlen_range) if cfg.tlen_range else None)
+            bam.check_indexes([p for p in cfg.alignments if bam.is_bam(p)])
             reads = files.read_samples(spark, cfg.alignments)
             for row in A.counters(reads, ["sample"], tests).orderBy("sample").collect():  # one row a sample
                 log.info("reads of sample %s: %s", row["sample"], row.asDict())

@@ -1,10 +1,14 @@
-"""Files of the workflow: FASTA, SAM text, id lists, bins, and what stages report."""
+"""Files of the workflow: FASTA, SAM text and BAM, id lists, bins, and what stages report."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixbin.sources import bam
+
 #: FASTA suffixes, and the CIGAR letters that consume reference and query.
 FASTA_SUFFIXES = (".fa", ".fasta", ".fna")
 REFERENCE, QUERY, ALIGNED = "MDN=X", "MIS=X", "MI=X"
@@ -36,18 +40,20 @@ def read_sam(spark: SparkSession, path: str, sample: int = 0) -> DataFrame:
     """(sample, contig, flag, mapq, ref_start, ref_end, tlen, qlen, qalen) of SAM text; spans are 0-based and half-open.
     A read without a sequence has the length that its CIGAR implies."""
     c = F.split("value", "\t")
+    at = lambda i: F.get(c, F.lit(i))  # noqa: E731  null in header lines, however filters are ordered
     rows = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(c) >= 11))
-    rows = rows.select(c[2].alias("contig"), c[1].cast("int").alias("flag"), c[4].cast("int").alias("mapq"), (c[3].cast("int") - 1).alias("ref_start"), c[8].cast("int").alias("tlen"), c[5].alias("cigar"), c[9].alias("q"))
+    rows = rows.select(at(2).alias("contig"), at(1).cast("int").alias("flag"), at(4).cast("int").alias("mapq"), (at(3).cast("int") - 1).alias("ref_start"), at(8).cast("int").alias("tlen"), at(5).alias("cigar"), at(9).alias("q"))
     qlen = F.when(F.col("q") != "*", F.length("q")).otherwise(_cigar_length(QUERY))
     return rows.select(F.lit(sample).alias("sample"), "contig", "flag", "mapq", "ref_start", (F.col("ref_start") + _cigar_length(REFERENCE)).alias("ref_end"), "tlen", qlen.alias("qlen"), _cigar_length(ALIGNED).alias("qalen"))
 
 
 def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SAM files, numbered as samples in order."""
-    out = read_sam(spark, paths[0], 0)
-    for i, p in enumerate(paths[1:], 1):
-        out = out.unionByName(read_sam(spark, p, i))
-    return out
+    """SAM and BAM files (or folders of BAM files), numbered as samples in order."""
+    parts = []
+    for i, p in enumerate(paths):
+        rows = bam.read_bam(spark, [p]).withColumn("sample", F.lit(i)) if bam.is_bam(p) else read_sam(spark, p, i)
+        parts.append(rows)
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 from helixbin.plans.cli import main, parser
 from helixbin.plans.config import Config
-from helixbin.sources import files
+from helixbin.sources import bam, files
 
 
 def test_config_round_trip(tmp_path):
@@ -52,3 +52,23 @@ def test_end_to_end(spark, tmp_path):
         assert os.path.exists(tmp_path / "out" / name), name
     again = main(["cluster"], spark, output=str(tmp_path / "out"), resume=True)
     assert sorted(map(tuple, again.collect())) == first
+
+
+def test_bam_gives_the_coverage_of_sam(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(f"r{k}", int(rng.choice([0, 16, 1024])), f"V{rng.integers(4)}", int(rng.integers(0, 350)), int(rng.integers(20, 61)), str(rng.choice(["50M", "20M2D30M", "40M10S", "10S40M"])), 100, "*") for k in range(600)]
+    with open(tmp_path / "a.fasta", "w") as f, open(tmp_path / "a.sam", "w") as s:
+        for c in range(4):
+            seq = rng.choice(list("ACGTN"), 410)
+            f.write(f">V{c}\n{''.join(seq)}\n")
+        for name, flag, contig, pos, mapq, cigar, tlen, seq in rows:
+            s.write(f"{name}\t{flag}\t{contig}\t{pos + 1}\t{mapq}\t{cigar}\t*\t0\t{tlen}\t{seq}\t*\n")
+    bam.write_bam(spark.createDataFrame(rows, "name string, flag int, contig string, pos int, mapq int, cigar string, tlen int, seq string"), str(tmp_path / "a"))
+    got = []
+    for name in ("a.sam", "a"):
+        options = dict(fasta=str(tmp_path / "a.fasta"), alignments=[str(tmp_path / name)] * 2, output=str(tmp_path / f"out-{name}"), min_ctg_len=100)
+        got.append(sorted(map(tuple, main(["preprocess"], spark, **options)["coverage"].select("contig", "sample", "depth").collect())))
+    assert got[0] == got[1] and len(got[0]) == 8 and sum(map(sum, (r[2] for r in got[0]))) > 1000
+    os.remove(next(p for p in (tmp_path / "a").iterdir() if p.name.endswith(".bai")))
+    with pytest.raises(ValueError, match="no index"):
+        main(["preprocess"], spark, **options | {"output": str(tmp_path / "none")})
