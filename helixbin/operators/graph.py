@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbin.sources.store import materialize
@@ -187,19 +187,54 @@ def numbered(bins: DataFrame) -> DataFrame:
     return bins.join(names, "bin").select("contig", F.col("number").alias("bin"))
 
 
-def missing_pairs(bins: DataFrame, edges: DataFrame, most: int = 100_000, key: Column | None = None) -> DataFrame:
+#: A step that has no common factor with any smaller number of pairs: a prime. Another seed takes another offset.
+STRIDE = (1 << 61) - 1
+#: Places that one task lists at a time.
+DRAWN_AT_ONCE = 4096
+
+
+def missing_pairs(bins: DataFrame, edges: DataFrame, most: int = 100_000, seed: int = 1) -> DataFrame:
     """(bin, src, dst) of unordered pairs in bins of more than two contigs that no edge joins; of a bin with more than most
-    such pairs, most drawn ones, without replacement."""
-    from pyspark.sql import Window
-
-    large = bins.groupBy("bin").count().where("count > 2").select("bin")
-    inside = bins.join(large, "bin", "left_semi").select("contig", "bin")
-    pairs = inside.toDF("src", "bin").join(inside.toDF("dst", "bin"), "bin").where("src < dst")
-    known = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    rows = pairs.join(known, ["src", "dst"], "left_anti")
-    order = key if key is not None else F.xxhash64("src", "dst")
-    rank = F.row_number().over(Window.partitionBy("bin").orderBy(order, "src", "dst"))
-    return rows.withColumn("_r", rank).where(F.col("_r") <= most).select("bin", "src", "dst")
+    such pairs, most drawn ones, without replacement.
+
+    The pairs of a bin of m contigs are numbered 0 to m(m-1)/2 - 1, contigs by rank. The draw visits these numbers in strides, which
+    meet each once, and leaves out the known ones: most + (known ones in the bin) visits suffice, so that no bin lists all its pairs.
+    """
+    from helixbin.operators.ranking import ranked
+
+    place = ranked(bins.select(F.struct("bin", "contig").alias("key")).distinct(), "key", "at").select("key.bin", "key.contig", "at")
+    place = materialize(place)
+    sizes = place.groupBy("bin").agg(F.count(F.lit(1)).alias("m"), F.min("at").alias("first")).where("m > 2")
+    members = materialize(place.join(sizes, "bin").select("bin", "contig", (F.col("at") - F.col("first")).alias("rank")))
+    flat = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+    left, right = members.toDF("bin", "src", "rs"), members.toDF("bin_d", "dst", "rd")
+    known = flat.join(left, "src").join(right, "dst").where("bin = bin_d").select("bin", _number(F.least("rs", "rd"), F.greatest("rs", "rd")).alias("pair"))
+    known = materialize(known)
+    total = (F.col("m") * (F.col("m") - 1) / 2).cast("long")
+    draws = sizes.join(known.groupBy("bin").agg(F.count(F.lit(1)).alias("k")), "bin", "left").withColumns({"total": total, "k": F.coalesce("k", F.lit(0))})
+    # a bin that is listed whole needs no strides
+    draws = draws.withColumns({"whole": F.col("total") - F.col("k") <= most, "visits": F.least("total", F.col("k") + most)})
+    draws = draws.withColumn("visits", F.when(F.col("whole"), F.col("total")).otherwise(F.col("visits")))
+    blocks = draws.select("bin", "total", "visits", F.explode(F.sequence(F.lit(0), F.expr(f"(visits - 1) div {DRAWN_AT_ONCE}"))).alias("block"))
+    blocks = blocks.repartition("bin", "block")
+    last = F.least(F.col("visits"), (F.col("block") + 1) * DRAWN_AT_ONCE) - 1
+    visits = blocks.select("bin", "total", F.explode(F.sequence(F.col("block") * DRAWN_AT_ONCE, last)).alias("visit"))
+    wide = lambda c: c.cast("decimal(38,0)")  # noqa: E731  the product needs more than 64 bits
+    pair = ((wide(F.col("visit")) * wide(F.lit(STRIDE) % F.col("total")) + F.lit(seed)) % F.col("total")).cast("long")
+    missing = visits.withColumn("pair", pair).join(known, ["bin", "pair"], "left_anti")
+    first = Window.partitionBy("bin").orderBy("visit")
+    drawn = missing.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    high = F.floor((1 + F.sqrt(1 + 8 * F.col("pair").cast("double"))) / 2).cast("long")
+    drawn = drawn.select("bin", "pair", high.alias("h"))
+    # the square root can be off by one
+    exact = F.when(F.expr("h * (h - 1) div 2") > F.col("pair"), F.col("h") - 1).when(F.expr("h * (h + 1) div 2") <= F.col("pair"), F.col("h") + 1).otherwise(F.col("h"))
+    drawn = drawn.withColumn("h", exact).select("bin", (F.col("pair") - F.expr("h * (h - 1) div 2")).alias("rs"), F.col("h").alias("rd"))
+    return drawn.join(left, ["bin", "rs"]).join(members.toDF("bin", "dst", "rd"), ["bin", "rd"]).select("bin", "src", "dst")
+
+
+def _number(low: Column, high: Column) -> Column:
+    """The place of a pair of ranks among all: those of smaller high ranks come first."""
+    return (high * (high - 1) / 2).cast("long") + low
 
 
 def refined(vertices: DataFrame, edges: DataFrame, score, theta: float, n_frags: int, gamma1: float, gamma2: float, algorithm: str = "leiden", n_clusters: int | None = None, complete: DataFrame | None = None) -> DataFrame:

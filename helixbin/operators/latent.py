@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,8 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Contigs up to which the exact radius join compares all pairs by blocks; beyond it, the grid join does the same work by cells.
-EXACT_CONTIGS = 20000
+from helixbin.operators import neighbours
+from helixbin.operators.selection import percentile
+from helixbin.sources.store import materialize
+
+#: Contigs from which neighbours within the radius come from an approximate graph of the nearest; below it, all are found.
+EXACT_CONTIGS = 20_000
+#: Nearest contigs that this graph keeps of each.
+GRAPH_DEGREE = 1000
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -32,7 +37,7 @@ def fragment_distances(latent: DataFrame, centres: DataFrame) -> DataFrame:
 
 def radius(latent: DataFrame, centres: DataFrame) -> float:
     """90th percentile, interpolated, of the distances of all fragments to their contig's centre."""
-    return fragment_distances(latent, centres).agg(F.percentile("dist", F.lit(0.9))).first()[0]
+    return percentile(fragment_distances(latent, centres), "dist", 0.9)
 
 
 def radius_pairs(centres: DataFrame, r: float) -> DataFrame:
@@ -51,15 +56,11 @@ def radius_pairs(centres: DataFrame, r: float) -> DataFrame:
     return near.where(F.col("dist") <= r).select("a", "b", "dist")
 
 
-def lsh_radius_pairs(centres: DataFrame, r: float, tables: int = 4, bucket: float | None = None) -> DataFrame:
-    """As radius_pairs, approximately, by random projections; no false pairs, some may be missed."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = centres.select("contig", array_to_vector("centre").alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket or max(r, 1e-6) * 2, seed=1).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, r + 1e-12, "dist")
-    return near.select(F.col("datasetA.contig").alias("a"), F.col("datasetB.contig").alias("b"), "dist").where("a <> b")
+def near_centres(centres: DataFrame, r: float, exact_contigs: int = EXACT_CONTIGS, degree: int = GRAPH_DEGREE) -> DataFrame:
+    """(a, b, dist) of contigs within r: all of them for fewer than ``exact_contigs`` contigs, else those in the graph of the nearest."""
+    if centres.limit(exact_contigs).count() < exact_contigs:
+        return radius_pairs(centres, r)
+    return neighbours.near_pairs(centres, r, degree)
 
 
 def common_neighbours(features: list[DataFrame]) -> DataFrame:
@@ -79,12 +80,12 @@ def nearest(pairs: DataFrame, k: int = 250, connected: DataFrame | None = None)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy("dist", "b"))).where(F.col("rank") <= k)
 
 
-def candidate_pairs(features: list[DataFrame], k: int = 250, scale: float = 1.0) -> DataFrame:
+def candidate_pairs(features: list[DataFrame], k: int = 250, scale: float = 1.0, exact_contigs: int = EXACT_CONTIGS, degree: int = GRAPH_DEGREE) -> DataFrame:
     """Unordered candidate pairs (src, dst) of latents (one DataFrame a feature): within each feature's radius, nearest first."""
     near = []
     for latent in features:
-        centres = centroids(latent)
-        near.append(radius_pairs(centres, scale * radius(latent, centres)))
+        centres = materialize(centroids(latent))
+        near.append(near_centres(centres, scale * radius(latent, centres), exact_contigs, degree))
     picked = nearest(common_neighbours(near), k)
     return picked.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
@@ -137,7 +138,3 @@ def confusion(rows: DataFrame, p: str = "p", y: str = "y") -> DataFrame:
     loss = -(F.col(y) * clamp(F.col(p)) + (1 - F.col(y)) * clamp(1 - F.col(p)))
     n = F.count(F.lit(1))
     return rows.agg((F.count_if(hit == (F.col(y) == 1)) / n).alias("acc"), (F.count_if(hit & (F.col(y) == 0)) / n).alias("fp"), (F.count_if(~hit & (F.col(y) == 1)) / n).alias("fn"), F.avg(loss).alias("loss"))
-
-
-def expected_conv(length: int, kernel: int, stride: int) -> int:
-    return math.floor((length - kernel) / stride) + 1

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixbin.functions import sequence as S
 from helixbin.operators import alignments as A
-from helixbin.operators import embed, graph, latent, network, pairs, recruit, repeats
+from helixbin.operators import embed, graph, latent, neighbours, network, pairs, recruit, repeats
 from helixbin.sources import bam
 from helixbin.sources.store import materialize, shared_dir
 
@@ -243,7 +243,7 @@ def _radius_sql(lo: int, hi: int) -> str:
 def q18_radius(spark, d):
     rows = table(spark, d, "embeddings").select(F.expr("vec_id div 10").alias("contig"), (F.col("vec_id") % 10).alias("frag"), F.col("embedding").alias("vec"))
     centres = materialize(latent.centroids(rows))
-    return latent.fragment_distances(rows, centres).agg(F.round(F.percentile("dist", F.lit(0.9)), 6).alias("radius"), F.count_distinct("contig").alias("contigs"))
+    return centres.agg(F.round(F.lit(latent.radius(rows, centres)), 6).alias("radius"), F.count_distinct("contig").alias("contigs"))
 
 
 def _near_sql(name: str, lo: int, hi: int) -> str:
@@ -431,3 +431,28 @@ def q33_bam_window(spark, d):
     reads = bam.read_bam(spark, [as_bam(spark, d, 100)], window=(lo, hi)).withColumn("contig", F.col("contig").cast("long"))
     inside = F.least("ref_end", F.lit(hi)) - F.greatest("ref_start", F.lit(lo))
     return reads.groupBy("contig").agg(F.count(F.lit(1)).alias("reads"), F.sum(inside).cast("long").alias("bases"))
+
+
+DRAW_MOST = 500
+
+
+@query(f"""WITH b AS (SELECT vec_id AS contig, label AS bin, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rank, count(*) OVER (PARTITION BY label) AS m FROM embeddings),
+e AS (SELECT vec_id AS src, vec_id + 10 AS dst FROM embeddings), t AS (SELECT DISTINCT bin, m * (m - 1) // 2 AS total FROM b WHERE m > 2),
+k AS (SELECT x.bin, y.rank * (y.rank - 1) // 2 + x.rank AS pair FROM e JOIN b x ON x.contig = e.src JOIN b y ON y.contig = e.dst WHERE x.bin = y.bin AND x.m > 2),
+p AS (SELECT x.bin, x.contig AS src, y.contig AS dst, y.rank * (y.rank - 1) // 2 + x.rank AS pair FROM b x JOIN b y ON x.bin = y.bin AND x.rank < y.rank WHERE x.m > 2),
+v AS (SELECT bin, visit, CAST((CAST(visit AS HUGEINT) * ({graph.STRIDE} % total) + 1) % total AS BIGINT) AS pair FROM (SELECT bin, total, unnest(range(0, total)) AS visit FROM t)),
+d AS (SELECT v.bin, v.pair, row_number() OVER (PARTITION BY v.bin ORDER BY visit) AS r FROM v ANTI JOIN k ON k.bin = v.bin AND k.pair = v.pair)
+SELECT p.bin, src, dst FROM d JOIN p ON p.bin = d.bin AND p.pair = d.pair WHERE r <= {DRAW_MOST}""")
+def q34_missing_pairs_drawn(spark, d):
+    """As q24, with at most DRAW_MOST drawn pairs a bin: the limit is the operator's."""
+    rows = table(spark, d, "embeddings")
+    bins = rows.select(F.col("vec_id").alias("contig"), F.col("label").alias("bin"))
+    edges = rows.select(F.col("vec_id").alias("src"), (F.col("vec_id") + 10).alias("dst"))
+    return graph.missing_pairs(bins, edges, DRAW_MOST)
+
+
+@query()
+def q35_approximate_neighbours(spark, d):
+    """The graph of the ten nearest of every vector, by neighbours of neighbours; tests hold it to the exact join."""
+    centres = table(spark, d, "embeddings").select(F.col("vec_id").alias("contig"), F.transform("embedding", lambda x: x.cast("double")).alias("centre"))
+    return neighbours.neighbour_graph(centres, 10).select("a", "b", F.round("dist", 6).alias("dist"))

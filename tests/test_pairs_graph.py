@@ -48,8 +48,6 @@ def test_radius_join_is_exact(spark):
     for r in (0.5, 1.5, 3.0):
         want = {(i, j) for i in range(80) for j in range(80) if i != j and d[i, j] <= r}
         assert {(q.a, q.b) for q in latent.radius_pairs(df, r).collect()} == want
-        approximate = {(q.a, q.b) for q in latent.lsh_radius_pairs(df, r).collect()}
-        assert approximate <= want
 
 
 def test_communities_and_refinement(spark):
@@ -103,3 +101,22 @@ def test_terminal_repeats(spark):
     got = {r.contig: tuple(r)[1:] for r in repeats.terminal_repeats(df).collect()}
     assert got["yes"] == (0, 40, 940, 980) and "no" not in got and "short" not in got
     assert {r.contig: r.n for r in repeats.exact_repeats(df).collect()} == {"yes": 40}
+
+
+def test_missing_pairs_against_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    bin_of = {f"V{i}": ("hot" if i < 60 else f"b{i % 7}") for i in range(120)}
+    edges = {tuple(sorted(f"V{i}" for i in rng.choice(120, 2, replace=False))) for _ in range(900)}
+    df = spark.createDataFrame([(a, b) if k % 2 else (b, a) for k, (a, b) in enumerate(edges)] + [("V1", "V1"), ("V2", "none")], "src string, dst string")
+    bins = spark.createDataFrame(list(bin_of.items()), "contig string, bin string")
+    names = sorted(bin_of)
+    count = {b: list(bin_of.values()).count(b) for b in bin_of.values()}
+    want = {(bin_of[a], a, b) for i, a in enumerate(names) for b in names[i + 1 :] if bin_of[a] == bin_of[b] and count[bin_of[a]] > 2 and (a, b) not in edges}
+    got = [(r.bin, *sorted((r.src, r.dst))) for r in graph.missing_pairs(bins, df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    for most in (1, 30, 400):
+        drawn = [(r.bin, *sorted((r.src, r.dst))) for r in graph.missing_pairs(bins, df, most).collect()]
+        assert len(drawn) == len(set(drawn)) and set(drawn) <= want
+        for b in count:
+            assert sum(r[0] == b for r in drawn) == min(most, sum(w[0] == b for w in want))
+    assert {tuple(r) for r in graph.missing_pairs(bins, df, 30).collect()} != {tuple(r) for r in graph.missing_pairs(bins, df, 30, seed=777).collect()}
