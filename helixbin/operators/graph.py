@@ -7,8 +7,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixbin.operators import moving
 from helixbin.sources.store import materialize
 
+#: Edges of a component that one task clusters; those of larger ones are spread over the cluster.
+LARGEST = 1_000_000
+
 
 def thresholded(edges: DataFrame, theta: float, n_frags: int) -> DataFrame:
     """Edges of weight theta * n_frags**2 or more; weights are ignored from here on."""
@@ -151,9 +155,9 @@ def spectral(n: int, u: np.ndarray, v: np.ndarray, n_communities: int) -> np.nda
     return _dense(label)
 
 
-def communities(vertices: DataFrame, edges: DataFrame, gamma: float, algorithm: str = "leiden", n_clusters: int | None = None) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame, gamma: float, algorithm: str = "leiden", n_clusters: int | None = None, largest: int = LARGEST) -> DataFrame:
     """(contig, bin) with the least contig as bin. Leiden runs once a connected component, which loses nothing as no community
-    spans two; a component is one task's group, so that the largest must fit a worker."""
+    spans two: in one task for components of up to ``LARGEST`` edges, by joins over the whole cluster for larger ones."""
     if algorithm == "spectral" and not n_clusters:
         raise ValueError("spectral communities need a number of clusters")
     parts = components(vertices, edges)
@@ -172,11 +176,19 @@ def communities(vertices: DataFrame, edges: DataFrame, gamma: float, algorithm:
     if algorithm == "spectral":
         one = parts.select("contig", F.lit(0).alias("g"))
         return one.groupBy("g").cogroup(flat.withColumn("g", F.lit(0)).groupBy("g")).applyInPandas(cluster, f"contig {kind}, bin {kind}")
-    tagged = flat.join(parts.toDF("src", "component"), "src")
-    linked = tagged.select("component").distinct()
-    inside = parts.join(linked, "component", "left_semi").groupBy("component").cogroup(tagged.groupBy("component")).applyInPandas(cluster, f"contig {kind}, bin {kind}")
+    tagged = materialize(flat.join(parts.toDF("src", "component"), "src"))
+    sizes = materialize(tagged.groupBy("component").agg(F.count(F.lit(1)).alias("n")))
+    linked = sizes.select("component")
+    large = sizes.where(F.col("n") > largest).select("component")
+    small = sizes.where(F.col("n") <= largest).select("component")
+    many = not large.isEmpty()
+    if many:
+        tagged_large = tagged.join(large, "component", "left_semi")
+        tagged = tagged.join(small, "component", "left_semi")
+        spread = moving.communities(parts.join(large, "component", "left_semi"), tagged_large, gamma)
+    inside = parts.join(small, "component", "left_semi").groupBy("component").cogroup(tagged.groupBy("component")).applyInPandas(cluster, f"contig {kind}, bin {kind}")
     single = parts.join(linked, "component", "left_anti").select("contig", F.col("contig").alias("bin"))
-    return inside.unionByName(single)
+    return inside.unionByName(single).unionByName(spread) if many else inside.unionByName(single)
 
 
 def numbered(bins: DataFrame) -> DataFrame:

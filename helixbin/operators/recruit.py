@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of a block of references that one row of the blocked join carries.
+from helixbin.sources.store import materialize
+
+log = logging.getLogger("helixbin")
+
+#: Vectors of a block: a task compares two blocks at a time, so that neither side of a bin has to be in one task.
 BLOCK = 512
+#: Bounds are floating-point; one must be missed by more than this share of itself.
+SLACK = 1e-9
 
 
 def percentile_vectors(depths: DataFrame, percentiles: list[float] | None = None) -> DataFrame:
@@ -23,42 +30,116 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v))
 
 
-def _mean_distances(queries: DataFrame, refs: DataFrame) -> DataFrame:
-    """(contig, bin, sample, dist): the mean distance of queries (contig, sample, pct) to refs (bin, sample, ref, rp) of each bin, by sample."""
-    sizes = refs.groupBy("bin", "sample").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = refs.join(sizes, ["bin", "sample"]).withColumn("block", F.pmod(F.xxhash64("ref"), "blocks"))
-    packed = dealt.groupBy("bin", "sample", "block").agg(F.flatten(F.collect_list("rp")).alias("rps"))
-    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *refs.schema]}
+def _norm(a: str) -> Column:
+    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, v: s + v * v))
+
+
+def _rows(table: pa.Table) -> np.ndarray:
+    column = table.column("pct").combine_chunks()
+    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
+
+
+def _between(schema: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Sum of a query's distances to a block of references, a row a query."""
+
+    def run(key: tuple, queries: pa.Table, refs: pa.Table) -> pa.Table:
+        if not len(queries) or not len(refs):
+            return pa.table([pa.array([], t.type) for t in (queries.column("contig"), queries.column("bin"))] + [pa.array([], pa.int64()), pa.array([], pa.float64())], schema)
+        y = _rows(refs)
+        total = [float(np.sqrt(np.square(y - x).sum(axis=1)).sum()) for x in _rows(queries)]
+        return pa.table([queries.column("contig"), queries.column("bin"), pa.array([len(y)] * len(total), pa.int64()), pa.array(total, pa.float64())], schema)
+
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, total = [], []
-            pcts, rps = batch.column("pct"), batch.column("rps")
-            for k in range(batch.num_rows):
-                x = pcts[k].values.to_numpy()
-                y = rps[k].values.to_numpy().reshape(-1, len(x))
-                total.append(float(np.sqrt(np.square(y - x).sum(axis=1)).sum()))
-                n.append(len(y))
-            yield pa.RecordBatch.from_arrays([batch.column("contig"), batch.column("bin"), batch.column("sample"), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=["contig", "bin", "sample", "n", "total"])
 
-    each = queries.select("contig", "sample", "pct").join(packed, "sample").select("contig", "bin", "sample", "pct", "rps")
-    parts = each.mapInArrow(run, f"contig {kind['contig']}, bin {kind['bin']}, sample {kind['sample']}, n bigint, total double")
-    return parts.groupBy("contig", "bin", "sample").agg((F.sum("total") / F.sum("n")).alias("dist"))
+def _inside(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Sum of the distances between two blocks of a bin and sample; of a block and itself every pair counts once."""
+    x, y = (_rows(t) if len(t) else np.zeros((0, 1)) for t in (left, right))  # a block can be empty
+    same = key[2].as_py() == key[3].as_py()
+    if same:  # the two sides hold the same rows
+        total = sum(float(np.sqrt(np.square(y[i + 1 :] - y[i]).sum(axis=1)).sum()) for i in range(len(y)))
+    else:
+        total = sum(float(np.sqrt(np.square(y - row).sum(axis=1)).sum()) for row in x) if len(y) else 0.0
+    return pa.table([pa.array([k.as_py()], k.type) for k in key[:2]] + [pa.array([float(total)])], ["bin", "sample", "total"])
 
 
-def recruits(vectors: DataFrame, bins: DataFrame, lengths: DataFrame, min_bin_size: int = 3, shorter: int = 2048, longer: int = 1024) -> DataFrame:
+def _blocked(rows: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
+    """Rows with a block of their group and the number of its blocks."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(f"{name}s"))
+    return rows.join(sizes, keys).withColumn(name, F.pmod(F.xxhash64(by), f"{name}s"))
+
+
+def within_bins(refs: DataFrame) -> DataFrame:
+    """(bin, sample, intra): the mean distance of the pairs of references (bin, sample, ref, pct) of a bin."""
+    kind = {f.name: f.dataType.simpleString() for f in refs.schema}
+    dealt = materialize(_blocked(refs, ["bin", "sample"], "ref", "block"))
+    keys = ["bin", "sample", "i", "j"]
+    left = dealt.select("bin", "sample", "pct", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.toDF(*dealt.columns).select("bin", "sample", "pct", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"))
+    sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_inside, f"bin {kind['bin']}, sample {kind['sample']}, total double")
+    counts = refs.groupBy("bin", "sample").agg(F.count(F.lit(1)).alias("n"))
+    mean = F.try_divide("total", F.col("n") * (F.col("n") - 1) / 2)
+    return sums.groupBy("bin", "sample").agg(F.sum("total").alias("total")).join(counts, ["bin", "sample"]).select("bin", "sample", mean.alias("intra")).where("intra IS NOT NULL")
+
+
+def _candidates(queries: DataFrame, centres: DataFrame, samples: list) -> DataFrame:
+    """(contig, bin) that the pivot bound leaves in every sample, without a vector moved.
+
+    A mean distance to references is at least the distance to their mean (norms are convex), and that is at least the
+    difference of both distances to any pivot, here the origin. So a bin asks for queries whose norm lies within
+    ``intra`` of its centre's: a join by intervals of the first sample's norm, then a look at the other samples' norms.
+    """
+    of = lambda rows, *more: F.map_from_entries(F.collect_list(F.struct("sample", F.struct(*more)))).alias("m")
+    q = queries.select("contig", "sample", _norm("pct").alias("norm")).groupBy("contig").agg(of(queries, F.col("norm").alias("norm")))
+    b = centres.select("bin", "sample", "intra", _norm("centre").alias("norm")).groupBy("bin").agg(of(centres, F.col("norm").alias("norm"), F.col("intra").alias("intra")))
+    complete = lambda rows: rows.where(F.size("m") == len(samples))
+    q, b = complete(q), materialize(complete(b))
+    first = F.lit(samples[0])
+    width = (b.agg(F.max(F.col("m")[first]["intra"])).first()[0] or 0.0) / 8 or 1.0
+    reach = F.col("m")[first]["intra"] * (1 + SLACK) + SLACK
+    lowest, highest = (F.floor((F.col("m")[first]["norm"] + s * reach) / width) for s in (-1, 1))
+    bins = b.select("bin", F.col("m").alias("bm"), F.explode(F.sequence(lowest, highest)).alias("place"))
+    each = q.select("contig", F.col("m").alias("qm"), F.floor(F.col("m")[first]["norm"] / width).alias("place")).join(bins, "place")
+    far = lambda s: F.abs(F.col("qm")[s]["norm"] - F.col("bm")[s]["norm"]) > F.col("bm")[s]["intra"] * (1 + SLACK) + SLACK
+    return each.where(~F.exists(F.array(*map(F.lit, samples)), far)).select("contig", "bin")
+
+
+def recruits(vectors: DataFrame, bins: DataFrame, lengths: DataFrame, min_bin_size: int = 3, shorter: int = 2048, longer: int = 1024, computed: list[tuple[int, int]] | None = None) -> DataFrame:
     """(contig, bin, score): contigs with longer < length < shorter join the bin of least mean distance over the samples, the
     lower bin on ties, if in no sample they are farther from its contigs than those are from each other on average.
 
-    Every query meets every bin's contigs, which is the operator's definition: references are packed into blocks of BLOCK rows of a bin
-    and sample, and a worker computes a query's distances to a whole block at once."""
+    Bounds leave few pairs of a contig and a bin; these are compared a sample at a time, and pairs that fail in one are not in the
+    next. ``computed`` gets (distances computed, distances of all pairs) of each sample.
+    """
     sized = bins.join(bins.groupBy("bin").count().where(F.col("count") >= min_bin_size).select("bin"), "bin", "left_semi")
-    refs = sized.join(vectors, "contig").select("bin", "sample", F.col("contig").alias("ref"), F.col("pct").alias("rp"))
-    other = refs.select("bin", "sample", F.col("ref").alias("ref2"), F.col("rp").alias("rp2"))
-    intra = refs.join(other, ["bin", "sample"]).where("ref < ref2").groupBy("bin", "sample").agg(F.avg(_distance("rp", "rp2")).alias("intra"))
-    queries = lengths.where((F.col("length") > longer) & (F.col("length") < shorter)).select("contig").join(vectors, "contig")
-    dist = _mean_distances(queries, refs)
-    samples = vectors.agg(F.count_distinct("sample").alias("n")).first()["n"]
-    judged = dist.join(intra, ["bin", "sample"]).groupBy("contig", "bin").agg(F.every(F.col("dist") <= F.col("intra")).alias("ok"), F.count(F.lit(1)).alias("n"), F.avg("dist").alias("score"))
-    fits = judged.where(F.col("ok") & (F.col("n") == samples))
-    return fits.groupBy("contig").agg(F.min(F.struct("score", "bin")).alias("v")).select("contig", "v.bin", "v.score")
+    refs = materialize(sized.join(vectors, "contig").select("bin", "sample", F.col("contig").alias("ref"), "pct"))
+    queries = materialize(lengths.where((F.col("length") > longer) & (F.col("length") < shorter)).select("contig").join(vectors, "contig").select("contig", "sample", "pct"))
+    samples = [r["sample"] for r in vectors.select("sample").distinct().orderBy("sample").collect()]  # as many as there are inputs
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *refs.schema]}
+    width = refs.select(F.size("pct").alias("n")).first()
+    if width is None or not samples:
+        return queries.select("contig", F.lit(None).cast(kind["bin"]).alias("bin"), F.lit(0.0).alias("score")).where("false")
+    mean = refs.groupBy("bin", "sample").agg(F.count(F.lit(1)).alias("size"), *(F.avg(F.get("pct", F.lit(i))).alias(f"c{i}") for i in range(width["n"])))
+    mean = mean.select("bin", "sample", "size", F.array(*(F.col(f"c{i}") for i in range(width["n"]))).alias("centre"))
+    centres = materialize(mean.join(within_bins(refs), ["bin", "sample"]))
+    left = materialize(_candidates(queries, centres, samples).withColumn("score", F.lit(0.0)))
+    for s in samples:
+        q, c = (rows.where(F.col("sample") == F.lit(s)).drop("sample") for rows in (queries, centres))
+        near = left.join(c, "bin").join(q, "contig").where(_distance("pct", "centre") <= F.col("intra") * (1 + SLACK) + SLACK)
+        near = materialize(near.select("contig", "bin", "score", "intra", "size", "pct"))
+        ref = materialize(_blocked(refs.where(F.col("sample") == F.lit(s)).select("bin", "ref", "pct"), ["bin"], "ref", "block"))
+        ask = materialize(_blocked(near, ["bin"], "contig", "query").join(ref.groupBy("bin").agg(F.max("blocks").alias("blocks")), "bin"))
+        ref = materialize(ref.join(ask.groupBy("bin").agg(F.max("querys").alias("querys")), "bin"))
+        keys = ["bin", "query", "block"]
+        asks = ask.select("contig", "bin", "pct", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        gives = ref.select("bin", "pct", F.explode(F.sequence(F.lit(0).cast("long"), F.col("querys") - 1)).alias("query"), "block")
+        parts = asks.groupBy(*keys).cogroup(gives.groupBy(*keys)).applyInArrow(_between(["contig", "bin", "n", "total"]), f"contig {kind['contig']}, bin {kind['bin']}, n bigint, total double")
+        dist = materialize(parts.groupBy("contig", "bin").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("dist")))
+        done, every = dist.agg(F.sum("n")).first()[0] or 0, q.count() * (c.agg(F.sum("size")).first()[0] or 0)
+        log.info("recruitment, sample %s: %d distances of %d", s, done, every)
+        if computed is not None:
+            computed.append((done, every))
+        fits = near.select("contig", "bin", "score", "intra").join(dist, ["contig", "bin"]).where("dist <= intra")
+        left = materialize(fits.select("contig", "bin", (F.col("score") + F.col("dist")).alias("score")))
+    best = left.groupBy("contig").agg(F.min(F.struct((F.col("score") / len(samples)).alias("score"), "bin")).alias("v"))
+    return best.select("contig", "v.bin", "v.score")

@@ -120,3 +120,97 @@ def test_missing_pairs_against_all_pairs(spark):
         for b in count:
             assert sum(r[0] == b for r in drawn) == min(most, sum(w[0] == b for w in want))
     assert {tuple(r) for r in graph.missing_pairs(bins, df, 30).collect()} != {tuple(r) for r in graph.missing_pairs(bins, df, 30, seed=777).collect()}
+
+
+def brute_recruits(vectors, bin_of, length, least=3):
+    samples = sorted({s for _, s in vectors})
+    members = {}
+    for c, b in bin_of.items():
+        members.setdefault(b, []).append(c)
+    out = {}
+    for b, own in sorted(members.items()):
+        if len(own) < least:
+            continue
+        intra = {s: np.mean([np.linalg.norm(vectors[x, s] - vectors[y, s]) for i, x in enumerate(own) for y in own[i + 1 :]]) for s in samples}
+        for c, n in length.items():
+            if 1024 < n < 2048 and all((c, s) in vectors for s in samples):
+                far = [np.mean([np.linalg.norm(vectors[c, s] - vectors[x, s]) for x in own]) for s in samples]
+                if all(f <= intra[s] for f, s in zip(far, samples)):
+                    out[c] = min(out.get(c, (np.inf, b)), (np.mean(far), b))
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_recruits_against_all_distances(spark, monkeypatch, block):
+    monkeypatch.setattr(recruit, "BLOCK", block)
+    rng = np.random.default_rng(6)
+    centre = {b: rng.uniform(5, 60, 3) for b in range(6)}
+    bin_of = {c: ("b0" if c < 40 else f"b{c % 6}") for c in range(80)}
+    vectors, length = {}, {}
+    for c in range(200):
+        b = int(bin_of[c][1:]) if c in bin_of else c % 6
+        length[c] = 3000 if c < 80 else int(rng.integers(1000, 2100))
+        for s in range(3):
+            if (c, s) != (150, 1):
+                vectors[c, s] = np.sort(centre[b][s] + rng.normal(0, 3, 20)) + rng.normal(0, 1)
+    df = spark.createDataFrame([(c, s, v.tolist()) for (c, s), v in vectors.items()], "contig long, sample int, pct array<double>")
+    bins = spark.createDataFrame(list(bin_of.items()), "contig long, bin string")
+    lengths = spark.createDataFrame(list(length.items()), "contig long, length int")
+    computed = []
+    got = {r.contig: (r.score, r.bin) for r in recruit.recruits(df, bins, lengths, computed=computed).collect()}
+    want = brute_recruits(vectors, bin_of, length)
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[c][1] == want[c][1] and abs(got[c][0] - want[c][0]) < 1e-9 for c in want)
+    assert len(computed) == 3 and all(done < every / 2 for done, every in computed) and computed[2][0] <= computed[0][0]
+
+
+def test_recruits_of_nothing(spark):
+    df = spark.createDataFrame([], "contig long, sample int, pct array<double>")
+    assert recruit.recruits(df, spark.createDataFrame([], "contig long, bin long"), spark.createDataFrame([], "contig long, length int")).count() == 0
+
+
+def test_spread_communities_reach_the_quality_of_one_task(spark):
+    """No group holds a component: all of them go through joins. Planted blocks, a chain, and vertices without edges."""
+    rng = np.random.default_rng(1)
+    block = np.repeat(range(4), 8)
+    i, j = np.triu_indices(32, 1)
+    keep = rng.random(len(i)) < np.where(block[i] == block[j], 0.9, 0.04)
+    u, v = np.r_[i[keep], np.arange(40, 46)], np.r_[j[keep], np.arange(41, 47)]
+    edges = spark.createDataFrame([(f"V{b:02}", f"V{a:02}") for a, b in zip(u, v)] + [("V00", "V00")], "src string, dst string")
+    nodes = spark.createDataFrame([(f"V{k:02}",) for k in range(50)], "contig string")
+    got = {r.contig: r.bin for r in graph.communities(nodes, edges, 0.3, largest=0).collect()}
+    assert set(got) == {f"V{k:02}" for k in range(50)} and all(min(c for c in got if got[c] == b) == b for b in got.values())
+    label = np.unique([got[f"V{k:02}"] for k in range(50)], return_inverse=True)[1]
+    assert graph.cpm_quality(label, u, v, 0.3) >= graph.cpm_quality(graph.leiden(50, u, v, 0.3), u, v, 0.3) - 1e-9
+    assert all(got[f"V{k:02}"] == f"V{k:02}" for k in (33, 39, 48))
+
+
+def best_partition(n, u, v, gamma):
+    """The best quality over all partitions of a few vertices."""
+    best = -np.inf
+
+    def grow(label):
+        nonlocal best
+        if len(label) == n:
+            best = max(best, graph.cpm_quality(np.array(label), u, v, gamma))
+            return
+        for c in range(max(label, default=-1) + 2):
+            grow([*label, c])
+
+    grow([])
+    return best
+
+
+def test_leiden_against_the_best_of_all_partitions():
+    rng = np.random.default_rng(7)
+    reached = 0
+    for _ in range(30):
+        n = int(rng.integers(2, 9))
+        i, j = np.triu_indices(n, 1)
+        keep = rng.random(len(i)) < 0.5
+        gamma = float(rng.choice([0.2, 0.4, 0.7]))
+        best = best_partition(n, i[keep], j[keep], gamma)
+        found = graph.cpm_quality(graph.leiden(n, i[keep], j[keep], gamma), i[keep], j[keep], gamma)
+        assert best - 1.0 <= found <= best + 1e-9
+        reached += found >= best - 1e-9
+    assert reached >= 27
