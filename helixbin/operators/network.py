@@ -206,8 +206,8 @@ def scores(p: dict[str, np.ndarray], y: np.ndarray) -> dict[str, dict[str, float
 Batch = tuple[dict[str, np.ndarray], dict[str, np.ndarray], np.ndarray]
 
 
-def train(model: Model, batches: Callable[[], Iterator[Batch]], test: Batch, learning_rate: float = 1e-3, test_batch: int = 400, patience: int = 5, n_batches: int | None = None) -> list[float]:
-    """One epoch of Adam. Every test_batch batches, and after the last, the test loss is taken: the best weights are kept,
+def train(model: Model, batches: Callable[[], Iterator[Batch]], test: Batch | Callable[[], float], learning_rate: float = 1e-3, test_batch: int = 400, patience: int = 5, n_batches: int | None = None) -> list[float]:
+    """One epoch of Adam. The test is a batch, or what gives its loss. Every test_batch batches, and after the last, the test loss is taken: the best weights are kept,
     and training stops when the oldest of the last patience losses is the least. Returns the losses."""
     m1 = {k: np.zeros_like(v) for k, v in model.parameters().items()}
     m2 = {k: np.zeros_like(v) for k, v in model.parameters().items()}
@@ -221,8 +221,11 @@ def train(model: Model, batches: Callable[[], Iterator[Batch]], test: Batch, lea
             m2[k] = 0.999 * m2[k] + 0.001 * grads[k] ** 2
             v -= learning_rate * (m1[k] / (1 - 0.9**t)) / (np.sqrt(m2[k] / (1 - 0.999**t)) + 1e-8)
         if t % test_batch == 0 or t == n_batches:
-            p = model.forward(test[0], test[1])
-            loss = bce(p["combined"] if "combined" in p else next(iter(p.values())), test[2])
+            if callable(test):
+                loss = test()
+            else:
+                p = model.forward(test[0], test[1])
+                loss = bce(p["combined"] if "combined" in p else next(iter(p.values())), test[2])
             if not losses or loss <= min(losses):
                 best = {k: v.copy() for k, v in model.parameters().items()}
             losses.append(loss)

@@ -14,7 +14,7 @@ from helixbin.plans.config import Config
 
 ACTIONS = ("preprocess", "learn", "cluster", "run")
 LISTS = {"alignments": str, "features": str, "tlen_range": int, "compo_neurons": int, "cover_neurons": int}
-OPTIONAL = {"fasta": str, "coverage": str, "vote_threshold": float, "n_clusters": int}
+OPTIONAL = {"fasta": str, "exclude_ids": str, "coverage": str, "vote_threshold": float, "n_clusters": int}
 
 
 def parser() -> argparse.ArgumentParser:

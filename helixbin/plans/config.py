@@ -9,7 +9,7 @@ from pathlib import Path
 
 #: File names of the stages' results.
 NAMES = {
-    "contigs": "assembly-filtered", "exclude": "exclude", "dtr": "dtr", "coverage": "coverage", "train": "pairs-train", "test": "pairs-test",
+    "contigs": "assembly-filtered", "filtered_fasta": "assembly-filtered.fasta", "exclude": "exclude", "dtr": "dtr", "dtr_text": "dtr.tsv", "coverage": "coverage", "train": "pairs-train", "test": "pairs-test",
     "model": "model.npz", "predictions": "nn-test", "latent": "latent", "pre_graph": "pre_graph", "recruits": "recruits",
 }
 
@@ -39,6 +39,8 @@ class Config:
     test_batch: int = 400
     patience: int = 5
     load_batch: int = 100
+    shards: int = 1
+    exclude_ids: str | None = None
     compo_neurons: list[int] = field(default_factory=lambda: [64, 32])
     cover_neurons: list[int] = field(default_factory=lambda: [64, 32])
     cover_filters: int = 16

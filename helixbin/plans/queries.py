@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from helixbin.functions import sequence as S
 from helixbin.operators import alignments as A
-from helixbin.operators import embed, graph, latent, neighbours, network, pairs, recruit, repeats
+from helixbin.operators import embed, graph, latent, neighbours, network, pairs, recruit, repeats, training
 from helixbin.sources import bam
 from helixbin.sources.store import materialize, shared_dir
 
@@ -373,36 +373,23 @@ def _model(width: int = 136) -> network.Model:
 
 @query()
 def q29_trained_predictions(spark, d):
-    """Trains on drawn pairs of fragments (a bounded number, a parameter of training) and predicts held-out pairs."""
-    n = 1200
+    """Trains on drawn pairs of fragments of all contigs (their number is a parameter of training) and predicts held-out pairs; inputs and
+    training are on executors."""
+    n, shapes = 1200, {"composition": (136,)}
     seqs = contigs(spark, d).where(F.length("seq") >= 2 * FRAG)
-    frags = seqs.select("contig", S.fragment_count(F.length("seq"), FRAG, STEP).alias("n")).where("n > 0")
-    contig_count = max(1, frags.count())
-    pos = pairs.positive_pairs(frags, -(-n // 2 // contig_count)).select(F.col("contig").alias("a"), "i", F.col("contig").alias("b"), "j").limit(n // 2)
+    frags = materialize(seqs.select("contig", S.fragment_count(F.length("seq"), FRAG, STEP).alias("n")).where("n > 0"))
+    pos = pairs.some_of(pairs.positive_pairs(frags, -(-n // 2 // max(1, frags.count()))), n // 2).select(F.col("contig").alias("a"), "i", F.col("contig").alias("b"), "j")
     neg = pairs.negative_pairs(frags, n // 2).select("a", "i", "b", "j")
-    both = materialize(pos.unionByName(neg))
-    sides = both.select(F.col("a").alias("contig"), F.col("i").alias("f")).union(both.select("b", "j")).distinct()
+    drawn = materialize(pos.withColumn("label", F.lit(1)).unionByName(neg.withColumn("label", F.lit(0))))
+    sides = drawn.select(F.col("a").alias("contig"), F.col("i").alias("f")).union(drawn.select("b", "j")).distinct()
     text = sides.join(seqs, "contig").select("contig", "f", F.substring("seq", F.col("f") * STEP + 1, F.lit(FRAG)).alias("seq"))
-    texts = {(r.contig, r.f): r.seq for r in text.toLocalIterator()}
-    index = embed.kmer_index(4)
-    rows = sorted((r.a, r.i, r.b, r.j) for r in both.collect())
-    order = np.random.default_rng(1).permutation(len(rows))
-    rows = [rows[k] for k in order]
-    vec = lambda c, f: embed.kmer_vector(texts[c, f], 4, index) / (FRAG - 3)
-    a, b = (np.stack([vec(r[k], r[k + 1]) for r in rows]) for k in (0, 2))
-    y = np.array([float(r[0] == r[2]) for r in rows])
-    held = max(2, len(rows) // 10)
+    counts = training.fragment_vectors(text, ["composition"])
+    table_ = training.numbered_batches(drawn, counts.withColumn("composition", F.transform("composition", lambda x: x / (FRAG - 3))), ["composition"], 32)
+    held = table_.where("batch % 10 = 0")
     model = _model()
-
-    def batches():
-        for _ in range(5):
-            for k in range(held, len(rows) - 31, 32):
-                yield {"composition": a[k : k + 32]}, {"composition": b[k : k + 32]}, y[k : k + 32]
-
-    test = ({"composition": a[:held]}, {"composition": b[:held]}, y[:held])
-    network.train(model, batches, test, test_batch=20, patience=50)
-    p = model.forward(*test[:2])["composition"]
-    return spark.createDataFrame([(k, int(rows[k][0]), int(rows[k][2]), float(round(p[k], 6)), int(y[k])) for k in range(held)], "pair long, a long, b long, p double, y int")
+    training.train(model, table_.where("batch % 10 > 0"), held, shapes, 5e-3, test_batch=20, patience=50)
+    p = training.predicted(held, model, shapes)
+    return p.select(F.col("place").alias("pair"), "a", "b", F.round("composition", 6).alias("p"), F.col("label").alias("y"))
 
 
 @query()

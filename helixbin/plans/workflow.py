@@ -6,13 +6,12 @@ import logging
 import os
 import resource
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixbin.functions import sequence as S
 from helixbin.operators import alignments as A
-from helixbin.operators import embed, graph, latent, network, pairs, recruit, repeats
+from helixbin.operators import embed, graph, latent, network, pairs, recruit, repeats, training
 from helixbin.plans.config import Config
 from helixbin.sources import bam, files
 from helixbin.sources.store import exists, materialize, stage
@@ -44,9 +43,16 @@ def preprocess(spark: SparkSession, cfg: Config) -> dict[str, DataFrame]:
     raw = files.read_fasta(spark, cfg.fasta)
     judged = A.by_length(raw, cfg.min_ctg_len)
     kept = judged.where("kept").select("contig", "seq", "length")
+    if cfg.exclude_ids:
+        kept = A.without_ids(kept, files.read_ids(spark, cfg.exclude_ids))
     out = {"contigs": stage(spark, cfg.path("contigs"), lambda: kept, cfg.resume)}
+    files.check_alphabet(out["contigs"])
     excluded = judged.where("NOT kept").select("contig", F.lit("length").alias("reason"), F.col("length").cast("string").alias("value"))
     out["dtr"] = stage(spark, cfg.path("dtr"), lambda: repeats.terminal_repeats(out["contigs"], cfg.min_dtr_size), cfg.resume)
+    if not (cfg.resume and exists(spark, cfg.path("dtr_text"))):
+        files.write_repeats(out["dtr"], out["contigs"], cfg.path("dtr_text"))
+    if not (cfg.resume and exists(spark, cfg.path("filtered_fasta"))):
+        files.write_fasta(out["contigs"], cfg.path("filtered_fasta"))
     if "coverage" in cfg.features:
         if cfg.coverage:
             cover = spark.read.parquet(cfg.coverage)
@@ -125,20 +131,8 @@ def fragment_inputs(cfg: Config, data: dict[str, DataFrame], drawn: DataFrame) -
     return rows
 
 
-def _vectors(cfg: Config, data: dict[str, DataFrame], drawn: DataFrame) -> dict[tuple, dict[str, np.ndarray]]:
-    index, out = embed.kmer_index(cfg.kmer, not cfg.no_rc), {}
-    for row in fragment_inputs(cfg, data, drawn).toLocalIterator():
-        x = {}
-        if "coverage" in cfg.features:
-            x["coverage"] = embed.window_means(np.array(row["depth"], float), cfg.wsize, cfg.wstep).astype(np.float32)
-        if "composition" in cfg.features:
-            x["composition"] = embed.kmer_vector(row["seq"], cfg.kmer, index)
-        out[row["contig"], row["f"]] = x
-    return out
-
-
 def learn(spark: SparkSession, cfg: Config, data: dict[str, DataFrame] | None = None) -> network.Model:
-    """Trains on the driver: the pairs' number is a parameter, their distinct fragments' vectors are what it holds."""
+    """Trains on executors, or with shards = 0 on the driver, which then holds load_batch batches of vectors at a time."""
     data = data or _load(spark, cfg)
     n_samples = data["coverage"].agg(F.max("sample")).first()[0] + 1 if "coverage" in data else 0
     model = model_of(cfg, n_samples)
@@ -146,25 +140,21 @@ def learn(spark: SparkSession, cfg: Config, data: dict[str, DataFrame] | None =
         model.load(cfg.path("model"))
         return model
     train, test = make_pairs(spark, cfg, data["contigs"])
-    vectors = _vectors(cfg, data, train.select("a", "i", "b", "j").union(test.select("a", "i", "b", "j")))
-
-    def batch(rows: list) -> network.Batch:
-        side = lambda c, f: {n: np.stack([vectors[r[c], r[f]][n] for r in rows]) for n in cfg.features}
-        return side("a", "i"), side("b", "j"), np.array([float(r["a"] == r["b"]) for r in rows])
-
-    def batches():
-        for (rows,) in embed.chunked(train.toLocalIterator(), size=cfg.batch_size):
-            if len(rows) == cfg.batch_size:  # the remainder is dropped
-                yield batch(rows)
-
-    held = test.collect()
-    whole = batch(held)
-    losses = network.train(model, batches, whole, cfg.learning_rate, cfg.test_batch, cfg.patience, train.count() // cfg.batch_size)
-    log.info("test losses %s; scores %s", losses, network.scores(p := model.forward(*whole[:2]), whole[2]))
+    drawn = train.select("a", "i", "b", "j").union(test.select("a", "i", "b", "j"))
+    vectors = materialize(training.fragment_vectors(fragment_inputs(cfg, data, drawn), cfg.features, cfg.kmer, not cfg.no_rc, cfg.wsize, cfg.wstep))
+    shapes = cfg.input_shapes(n_samples)
+    table = training.numbered_batches(train, vectors, cfg.features, cfg.batch_size, cfg.seed)
+    held = training.numbered_batches(test, vectors, cfg.features, cfg.batch_size, cfg.seed, remainder=True)
+    if cfg.shards:
+        losses = training.train(model, table, held, shapes, cfg.learning_rate, cfg.test_batch, cfg.patience, cfg.shards)
+    else:
+        losses = network.train(model, lambda: training.read_batches(table, shapes, cfg.load_batch), lambda: training.test_loss(held, model, shapes), cfg.learning_rate, cfg.test_batch, cfg.patience, train.count() // cfg.batch_size)
+    rows = materialize(training.predicted(held, model, shapes))
+    heads = [c for c in rows.columns if c not in ("place", "a", "b", "label")]
+    for head in heads:
+        log.info("test losses %s; scores of %s: %s", losses, head, latent.confusion(rows, head, "label").first().asDict())
     model.save(cfg.path("model"))
-    columns = list(p)
-    table = [tuple(float(p[c][k]) for c in columns) + (int(whole[2][k]),) for k in range(len(held))]
-    files.write_predictions(spark.createDataFrame(table, ", ".join(f"{c} double" for c in columns) + ", truth int"), cfg.path("predictions"))
+    files.write_predictions(rows.orderBy("place").select(*heads, F.col("label").cast("int").alias("truth")), cfg.path("predictions"))
     return model
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from helixbin.sources import bam
 
-#: FASTA suffixes, and the CIGAR letters that consume reference and query.
+#: FASTA suffixes, the CIGAR letters that consume reference and query, and the nucleotide codes.
 FASTA_SUFFIXES = (".fa", ".fasta", ".fna")
 REFERENCE, QUERY, ALIGNED = "MDN=X", "MIS=X", "MI=X"
+NUCLEOTIDES = "ACGTURYSWKMBDHVN.-"
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -57,8 +58,8 @@ def read_samples(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """The first column of a tab-separated file."""
-    return spark.read.text(path).select(F.split("value", "\t")[0].alias("contig")).where("contig <> ''").distinct()
+    """The first word of each line."""
+    return spark.read.text(path).select(F.regexp_extract("value", r"^\s*(\S*)", 1).alias("contig")).where("contig <> ''").distinct()
 
 
 def read_bins(spark: SparkSession, path: str) -> DataFrame:
@@ -82,10 +83,21 @@ def write_exclusions(rows: DataFrame, path: str) -> None:
     rows.select("contig", "reason", "value").write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def write_repeats(rows: DataFrame, path: str) -> None:
-    """contig, head span and tail span as start-end, tab-separated."""
-    span = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
-    rows.select("contig", span("head_start", "head_end"), span("tail_start", "tail_end")).write.mode("overwrite").csv(path, sep="\t")
+def write_repeats(rows: DataFrame, lengths: DataFrame, path: str, max_size: int = 300) -> None:
+    """contig, head span and tail span as start-end, tab-separated; places are counted inside the compared ends of max_size letters
+    and the last one is part of the span."""
+    own = rows.join(lengths.select("contig", "length"), "contig")
+    before = F.greatest(F.col("length") - max_size, F.lit(0))
+    span = lambda a, b: F.concat_ws("-", a.cast("string"), (b - 1).cast("string"))
+    head = span(F.col("head_start"), F.col("head_end"))
+    own.select("contig", head, span(F.col("tail_start") - before, F.col("tail_end") - before)).write.mode("overwrite").csv(path, sep="\t")
+
+
+def check_alphabet(contigs: DataFrame) -> None:
+    """Raises if a sequence has a character that is no nucleotide code or gap."""
+    odd = contigs.where(F.upper("seq").rlike(f"[^{NUCLEOTIDES}]")).select("contig").orderBy("contig").head(3)
+    if odd:
+        raise ValueError(f"no nucleotide sequences: {', '.join(str(r['contig']) for r in odd)}")
 
 
 def write_bins(bins: DataFrame, path: str) -> None:

@@ -72,3 +72,22 @@ def test_bam_gives_the_coverage_of_sam(spark, tmp_path):
     os.remove(next(p for p in (tmp_path / "a").iterdir() if p.name.endswith(".bai")))
     with pytest.raises(ValueError, match="no index"):
         main(["preprocess"], spark, **options | {"output": str(tmp_path / "none")})
+
+
+def test_files_of_preprocessing(spark, tmp_path):
+    """Filtered FASTA, repeats and exclusions as text, without the contigs of an id file; other letters raise."""
+    rng = np.random.default_rng(4)
+    random = lambda n: "".join(rng.choice(list("ACGT"), n))
+    end = random(40)
+    seqs = {"V0": end + random(500) + end, "V1": random(300) + "n" * 5 + random(300), "gone": end + random(300) + end, "tiny": "ACGTN"}
+    (tmp_path / "a.fasta").write_text("".join(f">{k} note\n{v[:50]}\n{v[50:]}\n" for k, v in seqs.items()))
+    (tmp_path / "ids.txt").write_text("gone because\n\n  absent\tx\n")
+    main(["preprocess"], spark, fasta=str(tmp_path / "a.fasta"), exclude_ids=str(tmp_path / "ids.txt"), features=["composition"], output=str(tmp_path / "out"), min_ctg_len=100)
+    lines = lambda name: sorted("".join(p.read_text() for p in (tmp_path / "out" / name).glob("part-*")).splitlines())
+    kept = {k: seqs[k].upper().replace("N", "") for k in ("V0", "V1")}
+    assert lines("assembly-filtered.fasta") == sorted(x for k, v in kept.items() for x in (f">{k}", v))
+    assert lines("dtr.tsv") == ["V0\t0-39\t260-299"]
+    assert lines("exclude") == ["contig\treason\tvalue", "tiny\tlength\t4"]
+    (tmp_path / "b.fasta").write_text(f">V0\n{random(200)}E{random(200)}\n")
+    with pytest.raises(ValueError, match="V0"):
+        main(["preprocess"], spark, fasta=str(tmp_path / "b.fasta"), features=["composition"], output=str(tmp_path / "odd"), min_ctg_len=100)
