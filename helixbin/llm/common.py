@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +39,41 @@ def shared_dir(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+#: Paths written in each open ``settled`` call, the innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a table to shared storage once and read it back, so that later jobs neither recompute it nor depend on executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixbin-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written, and whose tables on the way to it are then removed from shared storage."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        own: list[str] = []
+        _SCOPES.append(own)
+        try:
+            out = operator(docs, *args, **options)
+        finally:
+            _SCOPES.pop()
+        out = materialize(out)
+        sc = docs.sparkSession.sparkContext
+        for path in own:
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        return out
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs that nothing refers to any more; else they stay until the driver needs memory."""
     gc.collect()

@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbin.llm.common import broadcast_if_small, materialize, release
+from helixbin.llm.common import broadcast_if_small, materialize, release, settled
 
 WORD = r"[^\x20\x09-\x0D]"
 SIMILARITY = 0.8
@@ -42,6 +42,8 @@ LEADERS = 3
 PARITIES = 4
 #: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
 ID_BITS, LINE_BITS = 40, 23
+#: Tokens of a line from which it carries further parities into the join of crowded keys, whose partners are many.
+LONG, CROWDED = 24, 64
 #: Sets to verify up to which they are broadcast to the texts; more of them are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -177,14 +179,29 @@ def _led(sets: DataFrame) -> DataFrame:
 def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
     """Distinct (x, y) of sets x that are not settled and earlier sets y that share a key and pass the filters."""
     marked = sets.join(settled.select(F.col("x").alias("sid"), F.lit(True).alias("settled")), "sid", "left")
-    entries = marked.select("sid", "n", "bits", "settled", F.explode("keys").alias("e")).select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits")
+    entries = marked.select("sid", "n", "bits", "wide", "settled", F.explode("keys").alias("e"))
+    entries = entries.select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits", "wide")
     entries = entries.where("key IS NOT NULL AND sid IS NOT NULL AND p IS NOT NULL AND bits IS NOT NULL")  # or else the sides would differ in that
-    # both sides are the same rows, so that they are shuffled once; hence openness is judged with the order of the two
-    one, two = entries.toDF("key", "x", "xp", "xb"), entries.toDF("key", "y", "yp", "yb")
-    earlier = F.col("y") < F.when(F.col("xp").bitwiseAND(1) == 1, F.col("x")).otherwise(F.lit(-(1 << 63)))
-    return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb"))).select("x", "y").distinct()
-
-
+    # keys of settled sets alone make no pairs; those of many sets make most of them, by chance of 64 bits: there lines are told apart by more
+    open_ = F.count_if(F.col("p").bitwiseAND(1) == 1)
+    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), open_.alias("o")).where("n > 1 AND o > 0")
+    counts = materialize(counts.select("key", (F.col("n") > CROWDED).alias("crowded")))
+    narrow = entries.drop("wide").join(counts.where("NOT crowded").select("key"), "key", "left_semi")
+    crowded = entries.join(broadcast_if_small(counts.where("crowded").select("key")), "key", "left_semi")
+
+    def joined(rows: DataFrame, names: list[str], more: Column) -> DataFrame:
+        # both sides are the same rows, so that they are shuffled once; hence openness is judged with the order of the two
+        one, two = (rows.select("key", F.col("sid").alias(x), F.col("p").alias(f"{x}p"), F.col("bits").alias(f"{x}b"), *(F.col(c).alias(f"{x}w") for c in names)) for x in "xy")
+        earlier = F.col("y") < F.when(F.col("xp").bitwiseAND(1) == 1, F.col("x")).otherwise(F.lit(-(1 << 63)))
+        return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb")) & more).select("x", "y")
+
+    n, m = F.shiftright("xp", 32), F.shiftright("yp", 32)
+    bits = reduce(Column.__add__, (F.bit_count(F.get("xw", F.lit(q)).bitwiseXOR(F.get("yw", F.lit(q)))) for q in range(PARITIES)))
+    close = F.coalesce(bits <= n + m - 2 * _need(n, m), F.lit(True))  # short lines have no further parities
+    return joined(narrow, [], F.lit(True)).union(joined(crowded, ["wide"], close)).distinct()
+
+
+@settled
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(did, tk, removed): sorted positions of the lines to remove, of the documents that have some."""
     places = rarity(docs).scalar()
@@ -194,9 +211,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # a lambda may not hold a subquery; the two selections are collapsed into one, so that no row carries the places
     lines = lines.select("did", "tk", "pos", "w", places.alias("places")).select("did", "tk", "pos", tokens(F.col("w"), F.col("places")).alias("k"))
     size = F.size("k")
-    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), _parity("k").alias("bits"), _keys("k", size).alias("keys")))
+    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), _parity("k").alias("bits"), F.when(size >= LONG, _parities("k")).alias("wide"), _keys("k", size).alias("keys")))
     lines = _with_places(lines)
-    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "bits", "keys"), "sid").alias("v")).select("s", "t", "v.*"))
+    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "bits", "wide", "keys"), "sid").alias("v")).select("s", "t", "v.*"))
 
     release(docs.sparkSession)
     later = materialize(_verified(_led(sets), sets, rows))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbin.llm.common import broadcast_if_small, byte_chunks, materialize, sums_between
+from helixbin.llm.common import broadcast_if_small, byte_chunks, materialize, settled, sums_between
 
 #: Fewest words of a document, and largest share of words in repeated three-word windows.
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
@@ -297,7 +297,8 @@ def concentrated(rows: DataFrame) -> DataFrame:
     return last.select("g", "n", "centre", "cov")
 
 
-def fit(rows: DataFrame) -> DataFrame:
+@settled
+def estimates_of(rows: DataFrame) -> DataFrame:
     """(g, centre, matrix) of each language and source of rows (lang, source, x): its MCD estimate, shrunk towards its language's,
     and that towards that of all rows."""
     found = concentrated(grouped(rows))
@@ -308,18 +309,25 @@ def fit(rows: DataFrame) -> DataFrame:
     langs = langs.join(F.broadcast(parent(whole, "source")), "_source").select("g", "n", shrunk("centre"), shrunk("cov"))  # one row
     pairs = found.where("g.source <> ''").withColumn("_lang", F.col("g.lang"))
     pairs = pairs.join(parent(langs, "lang"), "_lang").select("g", "n", shrunk("centre"), shrunk("cov"))
-    return broadcast_if_small(materialize(_whitened(pairs)))
+    return _whitened(pairs)
+
+
+def fit(rows: DataFrame) -> DataFrame:
+    """The estimates, hinted for broadcast if they are few."""
+    return broadcast_if_small(estimates_of(rows))
 
 
-def judged(docs: DataFrame, keep: list[str]) -> DataFrame:
+def judged(docs: DataFrame, keep: list[str], once: bool = True) -> DataFrame:
     """The columns keep, the counts q, base_failed, distance2 and kept, of every row of docs (text, lang, source).
 
-    The rows with their counts are written to shared storage once; the estimates read only their narrow columns.
-    A text is needed again only where keep names it. Rows of a language and source without a text that passes the base rules have no
+    The rows with their counts are written to shared storage once, or if not once, counted again for the result, so that wide rows
+    are not kept twice; the estimates read only their narrow columns, which are written in any case. Rows of a language and source without a text that passes the base rules have no
     distance.
     """
     carried = list(dict.fromkeys([*keep, "lang", "source"]))
-    rows = materialize(with_counts(docs, carried))
+    rows = with_counts(docs, carried)
+    if once:
+        rows = materialize(rows)
     narrow = materialize(rows.where(~base_failed()).select("lang", "source", F.array(*statistics()).alias("x")))
     params = fit(narrow).select("g.lang", "g.source", "centre", "matrix").toDF("_lang", "_source", "centre", "matrix")
     named = rows.withColumn("_lang", _tag("lang")).withColumn("_source", _tag("source"))
@@ -333,4 +341,4 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with docs' own columns."""
     names = docs.columns
     moved = docs.toDF(*(n if n in ("text", "lang", "source") else f"_c{i}" for i, n in enumerate(names)))
-    return judged(moved, moved.columns).where("kept").select(*moved.columns).toDF(*names)
+    return judged(moved, moved.columns, once=False).where("kept").select(*moved.columns).toDF(*names)
