@@ -55,11 +55,34 @@ def align(head: str, tail: str, match: int = 1, mismatch: int = -5, gap_open: in
     return int(i), end_a, int(j), end_b, same / columns if columns else 0.0
 
 
-def terminal_repeats(contigs: DataFrame, min_size: int = 10, max_size: int = 300, min_identity: float = 0.95) -> DataFrame:
+def seeded(ends: DataFrame, min_size: int = 10, min_identity: float = 0.95, match: int = 1, mismatch: int = -5, gap_open: int = 5) -> DataFrame:
+    """Rows (head, tail) that can pass, by conditions that every accepted alignment meets; most others go before any is aligned.
+
+    An accepted alignment begins at the head's first letter and ends at the tail's last. Its part before the first column that is no match
+    must score more than 0, or the best local alignment would begin after it; such a column costs at least
+    min(-mismatch, gap_open), so it is preceded by a run of ``run`` matches: the head's first ``run`` letters stand in the tail. In
+    the same way it is followed by such a run: a shorter one adds no score, and of equal scores the earlier end counts. So the
+    tail's last ``run`` letters stand in the head. With n columns over min_size, of which at most (1 - min_identity) n are no matches, its
+    longest run of matches has at least ``seed`` letters: head and tail share a word of that length."""
+    run = min(-mismatch, gap_open) // match + 1
+    # past 1 / (1 - min_identity)**2 columns the bound no longer falls below its limit
+    bound = lambda n: -(-(n - int((1 - min_identity) * n + 1e-9)) // (int((1 - min_identity) * n + 1e-9) + 1))
+    seed = min(bound(n) for n in range(min_size + 1, min_size + 2 + int(2 / max(1 - min_identity, 1e-3)) ** 2))
+    run = min(run, seed)
+    first = F.instr(F.col("tail"), F.left("head", F.lit(run))) > 0
+    last = F.instr(F.col("head"), F.right("tail", F.lit(run))) > 0
+    near = ends.where((F.length("head") > min_size) & (F.length("tail") > min_size) & first & last)
+    words = lambda c: F.transform(F.sequence(F.lit(1), F.length(c) - (seed - 1)), lambda i: F.substring(F.col(c), i, F.lit(seed)))
+    return near.where((F.least(F.length("head"), F.length("tail")) >= seed) & F.arrays_overlap(words("head"), words("tail")))
+
+
+def terminal_repeats(contigs: DataFrame, min_size: int = 10, max_size: int = 300, min_identity: float = 0.95, seeds: bool = True) -> DataFrame:
     """(contig, head_start, head_end, tail_start, tail_end), ends exclusive, of contigs whose first and last max_size letters
     align over more than min_size letters, from the first letter of the head to the last of the tail."""
     ends = contigs.select("contig", F.length("seq").alias("n"), F.substring("seq", 1, max_size).alias("head"), F.right("seq", F.lit(max_size)).alias("tail"))
     kind = contigs.schema["contig"].dataType.simpleString()
+    if seeds:  # without them the result is the same
+        ends = seeded(ends, min_size, min_identity)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

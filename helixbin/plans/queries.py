@@ -392,8 +392,24 @@ def q29_trained_predictions(spark, d):
     return p.select(F.col("place").alias("pair"), "a", "b", F.round("composition", 6).alias("p"), F.col("label").alias("y"))
 
 
-@query()
+def _weights_sql(name: str, w: np.ndarray) -> str:
+    """A table (u, idx, w) of a layer's weights."""
+    return f"{name} AS (SELECT u, generate_subscripts(x, 1) - 1 AS idx, unnest(x) AS w FROM (SELECT generate_subscripts(l, 1) - 1 AS u, unnest(l) AS x FROM (SELECT CAST({w.tolist()!r} AS DOUBLE[][]) AS l)))"
+
+
+_NET = _model().branches["composition"].w
+
+
+@query(f"""WITH {C_SQL}, f AS (SELECT contig, frag, substr(seq, frag * every + 1, {FRAG}) AS s FROM (SELECT contig, seq, (length(seq) - {FRAG}) // 10 AS every, unnest(range(0, 10)) AS frag FROM c WHERE length(seq) >= {2 * FRAG})),
+k AS (SELECT contig, frag, unnest(list_transform(range(1, {FRAG - 2}), lambda i: substr(s, i, 4))) AS kmer FROM f),
+n AS (SELECT contig, frag, {CANON} AS kmer, count(*) AS n FROM k GROUP BY ALL),
+l AS (SELECT unnest(['A', 'C', 'G', 'T']) AS l), every AS (SELECT x.l || y.l || z.l || t.l AS kmer FROM l x, l y, l z, l t),
+names AS (SELECT kmer, row_number() OVER (ORDER BY kmer) - 1 AS idx FROM (SELECT DISTINCT {CANON} AS kmer FROM every)),
+{_weights_sql("w1", _NET["w1"])}, b1 AS (SELECT generate_subscripts(l, 1) - 1 AS u, unnest(l) AS b FROM (SELECT CAST({_NET["b1"].tolist()!r} AS DOUBLE[]) AS l)),
+h AS (SELECT contig, frag, u, CAST(greatest(sum(n * w) + any_value(b), 0) AS FLOAT) AS h FROM n JOIN names USING (kmer) JOIN w1 USING (idx) JOIN b1 USING (u) GROUP BY contig, frag, u)
+SELECT 'composition' AS feature, contig, CAST(frag AS INT) AS frag, count(*) AS width, round(sum(CAST(h AS DOUBLE)), 4) AS total FROM h GROUP BY contig, frag""")
 def q30_latents(spark, d):
+    """Latents of ten fragments of every contig by the composition branch; the twin is joins with its weights."""
     rows = embed.latents(contigs(spark, d), _model(), n_frags=10, frag_len=FRAG, min_length=2 * FRAG)
     return rows.select("feature", "contig", "frag", F.posexplode("vec").alias("dim", "v")).groupBy("feature", "contig", "frag").agg(F.count(F.lit(1)).alias("width"), F.round(F.sum(F.col("v").cast("double")), 4).alias("total"))
 
@@ -443,3 +459,36 @@ def q35_approximate_neighbours(spark, d):
     """The graph of the ten nearest of every vector, by neighbours of neighbours; tests hold it to the exact join."""
     centres = table(spark, d, "embeddings").select(F.col("vec_id").alias("contig"), F.transform("embedding", lambda x: x.cast("double")).alias("centre"))
     return neighbours.neighbour_graph(centres, 10).select("a", "b", F.round("dist", 6).alias("dist"))
+
+
+SIAMESE = {"composition": (64,), "coverage": (32, 2)}
+
+
+def _siamese() -> network.Model:
+    return network.Model({"composition": network.Branch((64,), (8, 4)), "coverage": network.Branch((32, 2), (8, 4), filters=2, kernel=4, stride=2, seed=1)}, 4)
+
+
+def _siamese_sql() -> str:
+    """The forward pass in SQL: each layer is inner products of a list with fixed weights, the convolution one of each window."""
+    net = _siamese()
+    row = lambda x: f"CAST({np.ravel(x).tolist()!r} AS DOUBLE[])"
+    dense = lambda x, w, b: "[" + ", ".join(f"greatest(list_inner_product({x}, {row(r)}) + {float(c)!r}, 0.0)" for r, c in zip(w, b)) + "]"
+    logistic = lambda x, w, b: f"1 / (1 + exp(-(list_inner_product({x}, {row(w)}) + {float(b[0])!r})))"
+    comp, cover = net.branches["composition"].w, net.branches["coverage"].w
+    windows = [f"greatest(list_inner_product(x[{2 * p + 1}:{2 * p + 4}] || x[{2 * p + 33}:{2 * p + 36}], {row(w)}) + {float(b)!r}, 0.0)" for w, b in zip(cover["wc"], cover["bc"]) for p in range(15)]
+    both = lambda h, w: f"list_transform(list_zip({dense(f'a.{h} || b.{h}', w['w2'], w['b2'])}, {dense(f'b.{h} || a.{h}', w['w2'], w['b2'])}), lambda z: greatest(z[1], z[2]))"
+    return f"""WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), z AS (SELECT vec_id, x, [{', '.join(windows)}] AS z FROM x),
+h AS (SELECT vec_id, {dense('x', comp['w1'], comp['b1'])} AS hc, {dense('z', cover['w1'], cover['b1'])} AS hv FROM z),
+m AS (SELECT a.vec_id AS a, b.vec_id AS b, {both('hc', comp)} AS mc, {both('hv', cover)} AS mv FROM h a JOIN h b ON b.vec_id = a.vec_id + 1),
+g AS (SELECT *, {dense('mc || mv', net.w['w4'], net.w['b4'])} AS g FROM m)
+SELECT a, b, round({logistic('mc', comp['w3'], comp['b3'])}, 6) AS composition, round({logistic('mv', cover['w3'], cover['b3'])}, 6) AS coverage, round({logistic('g', net.w['w5'], net.w['b5'])}, 6) AS combined FROM g"""
+
+
+@query(_siamese_sql())
+def q36_network_pairs(spark, d):
+    """Both branches and the merging head over every pair of neighbouring vectors."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    side = lambda s: rows.select(F.col("vec_id").alias(s), F.col("x").alias(f"{s}_composition"), F.col("x").alias(f"{s}_coverage"))
+    both = side("a").join(side("b"), F.col("b") == F.col("a") + 1).withColumns({"place": F.col("a"), "label": F.lit(0)})
+    p = training.predicted(both, _siamese(), SIAMESE)
+    return p.select("a", "b", *(F.round(h, 6).alias(h) for h in (*SIAMESE, "combined")))

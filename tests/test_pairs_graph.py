@@ -214,3 +214,30 @@ def test_leiden_against_the_best_of_all_partitions():
         assert best - 1.0 <= found <= best + 1e-9
         reached += found >= best - 1e-9
     assert reached >= 27
+
+
+def test_seeds_lose_no_repeat(spark):
+    """Edited ends of many kinds: what is aligned after the seed conditions is all that passes without them."""
+    rng = np.random.default_rng(12)
+    letters = np.array(list("ACGT"))
+    rows = []
+    for k in range(600):
+        n = int(rng.integers(6, 120))
+        end = rng.choice(letters, n)
+        other = list(end)
+        for _ in range(int(rng.integers(0, 1 + n // 12))):
+            at = int(rng.integers(0, len(other)))
+            kind = rng.integers(3)
+            if kind == 0:
+                other[at] = str(rng.choice(letters))
+            elif kind == 1:
+                other.insert(at, str(rng.choice(letters)))
+            elif len(other) > 1:
+                del other[at]
+        body = "".join(rng.choice(letters, int(rng.integers(0, 400))))
+        rows.append((f"V{k}", "".join(end) + body + "".join(other)))
+    rows += [("empty", ""), ("null", None), ("one", "A"), ("poly", "A" * 700), ("eleven", "ACGTACGGTCA" + "T" * 50 + "ACGTACGGTCA")]
+    df = spark.createDataFrame(rows, "contig string, seq string").repartition(4)
+    for size, identity in ((10, 0.95), (5, 0.9)):
+        want = sorted(map(tuple, repeats.terminal_repeats(df, size, min_identity=identity, seeds=False).collect()))
+        assert sorted(map(tuple, repeats.terminal_repeats(df, size, min_identity=identity).collect())) == want and len(want) > 100
