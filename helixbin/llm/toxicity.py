@@ -7,8 +7,10 @@ these. Training takes a bounded sample of labelled rows (MAX_TRAIN, the first in
 on the driver; scoring covers every row, and broadcasts weights of fixed size.
 
 Defined results: null text has no words and gets the model's base rate; without labels, or with labels of one class,
-every probability is the (smoothed) base rate; rows are scored singly; labels of unknown or null ids, null labels and
-repeated labels are harmless; an empty table gives an empty result.
+every probability is the (smoothed) base rate; rows are scored singly; labels of unknown or null ids are left out before the
+sample is cut; repeated rows of an id and text are one for training, with the larger of different labels; a text with one null
+label trains the other category's model only; texts of any length are scored whole; an empty table gives an empty result; only
+doc_id, text and the kept columns are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -96,20 +98,26 @@ def fit(rows: np.ndarray, slots: np.ndarray, y: np.ndarray, earlier: np.ndarray,
     return Linear(words, u / scale, float(b))
 
 
+def _of(keep: np.ndarray, rows: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words (row and slot of each) of the kept texts, these numbered anew."""
+    inside = keep[rows]
+    return (np.cumsum(keep) - 1)[rows[inside]], slots[inside]
+
+
 def fit_chain(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[Linear]:
-    """A model for each column of labels; later ones get out-of-fold logits of earlier ones."""
+    """A model for each column of labels, from the texts whose label is known (not NaN); later ones get out-of-fold logits of earlier ones."""
     n, k = labels.shape
     earlier, chain = np.zeros((n, 0)), []
     for j in range(k):
-        y = labels[:, j].astype(float)
-        chain.append(fit(rows, slots, y, earlier))
+        known = ~np.isnan(labels[:, j])
+        y = np.where(known, labels[:, j], 0.0)
+        chain.append(fit(*_of(known, rows, slots), y[known], earlier[known]))
         if j + 1 < k:
             out = np.zeros(n)
             for f in range(FOLDS):
                 held = folds == f
-                number = np.cumsum(~held) - 1
-                inside = ~held[rows]
-                model = fit(number[rows[inside]], slots[inside], y[~held], earlier[~held])
+                use = known & ~held
+                model = fit(*_of(use, rows, slots), y[use], earlier[use])
                 mine = held[rows]
                 out[held] = model.logits(rows[mine], slots[mine], n, earlier)[held]
             earlier = np.column_stack([earlier, out])
@@ -118,7 +126,11 @@ def fit_chain(rows: np.ndarray, slots: np.ndarray, labels: np.ndarray, folds: np
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> list[Linear]:
     columns = list(dict.fromkeys(c for _, c, _ in chain))
-    sample = labels.select("doc_id", *columns).dropna().withColumn("_o", F.md5(F.col("doc_id").cast("string"))).orderBy("_o", *columns).limit(MAX_TRAIN)
+    content = F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h")
+    given = labels.select("doc_id", *(F.col(c).cast("int").alias(c) for c in columns)).dropna("all", subset=columns)
+    # one row an id and text, whatever repeats; only then the sample is cut, so that the driver gets no more than MAX_TRAIN texts
+    every = docs.select("doc_id", content).join(given, "doc_id").groupBy("doc_id", "_h").agg(*(F.max(c).alias(c) for c in columns))
+    sample = every.withColumn("_o", F.md5(F.col("doc_id").cast("string"))).orderBy("_o", "_h").limit(MAX_TRAIN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = Slots()
@@ -126,14 +138,16 @@ def train(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> list[Linear]:
             words = [words_in(t.as_py(), slots).tolist() for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(words, pa.list_(pa.int32()))], names=["o", *columns, "w"])
 
-    joined = docs.select("text", "doc_id").join(F.broadcast(sample), "doc_id").select("text", F.col("_o").alias("o"), *(F.col(c).cast("int") for c in columns))
-    got = joined.mapInArrow(run, "o string, " + ", ".join(f"`{c}` int" for c in columns) + ", w array<int>").toArrow()
+    texts = docs.select("doc_id", content, "text").join(F.broadcast(sample), ["doc_id", "_h"])
+    one = texts.groupBy("doc_id", "_h").agg(F.first("text").alias("text"), F.first("_o").alias("o"), *(F.first(c).alias(c) for c in columns))
+    got = one.select("text", "o", *columns).mapInArrow(run, "o string, " + ", ".join(f"`{c}` int" for c in columns) + ", w array<int>").toArrow()
     order = np.array(sorted(range(len(got)), key=list(zip(got["o"].to_pylist(), got["w"].to_pylist())).__getitem__), int)
     got = got.take(pa.array(order, pa.int64())).combine_chunks()
     sizes = np.asarray(got["w"].combine_chunks().value_lengths().fill_null(0)).astype(int) if len(got) else np.zeros(0, int)
     rows = np.repeat(np.arange(len(got)), sizes)
     slots = np.asarray(got["w"].combine_chunks().flatten()).astype(int) if len(got) else np.zeros(0, int)
-    y = np.column_stack([np.asarray(got[c]) == v for _, c, v in chain]) if len(got) else np.zeros((0, len(chain)))
+    values = {c: np.array([np.nan if v is None else v for v in got[c].to_pylist()], float) for c in columns}
+    y = np.column_stack([np.where(np.isnan(values[c]), np.nan, values[c] == v) for _, c, v in chain]) if len(got) else np.zeros((0, len(chain)))
     folds = np.array([int(o[-6:], 16) % FOLDS for o in got["o"].to_pylist()], int)
     return fit_chain(rows, slots, y, folds)
 
