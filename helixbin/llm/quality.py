@@ -11,7 +11,9 @@ quarters. No group's rows meet in one task, and every row counts. There are thre
 signs); after two steps each group goes on with that of least determinant until no determinant falls any more.
 
 An estimate from n rows is shrunk as if WEIGHT further rows had come from that of the next larger group, and all texts' as if WEIGHT
-rows had come from PRIOR. So any covariance is regular and small groups need no switch; WEIGHT is nothing beside a large group's rows.
+rows had come from PRIOR. So small groups need no switch; WEIGHT is nothing beside a large group's rows. Most texts repeat no line
+and hold no symbol, so that the nearest rows of a large group can be all equal in a statistic; therefore the determinant is that of
+the regularized estimate: a share RIDGE of the prior's covariance and the rest of the rows', at every group size.
 
 Defined results: null text has no words and fails the base rules; null language or source is a group like
 others; rows are judged singly, so repeated rows and repeated ids get equal verdicts; an empty table gives
@@ -36,21 +38,31 @@ from helixbin.llm.common import broadcast_if_small, byte_chunks, materialize, se
 MIN_WORDS, MAX_REPEAT_SHARE = 50, 0.5
 #: Share of a group's rows that the MCD concentrates on, steps of all starts, most steps, and the fall of a log determinant that ends them.
 SUPPORT, FIRST_STEPS, MOST_STEPS, TOLERANCE = 0.75, 2, 20, 1e-2
-#: Rejection beyond this Mahalanobis distance. It is far outside a Gaussian's range, as shares of short texts scatter more than others.
-CUTOFF = 7.5
+#: Rejection where a Gaussian of as many dimensions would lie farther out with this probability.
+TAIL = 1e-6
 #: Bins of distance in a concentration step: BIN_PER_E per factor e, clamped to BINS.
 BINS, BIN_PER_E = 160, 8.0
 #: Code points of a word that count for the spread of word lengths, so that a key or an address in a text is one long word only.
 LONG_WORD = 20
 #: Transformed statistics, and a usual centre and spread of each: what WEIGHT rows are assumed to have shown before any row is read.
-PRIOR = {"word_length": (1.6, 0.1), "length_spread": (0.9, 0.15), "diversity": (0.95, 0.03), "marks": (-3.5, 0.4), "capitals": (-4.0, 0.5), "line_words": (3.7, 0.8)}
+#: They are round figures for prose in alphabetic languages: five-letter words, a mark to thirty letters, a capital to fifty, forty words a
+#: line, no repeats, and for the four shares a spread of about a factor of two. Groups of some hundred rows override the centres.
+PRIOR = {
+    "word_length": (1.6, 0.1), "length_spread": (0.9, 0.15), "diversity": (0.95, 0.03), "marks": (-3.5, 0.4), "capitals": (-4.0, 0.5),
+    "line_words": (3.7, 0.8), "symbols": (-4.6, 0.8), "digits": (-3.9, 0.8), "repeated_lines": (-3.0, 0.8), "repeated_words": (-3.0, 0.8),
+}
+#: Shares below which a text has hardly any symbols, digits, repeated lines or repeated words; they are added before the logarithm.
+FEW = {"n_symbols": 0.01, "n_digits": 0.02, "n_dup_lines": 0.05, "n_repeat_words": 0.05}
+#: Share of the prior's covariance in every estimate.
+RIDGE = 0.1
 WEIGHT = 30.0
 
 _WS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _UPPER = np.isin(np.arange(256), list(range(65, 91)))
+_DIGIT = np.isin(np.arange(256), list(range(48, 58)))
 _MARK = np.array([33 <= b < 127 and not chr(b).isalnum() for b in range(256)])
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_distinct", "capped", "capped2")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_digits", "n_distinct", "capped", "capped2")
 CHUNK = 1 << 20
 
 
@@ -87,7 +99,7 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
         capped = np.r_[0, np.minimum(points[end] - points[start], LONG_WORD)]
         out["capped"][lo:hi] = np.diff(np.cumsum(capped)[first])
         out["capped2"][lo:hi] = np.diff(np.cumsum(capped * capped)[first])
-        for k, table in (("n_symbols", _SYMBOL), ("n_capitals", _UPPER), ("n_marks", _MARK)):
+        for k, table in (("n_symbols", _SYMBOL), ("n_capitals", _UPPER), ("n_marks", _MARK), ("n_digits", _DIGIT)):
             out[k][lo:hi] = sums_between(table[data], offsets)
         raw = data.tobytes()
         for i in range(hi - lo):
@@ -117,11 +129,13 @@ def base_failed(q: str = "q") -> Column:
 
 
 def statistics(q: str = "q") -> list[Column]:
-    """The transformed statistics, all continuous: logarithms of the mean and the spread of word lengths, of distinct words on the scale
-    of all words, of the odds of marks and capitals among the characters, and of the words of a line."""
+    """The transformed statistics: logarithms of the mean and the spread of word lengths, of distinct words on the scale of all words, of
+    the odds of marks and capitals among the characters, of the words of a line, and of the shares of symbols and digits among the
+    characters, of repeated lines, and of words in repeated windows."""
     c = lambda k: F.col(f"{q}.{k}").cast("double")
     words = F.greatest(c("n_words"), F.lit(1.0))
     odds = lambda k: F.log((c(k) + 0.5) / (F.greatest(c("word_chars") - c(k), F.lit(0.0)) + 0.5))
+    share = lambda k, of: F.log(c(k) / F.greatest(of, F.lit(1.0)) + FEW[k])
     mean = c("capped") / words
     return [
         F.log(F.greatest(c("word_chars"), F.lit(1.0)) / words),
@@ -130,6 +144,10 @@ def statistics(q: str = "q") -> list[Column]:
         odds("n_marks"),
         odds("n_capitals"),
         F.log(words / F.greatest(c("n_lines"), F.lit(1.0))),
+        share("n_symbols", c("word_chars")),
+        share("n_digits", c("word_chars")),
+        share("n_dup_lines", c("n_lines")),
+        share("n_repeat_words", c("n_words")),
     ]
 
 
@@ -142,18 +160,23 @@ def _even_chi2_cdf(x: float, dof: int) -> float:
 
 
 @lru_cache(4096)
-def consistency(p: int, support: float) -> float:
-    """Factor that makes the covariance of the nearest share of Gaussian rows unbiased (p even)."""
-    if support >= 1:
-        return 1.0
-    lo, hi = 0.0, 100.0
+def chi2_quantile(share: float, dof: int) -> float:
+    """The squared length that this share of Gaussian rows does not exceed (dof even)."""
+    lo, hi = 0.0, 200.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _even_chi2_cdf(mid, p) < support else (lo, mid)
-    return support / _even_chi2_cdf(lo, p + 2)
+        lo, hi = (mid, hi) if _even_chi2_cdf(mid, dof) < share else (lo, mid)
+    return lo
+
+
+def consistency(p: int, support: float) -> float:
+    """Factor that makes the covariance of the nearest share of Gaussian rows unbiased (p even)."""
+    return 1.0 if support >= 1 else support / _even_chi2_cdf(chi2_quantile(support, p), p + 2)
 
 
 P = len(PRIOR)
+#: Squared Mahalanobis distance of the rejection.
+CUTOFF2 = chi2_quantile(1 - TAIL, P)
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _GROUP = "g struct<lang: string, source: string>"
 
@@ -172,9 +195,10 @@ def moments(n: float, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndar
     return mean, square(np.asarray(c, float) / n) - np.outer(mean, mean)
 
 
-def steadied(n: float, cov: np.ndarray) -> np.ndarray:
-    """The covariance of n rows together with WEIGHT rows of the prior."""
-    return (n * cov + WEIGHT * np.diag([spread**2 for _, spread in PRIOR.values()])) / (n + WEIGHT)
+def steadied(n: float, cov: np.ndarray, weight: float) -> np.ndarray:
+    """The covariance of n rows together with weight rows of the prior, and RIDGE of the prior's."""
+    prior = np.diag([spread**2 for _, spread in PRIOR.values()])
+    return (1 - RIDGE) * (n * cov + weight * prior) / (n + weight) + RIDGE * prior
 
 
 def whitening(cov: np.ndarray) -> tuple[np.ndarray, float]:
@@ -196,9 +220,10 @@ def _estimated(sums: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for start, n, total, s, c in zip(*(batch.column(k).to_pylist() for k in ("start", "n", "total", "s", "c"))):
+            for g, start, n, total, s, c in zip(*(batch.column(k).to_pylist() for k in ("g", "start", "n", "total", "s", "c"))):
                 mean, cov = moments(n, s, c)
-                cov = steadied(n, cov * consistency(P, round(n / total, 3)))
+                # smaller groups are shrunk towards larger ones at the end
+                cov = steadied(n, cov * consistency(P, round(n / total, 3)), WEIGHT if g["lang"] == g["source"] == "" else 0.0)
                 matrix, det = whitening(cov)
                 rows.append([start, float(total), mean.tolist(), [cov[i, j] for i, j in _PAIRS], matrix.ravel().tolist(), det])
             yield _table(rows, batch, names)
@@ -333,7 +358,7 @@ def judged(docs: DataFrame, keep: list[str], once: bool = True) -> DataFrame:
     named = rows.withColumn("_lang", _tag("lang")).withColumn("_source", _tag("source"))
     out = named.join(params, ["_lang", "_source"], "left").withColumn("x", F.array(*statistics())).withColumn("distance2", _distance2())
     failed = base_failed()
-    kept = ~failed & F.coalesce(F.col("distance2") <= CUTOFF**2, F.lit(True))
+    kept = ~failed & F.coalesce(F.col("distance2") <= CUTOFF2, F.lit(True))
     return out.select(*keep, "q", failed.alias("base_failed"), F.round("distance2", 6).alias("distance2"), kept.alias("kept"))
 
 
