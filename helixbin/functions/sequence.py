@@ -1,7 +1,11 @@
-"""Sequence expressions: cleaning, k-mers, averaging windows and fragment layouts, all JVM-side."""
+"""Sequence expressions: cleaning, k-mers, averaging windows and fragment layouts; JVM-side but for counts of short k-mers."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +33,59 @@ def kmers(df: DataFrame, keys: list[str], k: int = 4, canonical: bool = True, se
     return out.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer")))) if canonical else out
 
 
+#: Longest k-mers that are counted in arrays of 4**k numbers a sequence or batch; longer ones are exploded.
+LONGEST_COUNTED = 8
+
+
+def _batch_counts(k: int, canonical: bool, by_row: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The counts of each sequence of a batch, or of the batch in all, with the keys beside them. Windows do not cross sequences."""
+    value = np.full(256, -1, np.int64)
+    value[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+    name = ["".join("ACGT"[(c >> 2 * (k - 1 - i)) & 3] for i in range(k)) for c in range(4**k)]
+    least = np.arange(4**k)
+    if canonical:
+        complement = str.maketrans("ACGT", "TGCA")
+        code = {n: c for c, n in enumerate(name)}
+        least = np.array([min(c, code[n.translate(complement)[::-1]]) for c, n in enumerate(name)])
+    names = pa.array(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seqs = batch.column(batch.num_columns - 1).cast(pa.large_binary()).fill_null(b"")
+            offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+            rows, codes, counts = [], [], []
+            hi = 0
+            while hi < len(seqs):  # some megabytes at a time, one sequence at least
+                lo, hi = hi, max(hi + 1, int(np.searchsorted(offsets, offsets[hi] + (4 << 20), "right")) - 1)
+                raw = np.frombuffer(seqs.buffers()[2], np.uint8)[offsets[lo] : offsets[hi]] if seqs.buffers()[2] is not None else np.zeros(0, np.uint8)
+                n = len(raw) - k + 1
+                if n <= 0:
+                    continue
+                letters, total, good = value[raw], np.zeros(n, np.int64), np.ones(n, bool)
+                for i in range(k):
+                    total = total * 4 + letters[i : i + n]
+                    good &= letters[i : i + n] >= 0
+                row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
+                good &= row[:n] == row[k - 1 :]
+                key, count = np.unique((row[:n][good] if by_row else 0) * 4**k + least[total[good]], return_counts=True)
+                rows.append(lo + key // 4**k), codes.append(key % 4**k), counts.append(count)
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                kept = [batch.column(i).take(at) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, names.take(pa.array(np.concatenate(codes))), pa.array(np.concatenate(counts))], [*batch.schema.names[:-1], "kmer", "n"])
+
+    return run
+
+
 def kmer_counts(df: DataFrame, keys: list[str], k: int = 4, canonical: bool = True, seq: str = "seq") -> DataFrame:
-    """(keys, kmer, n); counting is partial before the shuffle, which carries at most kmer_total rows a key and task."""
-    return kmers(df, keys, k, canonical, seq).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """(keys, kmer, n), counted in arrays a batch at a time, so that no row is made a base; the shuffle carries at most kmer_total
+    rows a key and task."""
+    if k > LONGEST_COUNTED:
+        return kmers(df, keys, k, canonical, seq).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    kind = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
+    schema = "".join(f"`{c}` {t}, " for c, t in kind.items()) + "kmer string, n bigint"
+    parts = df.select(*keys, seq).mapInArrow(_batch_counts(k, canonical, bool(keys)), schema)
+    return parts.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
 
 
 def averaged(values: Column, width: int, step: int) -> Column:

@@ -88,12 +88,20 @@ def _advance(state: Column, piece: Column) -> Column:
     return F.struct(end.alias("at"), (state["gone"] + F.when(gap, n).otherwise(0)).alias("gone"), F.when(gap, state["out"]).otherwise(F.concat(state["out"], F.array(here))).alias("out"))
 
 
+#: Bases of a bin in which runs meet the valid stretches of their contig.
+BIN = 4096
+
+
 def masked_runs(runs: DataFrame, contigs: DataFrame) -> DataFrame:
-    """Runs (contig, ..., start, end, depth) cut to the valid letters of contigs, re-indexed as if all N were dropped."""
-    valid = valid_runs(contigs).toDF("contig", "_lo", "_hi", "_shift")
-    both = runs.join(valid, "contig").where((F.col("start") < F.col("_hi")) & (F.col("end") > F.col("_lo")))
+    """Runs (contig, ..., start, end, depth) cut to the valid letters of contigs, re-indexed as if all N were dropped. Runs and
+    stretches meet by bins of positions, each pair in the first bin that they share."""
+    bins = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / BIN), F.floor((F.col(hi) - 1) / BIN)))
+    valid = valid_runs(contigs).toDF("contig", "_lo", "_hi", "_shift").withColumn("_bin", bins("_lo", "_hi"))
+    both = runs.where("end > start").withColumn("_bin", bins("start", "end")).join(valid, ["contig", "_bin"])
+    first = F.col("_bin") == F.floor(F.greatest("start", "_lo") / BIN)
+    both = both.where(first & (F.col("start") < F.col("_hi")) & (F.col("end") > F.col("_lo")))
     cut = both.withColumn("start", F.greatest("start", "_lo") - F.col("_shift")).withColumn("end", F.least("end", "_hi") - F.col("_shift"))
-    return cut.drop("_lo", "_hi", "_shift")
+    return cut.drop("_lo", "_hi", "_shift", "_bin")
 
 
 def valid_positions(contigs: DataFrame) -> DataFrame:

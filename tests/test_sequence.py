@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,3 +60,28 @@ def test_fragments(spark):
     assert len(train) == (1 + 60 - 20) // 2 and (train[3].start, train[3].end) == (6, 26)
     late = S.latent_fragments(df, 20, 5, F.length("seq")).orderBy("frag").collect()
     assert [(r.start, r.end) for r in late] == [(8 * i, 8 * i + 20) for i in range(5)]
+
+
+@pytest.mark.parametrize("canonical", [True, False])
+@pytest.mark.parametrize("keys", [["contig"], []])
+def test_counted_kmers_equal_exploded_ones(spark, canonical, keys):
+    rng = np.random.default_rng(9)
+    seqs = ["".join(rng.choice(list("ACGTNacgt"), int(n), p=[0.23] * 4 + [0.04] + [0.01] * 4)) for n in rng.integers(0, 60, 300)]
+    rows = [(k % 40, s) for k, s in enumerate(seqs)] + [(0, None), (1, ""), (2, "ACG"), (3, "ACGT" * 5000), (None, "ACGTACGT")]
+    df = spark.createDataFrame(rows, "contig long, seq string").repartition(3)
+    for k in (1, 3, 4):
+        want = S.kmers(df, keys, k, canonical).groupBy(*keys, "kmer").count()
+        assert sorted(map(str, S.kmer_counts(df, keys, k, canonical).collect())) == sorted(str(r).replace("count=", "n=") for r in want.collect())
+
+
+def test_masked_runs_against_positions(spark, monkeypatch):
+    from helixbin.operators import alignments as A
+
+    monkeypatch.setattr(A, "BIN", 16)
+    rng = np.random.default_rng(10)
+    seqs = {c: "".join(rng.choice(list("ACGTN"), 200, p=[0.2, 0.2, 0.2, 0.2, 0.2])) for c in ("a", "b")} | {"none": "N" * 50, "all": "A" * 300}
+    runs = [(c, s, int(lo), int(lo + n), 1 + s) for c in seqs for s in range(2) for lo, n in zip(rng.integers(0, 250, 15), rng.integers(0, 90, 15))]
+    got = A.masked_runs(spark.createDataFrame(runs, "contig string, sample int, start int, end int, depth int"), spark.createDataFrame(list(seqs.items()), "contig string, seq string"))
+    place = {c: np.cumsum([x != "N" for x in s]) - 1 for c, s in seqs.items()}
+    want = sorted((c, s, int(place[c][p]), d) for c, s, lo, hi, d in runs for p in range(lo, min(hi, len(seqs[c]))) if seqs[c][p] != "N")
+    assert sorted((r.contig, r["sample"], p, r.depth) for r in got.collect() for p in range(r.start, r.end)) == want
