@@ -42,8 +42,9 @@ LEADERS = 3
 PARITIES = 4
 #: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
 ID_BITS, LINE_BITS = 40, 23
-#: Tokens of a line from which it carries further parities into the join of crowded keys, whose partners are many.
-LONG, CROWDED = 24, 64
+#: Tokens of a line from which it carries its further parities into the join: two lines that share nothing differ in about 32 of 64 bits,
+#: which is too few to tell from the 2/9 of their tokens in which such long lines may differ.
+LONG = 96
 #: Sets to verify up to which they are broadcast to the texts; more of them are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -182,23 +183,13 @@ def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
     entries = marked.select("sid", "n", "bits", "wide", "settled", F.explode("keys").alias("e"))
     entries = entries.select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits", "wide")
     entries = entries.where("key IS NOT NULL AND sid IS NOT NULL AND p IS NOT NULL AND bits IS NOT NULL")  # or else the sides would differ in that
-    # keys of settled sets alone make no pairs; those of many sets make most of them, by chance of 64 bits: there lines are told apart by more
-    open_ = F.count_if(F.col("p").bitwiseAND(1) == 1)
-    counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), open_.alias("o")).where("n > 1 AND o > 0")
-    counts = materialize(counts.select("key", (F.col("n") > CROWDED).alias("crowded")))
-    narrow = entries.drop("wide").join(counts.where("NOT crowded").select("key"), "key", "left_semi")
-    crowded = entries.join(broadcast_if_small(counts.where("crowded").select("key")), "key", "left_semi")
-
-    def joined(rows: DataFrame, names: list[str], more: Column) -> DataFrame:
-        # both sides are the same rows, so that they are shuffled once; hence openness is judged with the order of the two
-        one, two = (rows.select("key", F.col("sid").alias(x), F.col("p").alias(f"{x}p"), F.col("bits").alias(f"{x}b"), *(F.col(c).alias(f"{x}w") for c in names)) for x in "xy")
-        earlier = F.col("y") < F.when(F.col("xp").bitwiseAND(1) == 1, F.col("x")).otherwise(F.lit(-(1 << 63)))
-        return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb")) & more).select("x", "y")
-
+    # both sides are the same rows, so that they are shuffled once; hence openness is judged with the order of the two
+    one, two = (entries.select("key", F.col("sid").alias(x), F.col("p").alias(f"{x}p"), F.col("bits").alias(f"{x}b"), F.col("wide").alias(f"{x}w")) for x in "xy")
+    earlier = F.col("y") < F.when(F.col("xp").bitwiseAND(1) == 1, F.col("x")).otherwise(F.lit(-(1 << 63)))
     n, m = F.shiftright("xp", 32), F.shiftright("yp", 32)
     bits = reduce(Column.__add__, (F.bit_count(F.get("xw", F.lit(q)).bitwiseXOR(F.get("yw", F.lit(q)))) for q in range(PARITIES)))
-    close = F.coalesce(bits <= n + m - 2 * _need(n, m), F.lit(True))  # short lines have no further parities
-    return joined(narrow, [], F.lit(True)).union(joined(crowded, ["wide"], close)).distinct()
+    close = F.coalesce(bits <= n + m - 2 * _need(n, m), F.lit(True))  # of two long lines
+    return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb")) & close).select("x", "y").distinct()
 
 
 @settled
