@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir), returns a DataFrame, and works on all that its predecessor kept; ``run`` writes each
 stage's rows as Parquet to shared storage and reads them again. All but the last return the columns of documents.
+
+Defined results of every stage: other columns pass through unchanged, whatever they are called; null and empty texts have no words, so
+that the first stage drops them and the later ones, given such rows, keep (near-dedup, tokens), drop (line dedup) or never take (mix)
+them; a null language or source is a group of its own and a null id sorts after all others; texts of any length are read whole; an empty
+table gives an empty one. Repeated rows are judged alike by the first stage, are one document to line dedup, leave one row in
+near-dedup, and have a share each in the mix. Ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from helixbin.llm.common import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are no outliers of their language and source."""
+    """Documents that pass the base rules and are no outliers of their language and source; rows stay as they are."""
     return quality.kept_rows(docs)
 
 
@@ -26,14 +32,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, that of the smallest id; its row stays as it is."""
     return neardup.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training mix in training order: a row for each copy of a document that the mix takes.
 
-    The copy at the end of a source's demand is taken whole if at least half of its words are wanted, else left out.
+    The copy at the end of a source's demand is taken whole if at least half of its words are wanted, else left out. Rows that are equal
+    in all columns are taken from one of them.
     """
     # a part a column, its length before it, so that different rows never give one string
     part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
