@@ -256,3 +256,18 @@ def test_missing_sums_of_whole_bins(spark, tmp_path):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     want = sorted(con.execute(queries.SQL["q24_missing_pairs"]).fetchall())
     assert got == want and max(n for _, n, _ in want) > 100_000
+
+
+def test_ends_of_alignments_side_by_side():
+    """best_ends of a batch of pairs of many lengths is where align ends, ties included."""
+    rng = np.random.default_rng(14)
+    word = lambda n, letters="ACGT": "".join(rng.choice(list(letters), n))
+    pairs_ = []
+    for k in range(150):
+        core = word(int(rng.integers(1, 30)), "AC" if k % 3 else "ACGT")
+        pairs_.append((core + word(int(rng.integers(0, 40))), word(int(rng.integers(0, 40))) + core[: max(1, len(core) - k % 3)]))
+    pairs_ += [("A", "C"), ("A", "A"), ("AAAA", "AA"), ("ACAC", "ACACAC"), ("A" * 90, "A" * 80)]
+    ends = repeats.best_ends([h.encode() for h, _ in pairs_], [t.encode() for _, t in pairs_])
+    for (h, t), i, j in zip(pairs_, *ends):
+        assert (i, j) == (repeats.align(h, t)[1], repeats.align(h, t)[3]), (h, t)
+    assert repeats.traced([h.encode() for h, _ in pairs_], [t.encode() for _, t in pairs_]) == [repeats.align(h, t) for h, t in pairs_]
