@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbin.functions.sequence import averaged, optimal_distance
+from helixbin.sources.store import materialize
 
 #: Fixed values of the generator behind draws.
 MULTIPLIER, INCREMENT, MODULUS = 1103515245, 12345, 2147483648
@@ -19,6 +20,8 @@ def draw(x: Column) -> Column:
 def positive_pairs(frags: DataFrame, fppc: int, seed: int = 1) -> DataFrame:
     """(contig, i, j) from (contig, n): the first fppc pairs, in order, of fragments at the optimal distance; where a contig
     has fewer, fppc drawn pairs instead, which may be equal."""
+    # narrow rows; else each of the conditions below would count the fragments again, and so read the sequences again
+    frags = materialize(frags.select("contig", "n"))
     d = F.greatest(optimal_distance(F.col("n"), fppc), F.lit(1))
     rows = frags.where("n > 0").withColumn("d", d)
     some = rows.where("n > d").select("contig", "n", "d", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("d") - 1)).alias("i"))
@@ -47,7 +50,7 @@ def negative_pairs(frags: DataFrame, n_pairs: int, seed: int = 1) -> DataFrame:
     """
     from helixbin.operators.ranking import ranked
 
-    named = ranked(frags.where("n > 0").select("contig", "n"), "contig", "rank")
+    named = ranked(materialize(frags.select("contig", "n").where("n > 0")), "contig", "rank")
     total = named.count()
     if total < 2:
         raise RuntimeError("negative pairs need two contigs")
