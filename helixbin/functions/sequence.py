@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,28 @@ def kmers(df: DataFrame, keys: list[str], k: int = 4, canonical: bool = True, se
 LONGEST_COUNTED = 8
 
 
+#: Letters that are counted at a time (one sequence at least), and counted sequences that are written out at a time: they bound a worker's memory.
+CHUNK_LETTERS, ROWS_OUT = 1 << 18, 256
+
+
+def _names(k: int) -> list[str]:
+    return ["".join("ACGT"[(c >> 2 * (k - 1 - i)) & 3] for i in range(k)) for c in range(4**k)]
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a column of strings or bytes; null is empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets
+
+
 def _batch_counts(k: int, canonical: bool, by_row: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The counts of each sequence of a batch, or of the batch in all, with the keys beside them. Windows do not cross sequences."""
-    value = np.full(256, -1, np.int64)
+    """The counts of each sequence of a batch, as codes (two bytes each) and counts (eight), with the keys beside them; or those of some
+    sequences in all. Windows do not cross sequences."""
+    value = np.full(256, -1, np.int32)
     value[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-    name = ["".join("ACGT"[(c >> 2 * (k - 1 - i)) & 3] for i in range(k)) for c in range(4**k)]
+    name = _names(k)
     least = np.arange(4**k)
     if canonical:
         complement = str.maketrans("ACGT", "TGCA")
@@ -49,43 +67,108 @@ def _batch_counts(k: int, canonical: bool, by_row: bool) -> Callable[[Iterator[p
         least = np.array([min(c, code[n.translate(complement)[::-1]]) for c, n in enumerate(name)])
     names = pa.array(name)
 
+    def counted(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys row * 4**k + code, or codes only, and their counts."""
+        n = len(raw) - k + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        letters, total, good = value[raw], np.zeros(n, np.int32), np.ones(n, bool)
+        for i in range(k):
+            total = total * 4 + letters[i : i + n]
+            good &= letters[i : i + n] >= 0
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        good &= row[:n] == row[k - 1 :]
+        return np.unique((row[:n][good] if by_row else 0) * 4**k + least[total[good]], return_counts=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seqs = batch.column(batch.num_columns - 1).cast(pa.large_binary()).fill_null(b"")
-            offsets = np.frombuffer(seqs.buffers()[1], np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
-            rows, codes, counts = [], [], []
+            raw, offsets = _binary(batch.column(batch.num_columns - 1))
             hi = 0
-            while hi < len(seqs):  # some megabytes at a time, one sequence at least
-                lo, hi = hi, max(hi + 1, int(np.searchsorted(offsets, offsets[hi] + (4 << 20), "right")) - 1)
-                raw = np.frombuffer(seqs.buffers()[2], np.uint8)[offsets[lo] : offsets[hi]] if seqs.buffers()[2] is not None else np.zeros(0, np.uint8)
-                n = len(raw) - k + 1
-                if n <= 0:
+            while hi < len(batch):
+                lo, hi = hi, max(hi + 1, int(np.searchsorted(offsets, offsets[hi] + CHUNK_LETTERS, "right")) - 1)
+                key, count = counted(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                if not by_row:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(key)), pa.array(count)], ["kmer", "n"])
                     continue
-                letters, total, good = value[raw], np.zeros(n, np.int64), np.ones(n, bool)
-                for i in range(k):
-                    total = total * 4 + letters[i : i + n]
-                    good &= letters[i : i + n] >= 0
-                row = np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1]))
-                good &= row[:n] == row[k - 1 :]
-                key, count = np.unique((row[:n][good] if by_row else 0) * 4**k + least[total[good]], return_counts=True)
-                rows.append(lo + key // 4**k), codes.append(key % 4**k), counts.append(count)
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                kept = [batch.column(i).take(at) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*kept, names.take(pa.array(np.concatenate(codes))), pa.array(np.concatenate(counts))], [*batch.schema.names[:-1], "kmer", "n"])
+                rows, first = np.unique(key // 4**k, return_index=True)
+                ends = [*first[1:].tolist(), len(key)]
+                codes, counts = (key % 4**k).astype("<u2"), count.astype("<i8")
+                packed = [pa.array([x[i:j].tobytes() for i, j in zip(first, ends)], pa.binary()) for x in (codes, counts)]
+                kept = [batch.column(i).take(pa.array(lo + rows)) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *packed], [*batch.schema.names[:-1], "codes", "counts"])
+
+    return run
+
+
+def _summed(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(keys, kmer, n) from rows (keys, codes, counts) in order of the keys; the last key of a batch waits for the next one, as one row."""
+    names = pa.array(_names(k))
+
+    def groups(table: pa.Table) -> np.ndarray:
+        """The number of each row's key among those of the table."""
+        new = np.zeros(len(table), bool)
+        for column in table.columns[:-2]:
+            column = column.combine_chunks()
+            left, right = column[:-1], column[1:]
+            same = pc.or_(pc.fill_null(pc.equal(left, right), False), pc.and_(pc.is_null(left), pc.is_null(right)))
+            new[1:] |= ~same.to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    def merged(table: pa.Table, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row of a key, code, count), counts of a key's rows added."""
+        codes, at = _binary(table.column("codes").combine_chunks())
+        counts, _ = _binary(table.column("counts").combine_chunks())
+        codes = codes[at[0] : at[-1]].view("<u2")
+        counts = counts[at[0] * 4 : at[-1] * 4].view("<i8")
+        key = np.repeat(group, np.diff(at) // 2) * 4**k + codes
+        if len(group) and len(np.unique(group)) < len(group):
+            order = np.argsort(key, kind="stable")
+            key, starts = np.unique(key[order], return_index=True)
+            counts = np.add.reduceat(counts[order], starts) if len(key) else counts
+        row = np.unique(group, return_index=True)[1][np.searchsorted(np.unique(group), key // 4**k)]
+        return row, key % 4**k, counts
+
+    def listed(table: pa.Table, group: np.ndarray) -> pa.RecordBatch:
+        row, code, count = merged(table, group)
+        kept = [c.combine_chunks().take(pa.array(row)) for c in table.columns[:-2]]
+        return pa.RecordBatch.from_arrays([*kept, names.take(pa.array(code)), pa.array(count)], [*table.column_names[:-2], "kmer", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: pa.Table | None = None
+        for batch in batches:
+            for lo in range(0, batch.num_rows, ROWS_OUT):
+                # a copy, so that offsets begin with the slice
+                table = pa.Table.from_batches([batch.slice(lo, ROWS_OUT)])
+                table = table.take(pa.array(range(len(table))))
+                table = table if waiting is None else pa.concat_tables([waiting, table])
+                group = groups(table)
+                last = int(np.searchsorted(group, group[-1]))
+                if last:
+                    yield listed(table.slice(0, last).take(pa.array(range(last))), group[:last])
+                waiting, group = table.slice(last).take(pa.array(range(len(table) - last))), group[last:]
+                if len(waiting) > 1:
+                    _, code, count = merged(waiting, group)
+                    packed = [pa.array([code.astype("<u2").tobytes()], waiting.schema.field("codes").type), pa.array([count.astype("<i8").tobytes()], waiting.schema.field("counts").type)]
+                    waiting = pa.table([*(c.slice(0, 1) for c in waiting.columns[:-2]), *packed], waiting.column_names)
+        if waiting is not None:
+            yield listed(waiting, groups(waiting))
 
     return run
 
 
 def kmer_counts(df: DataFrame, keys: list[str], k: int = 4, canonical: bool = True, seq: str = "seq") -> DataFrame:
-    """(keys, kmer, n), counted in arrays a batch at a time, so that no row is made a base; the shuffle carries at most kmer_total
-    rows a key and task."""
+    """(keys, kmer, n), counted in arrays some sequences at a time, so that no row is made a base. With keys the shuffle carries a row
+    a sequence, and the rows of a key are added in order of the keys, so that no task holds a table of all its keys and k-mers."""
     if k > LONGEST_COUNTED:
         return kmers(df, keys, k, canonical, seq).groupBy(*keys, "kmer").agg(F.count(F.lit(1)).alias("n"))
-    kind = {f.name: f.dataType.simpleString() for f in df.select(*keys).schema}
-    schema = "".join(f"`{c}` {t}, " for c, t in kind.items()) + "kmer string, n bigint"
-    parts = df.select(*keys, seq).mapInArrow(_batch_counts(k, canonical, bool(keys)), schema)
-    return parts.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"))
+    if not keys:
+        return df.select(seq).mapInArrow(_batch_counts(k, canonical, False), "kmer string, n bigint").groupBy("kmer").agg(F.sum("n").alias("n"))
+    own = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(c).alias(o) for c, o in zip(keys, own)), F.col(seq).alias("seq"))
+    kind = "".join(f"{o} {rows.schema[o].dataType.simpleString()}, " for o in own)
+    parts = rows.mapInArrow(_batch_counts(k, canonical, True), kind + "codes binary, counts binary")
+    sums = parts.repartition(*own).sortWithinPartitions(*own).mapInArrow(_summed(k), kind + "kmer string, n bigint")
+    return sums.toDF(*keys, "kmer", "n")
 
 
 def averaged(values: Column, width: int, step: int) -> Column:

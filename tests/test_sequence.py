@@ -85,3 +85,23 @@ def test_masked_runs_against_positions(spark, monkeypatch):
     place = {c: np.cumsum([x != "N" for x in s]) - 1 for c, s in seqs.items()}
     want = sorted((c, s, int(place[c][p]), d) for c, s, lo, hi, d in runs for p in range(lo, min(hi, len(seqs[c]))) if seqs[c][p] != "N")
     assert sorted((r.contig, r["sample"], p, r.depth) for r in got.collect() for p in range(r.start, r.end)) == want
+
+
+@pytest.mark.parametrize("rows_out", [1, 3, 256])
+def test_counts_of_a_key_over_many_batches(rows_out, monkeypatch):
+    """Sums carry a row a sequence: keys in order, some in many rows over several batches, two of them or none known."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "ROWS_OUT", rows_out)
+    rng = np.random.default_rng(15)
+    keys = sorted([(int(a), str(b)) for a, b in zip(rng.integers(0, 4, 40), rng.choice(list("xyz"), 40))]) + [(7, None)] * 3 + [(None, None)] * 2
+    rows, want = [], Counter()
+    for key in keys:
+        counts = Counter(rng.integers(0, 256, 30).tolist())
+        rows.append((np.array(list(counts), "<u2").tobytes(), np.array(list(counts.values()), "<i8").tobytes()))
+        want.update({(*key, c): n for c, n in counts.items()})
+    columns = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["k0", "k1", "codes", "counts"])
+    out = list(S._summed(4)(iter([batch.slice(i, 7) for i in range(0, len(keys), 7)])))
+    got = Counter({(r["k0"], r["k1"], S._names(4).index(r["kmer"])): r["n"] for b in out for r in b.to_pylist()})
+    assert got == want and sum(map(len, out)) == len(want)
