@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixbin.operators import neighbours
+from helixbin.operators.ranking import ranked
 from helixbin.operators.selection import percentile
 from helixbin.sources.store import materialize
 
@@ -40,20 +42,68 @@ def radius(latent: DataFrame, centres: DataFrame) -> float:
     return percentile(fragment_distances(latent, centres), "dist", 0.9)
 
 
+#: Centres of a block, of which a task compares two, and of a stripe of it that is compared at once.
+BLOCK, STRIPE = 8192, 256
+#: Distances by products of matrices are floating-point: pairs are looked at one by one where they could be off by this share of the lengths.
+PRODUCT_SLACK = 1e-9
+
+
+def _vectors(table: pa.Table, name: str) -> np.ndarray:
+    column = table.column(name).combine_chunks()
+    return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
+
+
+def _close(r: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Both orders of the pairs within r of two blocks; of a block and itself every pair is met twice."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        same = key[0].as_py() == key[1].as_py()
+        found_i, found_j, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if len(left) and len(right):
+            x, y = _vectors(left, "centre"), _vectors(right, "centre")
+            xx, yy = (x * x).sum(1), (y * y).sum(1)
+            for lo in range(0, len(x), STRIPE):
+                part = x[lo : lo + STRIPE]
+                lengths = xx[lo : lo + STRIPE, None] + yy
+                i, j = np.nonzero(lengths - 2 * (part @ y.T) <= r * r + PRODUCT_SLACK * (lengths + r * r))
+                for at in range(0, len(i), 1 << 14):
+                    a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+                    total = np.zeros(len(a))
+                    for d in range(x.shape[1]):  # in the order of the dimensions, as squared_distance
+                        total += np.square(part[a, d] - y[b, d])
+                    dist = np.sqrt(total)
+                    near = dist <= r
+                    found_i.append(lo + a[near]), found_j.append(b[near]), found.append(dist[near])
+        i, j, dist = map(np.concatenate, (found_i, found_j, found))
+        a, b = left.column("contig").take(pa.array(i)), right.column("contig").take(pa.array(j))
+        if not same:
+            a, b, dist = pa.chunked_array([*a.chunks, *b.chunks], a.type), pa.chunked_array([*b.chunks, *a.chunks], a.type), np.tile(dist, 2)
+        return pa.table([a, b, pa.array(dist)], ["a", "b", "dist"])
+
+    return run
+
+
 def radius_pairs(centres: DataFrame, r: float) -> DataFrame:
-    """(a, b, dist) of ordered pairs of different contigs within r, exact, without a cross join.
+    """(a, b, dist) of ordered pairs of different contigs within r, exact, without a cross join of rows.
 
-    Centres within r of each other have distances to a fixed pivot that differ by at most r: each centre goes to the ring of
-    its distance, and to the rings beside it as a partner. The pivot is the mean of the centres.
+    Centres within r of each other have distances to a fixed pivot, the mean of the centres, that differ by at most r. Centres are dealt to
+    blocks of bounded size in order of that distance, and a task compares two blocks by products of matrices, if their distances to the
+    pivot allow. In many dimensions that leaves most pairs of blocks: the job is quadratic, spread over the cluster and bounded in memory.
     """
     dims = centres.select(F.posexplode("centre").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("v")).orderBy("d").collect()  # one row a dimension
     pivot = F.array(*(F.lit(float(x["v"])) for x in dims))
-    width = r if r > 0 else 1.0
-    ring = F.floor(F.sqrt(squared_distance(F.col("centre"), pivot)) / width)
-    a = centres.select(F.col("contig").alias("a"), F.col("centre").alias("ca"), ring.alias("ring"))
-    b = centres.select(F.col("contig").alias("b"), F.col("centre").alias("cb"), F.explode(F.array(ring - 1, ring, ring + 1)).alias("ring"))
-    near = a.join(b, "ring").where("a <> b").withColumn("dist", F.sqrt(squared_distance(F.col("ca"), F.col("cb"))))
-    return near.where(F.col("dist") <= r).select("a", "b", "dist")
+    kind = centres.schema["contig"].dataType.simpleString()
+    far = F.sqrt(squared_distance(F.col("centre"), pivot))
+    rows = centres.select("contig", "centre", F.struct(far.alias("far"), "contig").alias("key")).where("contig IS NOT NULL AND centre IS NOT NULL")
+    placed = materialize(ranked(rows, "key", "place").select("contig", "centre", F.col("key.far").alias("far"), F.floor(F.col("place") / BLOCK).alias("block")))
+    spans = placed.groupBy("block").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))  # a row a block
+    one, two = spans.toDF("i", "lo", "hi"), spans.toDF("j", "lo_j", "hi_j")
+    reach = r * (1 + 1e-9) + 1e-9
+    pairs = materialize(one.join(F.broadcast(two), (F.col("i") <= F.col("j")) & (F.col("lo_j") <= F.col("hi") + F.lit(reach))).select("i", "j"))
+    left = placed.withColumnRenamed("block", "i").join(F.broadcast(pairs), "i").select("i", "j", "contig", "centre")
+    right = placed.toDF("contig", "centre", "far", "j").join(F.broadcast(pairs.toDF("i", "j")), "j").select("i", "j", "contig", "centre")
+    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_close(r), f"a {kind}, b {kind}, dist double")
+    return near.where("a <> b")
 
 
 def near_centres(centres: DataFrame, r: float, exact_contigs: int = EXACT_CONTIGS, degree: int = GRAPH_DEGREE) -> DataFrame:

@@ -68,3 +68,16 @@ def test_percentile_is_exact(spark, gathered, q):
 
 def test_percentile_of_nothing(spark):
     assert selection.percentile(spark.range(0).select(F.col("id").cast("double").alias("v")), "v", 0.9) is None
+
+
+@pytest.mark.parametrize("block,stripe", [(8192, 256), (17, 5)])
+def test_radius_pairs_by_blocks(spark, monkeypatch, block, stripe):
+    """Exact at the radius, with copies, over one block or many; beside the bound of the pivot no pair is lost."""
+    monkeypatch.setattr(latent, "BLOCK", block)
+    monkeypatch.setattr(latent, "STRIPE", stripe)
+    rng = np.random.default_rng(16)
+    x = np.concatenate([rng.normal(size=(90, 3)), 100 + rng.normal(size=(40, 3)), np.zeros((6, 3)), [[0.75, 0, 0], [0, 0.75, 0]]])
+    got = {(q.a, q.b): q.dist for q in latent.radius_pairs(centres_of(spark, x), 0.75).collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    assert got.keys() == {(i, j) for i, j in zip(*np.nonzero(d <= 0.75)) if i != j}
+    assert all(abs(v - d[k]) < 1e-12 for k, v in got.items()) and got[130, 136] == 0.75
