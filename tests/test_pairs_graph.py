@@ -271,3 +271,9 @@ def test_ends_of_alignments_side_by_side():
     for (h, t), i, j in zip(pairs_, *ends):
         assert (i, j) == (repeats.align(h, t)[1], repeats.align(h, t)[3]), (h, t)
     assert repeats.traced([h.encode() for h, _ in pairs_], [t.encode() for _, t in pairs_]) == [repeats.align(h, t) for h, t in pairs_]
+
+
+def test_recruits_send_few_copies(spark):
+    """A side of some thousand vectors is one block, so that the other side is sent once."""
+    rows = spark.range(5000).select((F.col("id") % 1).alias("bin"), F.col("id").alias("ref"))
+    assert recruit._blocked(rows, ["bin"], "ref", "block").agg(F.max("blocks")).first()[0] == 1
