@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 # Fixed values of the format.
 MAGIC, INDEX_MAGIC, BLOCK_MAGIC = b"BAM\1", b"BAI\1", b"\x1f\x8b\x08\x04"
@@ -229,6 +229,7 @@ def record_batches(blocks: Blocks, begin: int, end: int) -> Iterator[tuple[np.nd
     """(bytes, starts) of the complete records from the virtual offset begin on that begin before the virtual offset end."""
     offset, at = begin >> 16, begin & 0xFFFF
     end_block, end_place = end >> 16, end & 0xFFFF
+    unpack = struct.Struct("<i").unpack_from
     data, limit = bytearray(), 0  # records that begin before limit are this task's
 
     def add() -> None:
@@ -245,14 +246,18 @@ def record_batches(blocks: Blocks, begin: int, end: int) -> Iterator[tuple[np.nd
     while True:
         while len(data) - at < BATCH_BYTES and offset < blocks.size and offset << 16 < end:
             add()
-        starts = []
+        starts, size = [], len(data)
         while at < limit:
+            if at + 4 <= size and (after := at + 4 + unpack(data, at)[0]) <= size:
+                starts.append(at)
+                at = after
+                continue
             while not starts and end_of(at) > len(data) and offset < blocks.size:  # of the next task, or a very long record
                 add()
             if end_of(at) > len(data):
                 break
             starts.append(at)
-            at = end_of(at)
+            at, size = end_of(at), len(data)
         if starts:
             yield np.frombuffer(bytes(data), np.uint8), np.array(starts, np.int64)
         elif at < limit:
@@ -423,6 +428,7 @@ class Piece(InputPartition):
     end: int
     at: int = 0
     regions: tuple[tuple[int, int, int], ...] = ()
+    more: tuple[tuple[int, int], ...] = ()  # further ranges of the file
 
 
 class BamReader(DataSourceReader):
@@ -465,7 +471,19 @@ class BamReader(DataSourceReader):
                     out[-1].end, out[-1].regions = max(out[-1].end, hi), (*out[-1].regions, (ref, begin, end))
                 else:
                     out.append(Piece(file, sample, lo, hi, regions=((ref, begin, end),)))
-        return out
+        # ranges that are not neighbours share a task too, or a window would be a task a contig
+        shared: list[Piece] = []
+        total = 0
+        for piece in out:
+            size = (piece.end >> 16) - (piece.begin >> 16) + BLOCK_BYTES
+            if shared and total + size < self.split:
+                shared[-1].more += ((piece.begin, piece.end),)
+                shared[-1].regions += piece.regions
+                total += size
+            else:
+                shared.append(piece)
+                total = size
+        return shared
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
         if not piece.path:
@@ -477,8 +495,10 @@ class BamReader(DataSourceReader):
         if begin < 0:
             first = blocks.find(piece.at) if piece.at else 0
             begin = header.first if first <= header.first >> 16 else _first_record(blocks, first, piece.end >> 16, header)
-        if begin is not None and begin < piece.end:
-            for data, starts in record_batches(blocks, begin, piece.end):
+        for lo, hi in ((begin, piece.end), *piece.more):
+            if lo is None or lo >= hi:
+                continue
+            for data, starts in record_batches(blocks, lo, hi):
                 batch = decoded(data, starts, names, piece.sample)
                 if piece.regions:
                     batch = batch.filter(pa.array(self._inside(data, starts, batch, piece.regions)))
@@ -543,6 +563,13 @@ class BamWriter(DataSourceWriter):
                 system.delete_file(f.path)
 
 
+class BamArrowWriter(BamWriter, DataSourceArrowWriter):
+    """As BamWriter, from Arrow batches, so that Spark makes no row objects."""
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Part:
+        return super().write(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+
+
 def _block(data: bytes) -> bytes:
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
     packed = packer.compress(data) + packer.flush()
@@ -557,10 +584,17 @@ def bin_of(begin: int, end: int) -> int:
     return 0
 
 
+@functools.lru_cache(1 << 14)
+def _operations(cigar: str) -> tuple[int, bytes, int]:
+    """(number of operations, their bytes, bases of the reference that they span, at least 1)."""
+    found = [(int(n), CIGAR.index(c)) for n, c in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return len(found), b"".join(struct.pack("<I", n << 4 | c) for n, c in found), max(1, sum(n for n, c in found if CIGAR[c] in REFERENCE))
+
+
 def _body(rows: Iterator):
     """(compressed records without a header, index by contig, contigs, their ends); the records wait on the worker's disk, as the header
     that precedes them needs all contigs."""
-    operation, letters = re.compile(r"(\d+)([MIDNSHP=X])"), {c: i for i, c in enumerate(LETTERS)}
+    letters, fixed, count = {c: i for i, c in enumerate(LETTERS)}, struct.Struct("<iiiBBHHHiiii").pack, RECORD.itemsize - 4
     out = tempfile.SpooledTemporaryFile(1 << 24)
     pending, written = bytearray(), 0
     names: dict[str, int] = {}
@@ -575,18 +609,19 @@ def _body(rows: Iterator):
         if (ref, pos) < last:
             raise ValueError("rows must be sorted by contig and position")
         last = (ref, pos)
-        operations = [(int(n), CIGAR.index(c)) for n, c in operation.findall(cigar)]
-        span = max(1, sum(n for n, c in operations if CIGAR[c] in REFERENCE))
+        n_operations, operations, span = _operations(cigar)
         ends[ref] = max(ends[ref], pos + span)
-        seq = "" if seq in (None, "*") else seq
-        nibbles = [letters.get(c, 15) for c in seq.upper()] + [0] * (len(seq) % 2)
         title = name.encode() + b"\0"
         b = bin_of(pos, pos + span)
-        record = struct.pack("<iiBBHHHiiii", ref, pos, len(title), mapq, b, len(operations), flag, len(seq), -1, -1, tlen) + title
-        record += b"".join(struct.pack("<I", n << 4 | c) for n, c in operations)
-        record += bytes(x << 4 | y for x, y in zip(nibbles[::2], nibbles[1::2])) + b"\xff" * len(seq)
+        if seq is None or seq == "*":
+            length, bases = 0, b""
+        else:
+            length, nibbles = len(seq), [letters.get(c, 15) for c in seq.upper()] + [0] * (len(seq) % 2)
+            bases = bytes(x << 4 | y for x, y in zip(nibbles[::2], nibbles[1::2])) + b"\xff" * length
+        rest = title + operations + bases
+        record = fixed(count + len(rest), ref, pos, len(title), mapq, b, n_operations, flag, length, -1, -1, tlen) + rest
         begin = written << 16 | len(pending)
-        pending += struct.pack("<i", len(record)) + record
+        pending += record
         while len(pending) >= BLOCK_BYTES:
             written += out.write(_block(bytes(pending[:BLOCK_BYTES])))
             del pending[:BLOCK_BYTES]
@@ -626,8 +661,8 @@ class BamSource(DataSource):
     def reader(self, schema) -> BamReader:
         return BamReader(dict(self.options))
 
-    def writer(self, schema, overwrite: bool) -> BamWriter:
-        return BamWriter(dict(self.options), overwrite)
+    def writer(self, schema, overwrite: bool) -> BamArrowWriter:
+        return BamArrowWriter(dict(self.options), overwrite)
 
 
 def read_bam(spark: SparkSession, paths: list[str], split_bytes: int = SPLIT_BYTES, contigs: list[str] | None = None, window: tuple[int, int] | None = None) -> DataFrame:
@@ -647,4 +682,6 @@ def write_bam(rows: DataFrame, path: str) -> None:
     spark = rows.sparkSession
     spark.dataSource.register(BamSource)
     names = ["name", "flag", "contig", "pos", "mapq", "cigar", "tlen", "seq"]
-    rows.select(*names).repartition("contig").sortWithinPartitions("contig", "pos").write.format("bam").mode("overwrite").save(path)
+    # a fixed number of files: records are small for Spark and take long to write, so few large partitions would leave workers idle
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows.select(*names).repartition(files, "contig").sortWithinPartitions("contig", "pos").write.format("bam").mode("overwrite").save(path)

@@ -2,9 +2,11 @@
 
 import os
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSourceArrowWriter
 
 from helixbin.sources import bam, files
 
@@ -143,3 +145,26 @@ def test_empty_and_unmapped(spark, tmp_path):
     unsorted = [("a", 0, "V0", 9, 0, "4M", 0, "ACGT"), ("b", 0, "V0", 3, 0, "4M", 0, "ACGT")]
     with pytest.raises(Exception, match="sorted"):
         spark.createDataFrame(unsorted, ROWS).coalesce(1).write.format("bam").mode("overwrite").save(str(tmp_path / "g"))
+
+
+def test_written_from_batches(spark, tmp_path):
+    """Spark hands the writer Arrow batches, and a CIGAR is parsed once for all reads that have it."""
+    bam._operations.cache_clear()
+    assert bam._operations("5S10M2I3D") == (4, struct.pack("<4I", 5 << 4 | 4, 10 << 4, 2 << 4 | 1, 3 << 4 | 2), 13)
+    assert bam._operations("5S10M2I3D") and bam._operations.cache_info().hits == 1
+    assert isinstance(bam.BamSource({"path": str(tmp_path)}).writer(None, True), DataSourceArrowWriter)
+    rows = [(f"r{i}", 0, f"c{i % 3}", i, 60, "10M2S", 7, "ACGTA" if i % 2 else "*") for i in range(50)]
+    bam.write_bam(spark.createDataFrame(rows, "name string, flag int, contig string, pos int, mapq int, cigar string, tlen int, seq string"), f"{tmp_path}/b")
+    got = sorted((r.contig, r.ref_start, r.ref_end, r.mapq, r.tlen, r.qlen, r.qalen) for r in bam.read_bam(spark, [f"{tmp_path}/b"]).collect())
+    assert got == sorted((c, p, p + 10, 60, 7, 5 if i % 2 else 12, 10) for i, (_, _, c, p, *_) in enumerate(rows))
+
+
+def test_a_window_is_no_task_a_contig(spark, tmp_path):
+    rows = [(f"r{i}", 0, f"c{i % 40:02}", i // 40 * 500, 60, "100M", 7, "*") for i in range(40 * 400)]
+    rows.sort(key=lambda r: (r[2], r[3]))
+    part = bam.BamWriter({"path": str(tmp_path)}, True).write(iter(rows))
+    reader = bam.BamReader({"path": f"{tmp_path}/{part.path}", "window": "[40000, 45000]"})
+    pieces = reader.partitions()
+    got = sorted((c, p) for piece in pieces for b in reader.read(piece) for c, p in zip(b.column("contig").to_pylist(), b.column("ref_start").to_pylist()))
+    assert got == sorted((c, p) for _, _, c, p, *_ in rows if p < 45000 and p + 100 > 40000)
+    assert len(pieces) == 1
