@@ -22,6 +22,8 @@ from helixbin.sources.store import materialize
 SAMPLE, RUN = 16, 32
 #: Projections of the first graph, most rounds, and the share of edges below whose change rounds end.
 PROJECTIONS, ROUNDS, SETTLED = 4, 12, 0.002
+#: Distances by products are floating-point; a bound must be missed by more than this share of the lengths.
+SLACK = 1e-9
 
 
 def _least(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -42,11 +44,16 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = values.field("last").to_numpy()[lo:hi]
         left, right, found = [], [], []
         for s, e in zip(offsets - lo, offsets[1:] - lo):
-            d = np.sqrt(((x[s:e, None] - x[None, s:e]) ** 2).sum(2))
-            keep = (fresh[s:e, None] | fresh[None, s:e]) & (d <= last[s:e, None])
+            # products tell most pairs that are too far; the distances of the others are computed from differences
+            y = x[s:e]
+            lengths = (y * y).sum(1)
+            lengths = lengths[:, None] + lengths
+            keep = (fresh[s:e, None] | fresh[None, s:e]) & ~(lengths - 2 * (y @ y.T) > np.square(last[s:e, None]) * (1 + SLACK) + SLACK * lengths)
             np.fill_diagonal(keep, False)
             i, j = np.nonzero(keep)
-            left.append(i + s + lo), right.append(j + s + lo), found.append(d[i, j])
+            d = np.sqrt(((y[i] - y[j]) ** 2).sum(1))
+            near = d <= last[s:e][i]
+            left.append(i[near] + s + lo), right.append(j[near] + s + lo), found.append(d[near])
         a, b = (ids.take(pa.array(np.concatenate(k) if k else np.zeros(0, np.int64))) for k in (left, right))
         yield pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate(found) if found else np.zeros(0))], ["a", "b", "dist"])
 

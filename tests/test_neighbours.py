@@ -81,3 +81,21 @@ def test_radius_pairs_by_blocks(spark, monkeypatch, block, stripe):
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
     assert got.keys() == {(i, j) for i, j in zip(*np.nonzero(d <= 0.75)) if i != j}
     assert all(abs(v - d[k]) < 1e-12 for k, v in got.items()) and got[130, 136] == 0.75
+
+
+def test_meetings_equal_all_differences():
+    """Products only leave out pairs: what meets, copies and ties at the last distance included, is what the differences say."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(17)
+    hubs = []
+    for k in range(20):
+        x = rng.integers(-3, 4, (12, 4)) * 1000.5 if k % 2 else 50 + rng.normal(size=(12, 4))
+        x[1] = x[0]
+        last = [float("inf") if t == 0 else float(np.linalg.norm(x[t] - x[5])) for t in range(12)]
+        hubs.append([{"id": 100 * k + t, "vec": x[t].tolist(), "fresh": bool(rng.random() < 0.5), "last": last[t]} for t in range(12)])
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("vec", pa.list_(pa.float64())), ("fresh", pa.bool_()), ("last", pa.float64())]))
+    got = [r for b in neighbours._met(iter([pa.RecordBatch.from_arrays([pa.array(hubs, kind)], ["members"])])) for r in b.to_pylist()]
+    dist = lambda p, q: float(np.sqrt(((np.array(p["vec"]) - np.array(q["vec"])) ** 2).sum()))
+    want = [(p["id"], q["id"]) for h in hubs for p in h for q in h if p is not q and (p["fresh"] or q["fresh"]) and dist(p, q) <= p["last"]]
+    assert [(r["a"], r["b"]) for r in got] == want and len(want) > 500
