@@ -10,10 +10,13 @@ A line is removed when an earlier line matches, by (doc_id, position), nulls las
 
 A prefix token of a bucket of HOT words or more would bring many chance partners together. Different lines that match share four
 tokens or more, the second of them among one more than the prefix, so such a token is joined as a pair with each later token there.
+Sets with such pairs carry these first tokens, so that two of them meet only at the first two that they share, and only if
+what is left after them can be enough.
 
-Lines of equal tokens are one set from the start, and only a set's first line can be kept. Sets that share one of their rarest keys
-are first compared with the earliest of them and with their predecessor there, so that a large group of near copies gives as many
-pairs as it has members; only sets that this does not settle are compared with all earlier partners.
+Lines of equal tokens are one set from the start, and only a set's first line can be kept. Sets that share a key, one of the rarest or
+every other one, are first compared with the earliest of them and with their predecessor there, so that a large group of near copies
+gives pairs in proportion to its members; only sets that this does not settle are compared with all earlier partners. The rarest keys alone
+would not do: those of a copy are mostly its own edits.
 
 Defined results: null and empty texts have one line without words; rows of equal doc_id and text are one document and get
 equal results; ids that are no whole numbers count as null; lines of any length are compared whole; an empty table gives an empty
@@ -36,7 +39,7 @@ SIMILARITY = 0.8
 BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 19, 120, 1.3, 4096
 #: Words of a bucket from which its tokens are joined in pairs.
 HOT = 1000
-#: Rarest keys by which a set meets its leaders.
+#: Rarest keys by which a set meets its leaders, beside every other one.
 LEADERS = 3
 #: 64-bit parities of a line's words by which candidates are compared before their words are.
 PARITIES = 4
@@ -89,12 +92,25 @@ def _need(a: Column, b: Column) -> Column:
     return F.ceil(F.lit(SIMILARITY / (1 + SIMILARITY)) * (a + b) - 1e-9)
 
 
+def _prefix(n: Column) -> Column:
+    return (n - F.ceil(SIMILARITY * n - 1e-9) + 1).cast("int")
+
+
+def _hot() -> Column:
+    """The least token of a bucket of HOT words or more."""
+    return F.lit(math.ceil(math.log(HOT) / math.log(FACTOR)) << 56)
+
+
+def _head(k: str, n: Column) -> Column:
+    """The tokens that are joined in pairs; null if none is hot."""
+    return F.when(F.element_at(k, _prefix(n)) >= _hot(), F.slice(k, 1, _prefix(n) + 1))
+
+
 def _keys(k: str, n: Column) -> Column:
     """The join keys of sorted tokens k: each prefix token, hot ones with each later token up to the next after the prefix. An entry is
     32 bits of hash, which can only add candidates, then the token's place."""
-    prefix = (n - F.ceil(SIMILARITY * n - 1e-9) + 1).cast("int")
+    prefix, hot = _prefix(n), _hot()
     wide = F.slice(k, 1, prefix + 1)
-    hot = F.lit(math.ceil(math.log(HOT) / math.log(FACTOR)) << 56)
     single = lambda t, i: F.shiftleft(t, 32).bitwiseOR(i)
     paired = lambda t, i: F.when(t < hot, F.array(single(t, i))).otherwise(F.transform(F.slice(wide, i + 2, n), lambda u: single(F.xxhash64(t, u), i)))
     return F.when(F.element_at(k, prefix) < hot, F.transform(F.slice(k, 1, prefix), single)).otherwise(F.flatten(F.transform(F.slice(k, 1, prefix), paired)))
@@ -126,6 +142,13 @@ def _passes(xp: Column, xb: Column, yp: Column, yb: Column) -> Column:
     return (F.least(n, m) >= F.ceil(SIMILARITY * F.greatest(n, m) - 1e-9)) & (F.bit_count(xb.bitwiseXOR(yb)) <= n + m - 2 * need) & (F.least(n - i, m - j) >= need)
 
 
+def _meets(key: str, n: Column, m: Column) -> Column:
+    """Whether a pair key holds the first two shared tokens of heads xh and yh, and enough can be shared with what is behind the shorter head."""
+    both = F.array_intersect("xh", "yh")
+    first = F.shiftright(F.shiftleft(F.xxhash64(F.slice(both, 1, 2)), 32), 32).cast("int") == F.col(key)  # an array's hash is that of its elements in turn
+    return first & (F.size(both) + F.greatest(n - F.size("xh"), m - F.size("yh")) >= _need(n, m))
+
+
 def _row_keys(docs: DataFrame) -> DataFrame:
     """Adds did, the id with null last, and tk, a hash of the text: rows equal in both are one document."""
     did = F.coalesce(F.col("doc_id").try_cast("long"), F.lit((1 << 63) - 1))
@@ -169,8 +192,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
 
 def _led(sets: DataFrame) -> DataFrame:
     """Distinct (x, y) of sets and their leaders, the earliest set and the one before x with a key, that pass the filters."""
-    first_keys = sets.select("sid", "n", "bits", F.explode(F.slice("keys", 1, LEADERS)).alias("e"))
-    entries = first_keys.select(_key("e").alias("key"), F.struct("sid", _packed("n", "e", F.lit(0)).alias("p"), "bits").alias("e"))
+    some_keys = sets.select("sid", "n", "bits", F.posexplode("keys").alias("q", "e")).where((F.col("q") < LEADERS) | (F.col("q") % 2 == 0))
+    entries = some_keys.select(_key("e").alias("key"), F.struct("sid", _packed("n", "e", F.lit(0)).alias("p"), "bits").alias("e"))
     in_order = Window.partitionBy("key").orderBy("e.sid")
     led = entries.withColumn("first", F.first("e").over(in_order)).withColumn("last", F.lag("e").over(in_order)).where("last IS NOT NULL")
     each = led.select("e", F.explode(F.array_distinct(F.array("first", "last"))).alias("y"))
@@ -180,16 +203,18 @@ def _led(sets: DataFrame) -> DataFrame:
 def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
     """Distinct (x, y) of sets x that are not settled and earlier sets y that share a key and pass the filters."""
     marked = sets.join(settled.select(F.col("x").alias("sid"), F.lit(True).alias("settled")), "sid", "left")
-    entries = marked.select("sid", "n", "bits", "wide", "settled", F.explode("keys").alias("e"))
-    entries = entries.select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits", "wide")
+    entries = marked.select("sid", "n", "bits", "wide", "head", "settled", F.explode("keys").alias("e"))
+    head = F.when(F.get("head", F.col("e").bitwiseAND(0x7FFFFFFF).cast("int")) >= _hot(), F.col("head"))  # of entries that are pairs
+    entries = entries.select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits", "wide", head.alias("head"))
     entries = entries.where("key IS NOT NULL AND sid IS NOT NULL AND p IS NOT NULL AND bits IS NOT NULL")  # or else the sides would differ in that
     # both sides are the same rows, so that they are shuffled once; hence openness is judged with the order of the two
-    one, two = (entries.select("key", F.col("sid").alias(x), F.col("p").alias(f"{x}p"), F.col("bits").alias(f"{x}b"), F.col("wide").alias(f"{x}w")) for x in "xy")
+    one, two = (entries.select("key", F.col("sid").alias(x), F.col("p").alias(f"{x}p"), F.col("bits").alias(f"{x}b"), F.col("wide").alias(f"{x}w"), F.col("head").alias(f"{x}h")) for x in "xy")
     earlier = F.col("y") < F.when(F.col("xp").bitwiseAND(1) == 1, F.col("x")).otherwise(F.lit(-(1 << 63)))
     n, m = F.shiftright("xp", 32), F.shiftright("yp", 32)
     bits = reduce(Column.__add__, (F.bit_count(F.get("xw", F.lit(q)).bitwiseXOR(F.get("yw", F.lit(q)))) for q in range(PARITIES)))
     close = F.coalesce(bits <= n + m - 2 * _need(n, m), F.lit(True))  # of two long lines
-    return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb")) & close).select("x", "y").distinct()
+    meets = F.col("xh").isNull() | F.col("yh").isNull() | _meets("key", n, m)
+    return one.join(two, "key").where(earlier & _passes(F.col("xp"), F.col("xb"), F.col("yp"), F.col("yb")) & close & meets).select("x", "y").distinct()
 
 
 @settled
@@ -202,9 +227,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     # a lambda may not hold a subquery; the two selections are collapsed into one, so that no row carries the places
     lines = lines.select("did", "tk", "pos", "w", places.alias("places")).select("did", "tk", "pos", tokens(F.col("w"), F.col("places")).alias("k"))
     size = F.size("k")
-    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), _parity("k").alias("bits"), F.when(size >= LONG, _parities("k")).alias("wide"), _keys("k", size).alias("keys")))
+    lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), _parity("k").alias("bits"), F.when(size >= LONG, _parities("k")).alias("wide"), _head("k", size).alias("head"), _keys("k", size).alias("keys")))
     lines = _with_places(lines)
-    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "bits", "wide", "keys"), "sid").alias("v")).select("s", "t", "v.*"))
+    sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "bits", "wide", "head", "keys"), "sid").alias("v")).select("s", "t", "v.*"))
 
     release(docs.sparkSession)
     later = materialize(_verified(_led(sets), sets, rows))
