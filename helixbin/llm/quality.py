@@ -248,6 +248,15 @@ def _distance2() -> Column:
     return reduce(Column.__add__, (r * r for r in rows))
 
 
+def _distance2_of(x: Column) -> Column:
+    """The same distance of an expression x, which is evaluated once, however a filter moves: written out, the statistics would stand there
+    110 times, in code too long to be compiled."""
+    diff = F.zip_with(x, F.col("centre"), lambda a, b: a - b)
+    row = lambda d, i: reduce(Column.__add__, (F.col("matrix")[i * P + j] * d[j] for j in range(i + 1)))
+    rows = F.transform(F.array(diff), lambda d: F.array(*(row(d, i) for i in range(P))))[0]
+    return F.aggregate(rows, F.lit(0.0), lambda total, r: total + r * r)
+
+
 def _sums(x: list[Column]) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.array(*(F.sum(v) for v in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("c")]
 
@@ -356,7 +365,7 @@ def judged(docs: DataFrame, keep: list[str], once: bool = True) -> DataFrame:
     narrow = materialize(rows.where(~base_failed()).select("lang", "source", F.array(*statistics()).alias("x")))
     params = fit(narrow).select("g.lang", "g.source", "centre", "matrix").toDF("_lang", "_source", "centre", "matrix")
     named = rows.withColumn("_lang", _tag("lang")).withColumn("_source", _tag("source"))
-    out = named.join(params, ["_lang", "_source"], "left").withColumn("x", F.array(*statistics())).withColumn("distance2", _distance2())
+    out = named.join(params, ["_lang", "_source"], "left").withColumn("distance2", _distance2_of(F.array(*statistics())))
     failed = base_failed()
     kept = ~failed & F.coalesce(F.col("distance2") <= CUTOFF2, F.lit(True))
     return out.select(*keep, "q", failed.alias("base_failed"), F.round("distance2", 6).alias("distance2"), kept.alias("kept"))

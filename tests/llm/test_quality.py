@@ -139,3 +139,15 @@ def test_few_and_equal_texts(spark, clean):
         rows = [(k, t, None if k % 2 else "en", f"s{k}") for k, t in enumerate(texts)]
         got = quality.judged(spark.createDataFrame(rows, TEXTS), ["doc_id"]).collect()
         assert len(got) == len(texts) and all(r.kept for r in got)
+
+
+def test_the_verdict_is_short_code(spark, clean):
+    """The filter of kept rows once held the statistics 110 times, and its code was too long to be compiled."""
+    frame = spark.createDataFrame([(k, t, "en", "a") for k, t in enumerate(clean[:60])], TEXTS)
+    plan = quality.kept_rows(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ln(") < 100
+    rng = np.random.default_rng(8)
+    rows = [(rng.normal(size=quality.P).tolist(), rng.normal(size=quality.P).tolist(), rng.normal(size=quality.P**2).tolist()) for _ in range(20)] + [([0.0] * quality.P, None, None)]
+    both = spark.createDataFrame(rows, "x array<double>, centre array<double>, matrix array<double>")
+    for r in both.select(quality._distance2().alias("a"), quality._distance2_of(F.col("x")).alias("b")).collect():
+        assert r.a == r.b
