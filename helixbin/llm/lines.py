@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixbin.llm.common import broadcast_if_small, materialize, release, settled
+from helixbin.llm.common import broadcast_if_small, discard, materialize, release, settled
 
 WORD = r"[^\x20\x09-\x0D]"
 SIMILARITY = 0.8
@@ -82,9 +82,10 @@ def rarity(docs: DataFrame) -> DataFrame:
 
 
 def tokens(words: Column, places: Column) -> Column:
-    """Sorted distinct tokens of a line: class of the word's bucket, then 56 bits of its hash."""
+    """Sorted distinct tokens of a line: class of the word's bucket, then 56 bits of its hash. No bucket lacks a class; without the default
+    the elements could be null, and Spark would sort objects."""
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(places, h.bitwiseAND(BUCKETS - 1)).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(places, h.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -222,14 +223,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(did, tk, removed): sorted positions of the lines to remove, of the documents that have some."""
     places = rarity(docs).scalar()
     rows = _row_keys(docs.select("doc_id", "text"))
-    lines = rows.select("did", "tk", F.posexplode(F.split(_spaced(_text()), "\n")).alias("pos", "line")).where(F.col("line").rlike(WORD))
-    lines = lines.select("did", "tk", "pos", F.trim("line").alias("line")).select("did", "tk", "pos", _words("line").alias("w"))
+    lines = rows.select("did", "tk", F.posexplode(F.split(_spaced(_text()), "\n")).alias("pos", "line"))
+    lines = lines.select("did", "tk", "pos", F.trim("line").alias("line")).where("line <> ''").select("did", "tk", "pos", _words("line").alias("w"))
     # a lambda may not hold a subquery; the two selections are collapsed into one, so that no row carries the places
     lines = lines.select("did", "tk", "pos", "w", places.alias("places")).select("did", "tk", "pos", tokens(F.col("w"), F.col("places")).alias("k"))
     size = F.size("k")
     lines = materialize(lines.select("did", "tk", "pos", F.xxhash64("k").alias("s"), F.xxhash64(F.lit(1), F.col("k")).alias("t"), size.alias("n"), _parity("k").alias("bits"), F.when(size >= LONG, _parities("k")).alias("wide"), _head("k", size).alias("head"), _keys("k", size).alias("keys")))
     lines = _with_places(lines)
     sets = materialize(lines.groupBy("s", "t").agg(F.min_by(F.struct("sid", "did", "tk", "pos", "n", "bits", "wide", "head", "keys"), "sid").alias("v")).select("s", "t", "v.*"))
+    every = lines
+    lines = materialize(every.select("did", "tk", "pos", "sid", "s", "t"))
+    discard(every)  # its keys stand in the sets
 
     release(docs.sparkSession)
     later = materialize(_verified(_led(sets), sets, rows))

@@ -1,9 +1,13 @@
 """Line dedup of large groups of near copies."""
 
+import glob
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixbin.llm import lines
+from helixbin.llm.common import shared_dir
 
 
 def edited(n, words, most, seed):
@@ -62,3 +66,28 @@ def test_pairs_meet_once(spark, monkeypatch):
     texts = [" ".join([f"w{i}" for i in range(60)] + [f"e{k}x{i}" for i in range(9)]) for k in range(30)]
     assert by_line(spark, texts) == removed(texts) == set()
     assert made and max(made) < 2 * 30 * 29 / 2, made
+
+
+def test_keys_are_kept_once(spark, monkeypatch):
+    """The table of all lines, with their keys, stayed beside that of the sets until the end."""
+    kept = []
+
+    def partners(sets, settled):
+        root = shared_dir(spark).removeprefix("file:")
+        tables = [t for t in glob.glob(f"{root}/helixbin-*") if t not in before]
+        kept.append(sum("keys" in spark.read.parquet(f"file:{t}").columns for t in tables))
+        return whole(sets, settled)
+
+    before = set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/helixbin-*"))
+    whole = lines._partners
+    monkeypatch.setattr(lines, "_partners", partners)
+    texts = edited(40, 40, 6, 5)
+    assert by_line(spark, texts) == removed(texts)
+    assert kept == [1]
+
+
+def test_tokens_hold_no_null(spark):
+    """Elements that may be null were sorted as objects."""
+    frame = spark.createDataFrame([(["a", "b", "a"], [0] * lines.BUCKETS)], "w array<string>, places array<long>")
+    k = frame.select(lines.tokens(F.col("w"), F.col("places")).alias("k"))
+    assert not k.schema["k"].dataType.containsNull and len(k.first().k) == 2
