@@ -3,9 +3,14 @@
 ``decode`` reads any lossless WebP file: prefix codes, back-references, colour cache, meta prefix codes, and the
 predictor, cross-colour, subtract-green and palette transforms. ``encode`` writes one, with any of these.
 
-``store`` keeps byte payloads as images with one 8-bit sample (the green channel) a pixel, and ``load`` reads them
-back. Both work on many images at once with numpy: ``load`` finds the code at every bit of the streams, follows
-the codes by pointer doubling, and so needs no Python step for most pixels; what it can't handle goes to ``decode``.
+``store`` keeps byte payloads as grey images, a byte a pixel, and ``load`` reads them back with the same decoder. Each
+image has its own prefix codes and back-references to any distance, and either a palette (up to 16 different bytes, so that
+pixels are bundled) or subtract-green and, if that takes fewer bits, a predictor for every tile, the one with the least residuals. Subtract-green leaves
+red and blue of grey images 0, so that cross-colour has nothing to take from them and a colour in the cache costs no less than a literal;
+``store`` writes neither, nor groups of codes.
+
+Both work on many images at once: transforms and the search for matches with numpy, predictors by the diagonals on which
+no pixel needs another; only prefix codes are followed an image at a time, two literals a step.
 
 Defined results: null or empty text is a payload of 64 zero bytes; equal payloads give equal files; texts are
 processed whole, and one of more bytes than an image can have pixels raises ValueError.
@@ -14,7 +19,6 @@ processed whole, and one of more bytes than an image can have pixels raises Valu
 from __future__ import annotations
 
 import hashlib
-import heapq
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,14 +27,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from helixbin.llm.common import byte_chunks
+from helixbin.llm.common import byte_chunks, mix64
 
 #: Fixed values of the format: order of the code length code, most bits of a code, multiplier of the colour cache.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 MAX_BITS, CACHE_MULTIPLIER, MAX_SIDE, SIGNATURE = 15, 0x1E35A7BD, 16384, 0x2F
 GREEN_LENGTHS, DISTANCES = 24, 40
-#: Bytes of payload that are stored or loaded side by side, and pixels to a pointer.
-SIDE_BY_SIDE, STRIDE = 1 << 20, 8
+#: Bytes of payload that are stored or loaded side by side.
+SIDE_BY_SIDE = 1 << 20
+#: Most bits of the codes of stored images, and of what the decoder looks up at once.
+STORED_BITS = 10
+#: Samples by which matches are found, and that a match has at least; longest match and largest distance of the format.
+MATCH_KEY, LEAST_MATCH, LONGEST_MATCH, FARTHEST = 8, 12, 4096, (1 << 20) - 120
+#: Different bytes up to which a stored image has a palette: with more of them, pixels are not bundled.
+FEW_COLOURS = 16
+OPAQUE = 0xFF000000
 
 
 @lru_cache
@@ -48,6 +59,12 @@ def value_of(symbol: int) -> tuple[int, int]:
     return ((2 + (symbol & 1)) << extra) + 1, extra
 
 
+@lru_cache
+def _values() -> list[tuple[int, int]]:
+    return [value_of(s) for s in range(DISTANCES)]
+
+
+@lru_cache(1 << 16)
 def symbol_of(value: int) -> tuple[int, int, int]:
     """Symbol, number of extra bits and extra bits of a length or distance."""
     if value <= 4:
@@ -61,40 +78,57 @@ def symbol_of(value: int) -> tuple[int, int, int]:
 
 def code_lengths(weights: list[float], limit: int = MAX_BITS) -> list[int]:
     """Huffman code lengths of at most limit bits; symbols of weight 0 get none."""
-    used = [i for i, w in enumerate(weights) if w > 0]
+    used = sorted([i for i, w in enumerate(weights) if w], key=weights.__getitem__)
     lengths = [0] * len(weights)
-    if len(used) < 2:
+    n = len(used)
+    if n < 2:
         for i in used:
             lengths[i] = 1
         return lengths
     floor = 0.0
     while True:
-        heap = [(max(weights[i], floor), n, (i,)) for n, i in enumerate(used)]
-        heapq.heapify(heap)
-        depth = dict.fromkeys(used, 0)
-        n = len(used)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for i in a[2] + b[2]:
-                depth[i] += 1
-            heapq.heappush(heap, (a[0] + b[0], n, a[2] + b[2]))
-            n += 1
-        if max(depth.values()) <= limit:
-            for i, d in depth.items():
+        w = [max(weights[i], floor) for i in used]
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n  # what is made comes in order of its weight, as the leaves do
+        for k in range(n, 2 * n - 1):
+            total = 0.0
+            for _ in (0, 1):
+                if leaf < n and (inner >= k or w[leaf] <= w[inner]):
+                    at = leaf
+                    leaf += 1
+                else:
+                    at = inner
+                    inner += 1
+                parent[at] = k
+                total += w[at]
+            w.append(total)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[parent[k]] + 1
+        if max(depth[:n]) <= limit:
+            for i, d in zip(used, depth):
                 lengths[i] = d
             return lengths
         floor = max(floor * 2, sum(weights) / 2**limit)
 
 
+@lru_cache
+def _reversed() -> list[int]:
+    """All numbers of MAX_BITS bits with their bits in opposite order."""
+    out = [0]
+    for k in range(MAX_BITS - 1, -1, -1):
+        out += [x | 1 << k for x in out]
+    return out
+
+
 def canonical(lengths: list[int]) -> list[int]:
     """Codes as they stand in the stream: canonical values with their first bit lowest."""
-    out, code = [0] * len(lengths), 0
-    for bits in range(1, MAX_BITS + 1):
-        for s, n in enumerate(lengths):
-            if n == bits:
-                out[s] = int(f"{code:0{bits}b}"[::-1], 2)
-                code += 1
-        code <<= 1
+    out, code, last, back = [0] * len(lengths), 0, 0, _reversed()
+    for s in sorted((s for s, n in enumerate(lengths) if n), key=lengths.__getitem__):
+        n = lengths[s]
+        code <<= n - last
+        out[s], last = back[code] >> MAX_BITS - n, n
+        code += 1
     return out
 
 
@@ -113,6 +147,7 @@ class Writer:
 class Reader:
     def __init__(self, data: bytes, at: int = 0) -> None:
         self.data, self.at = data + b"\0" * 8, at
+        self._words: list[int] | None = None
 
     def bits(self, n: int) -> int:
         lo = self.at >> 3
@@ -121,60 +156,116 @@ class Reader:
             raise ValueError("the image ends too early")
         return (int.from_bytes(self.data[lo : lo + 8], "little") >> ((self.at - n) & 7)) & ((1 << n) - 1)
 
+    def words(self) -> list[int]:
+        """The 32 bits from each byte on."""
+        if self._words is None:
+            raw = np.frombuffer(self.data, np.uint8).astype(np.uint32)
+            n = len(raw) - 4
+            self._words = (raw[:n] | raw[1 : n + 1] << 8 | raw[2 : n + 2] << 16 | raw[3 : n + 3] << 24).tolist()
+        return self._words
+
 
 class Code:
-    """A prefix code; a code of one symbol takes no bits."""
+    """A prefix code; a code of one symbol takes no bits. ``table`` holds, for the next ``bits`` bits, 16 * symbol + length, or -1."""
 
-    def __init__(self, lengths: list[int]) -> None:
-        self.lengths = lengths
-        used = [s for s, n in enumerate(lengths) if n]
-        self.only = used[0] if len(used) == 1 else None if used else 0
-        self.table = {} if self.only is not None else {(n, c): s for s, (n, c) in enumerate(zip(lengths, canonical(lengths))) if n}
+    def __init__(self, lengths: dict[int, int]) -> None:
+        self.only = next(iter(lengths), 0) if len(lengths) < 2 else None
+        self.bits = 0 if self.only is not None else max(lengths.values())
+        self.table = [-1] * (1 << self.bits) if self.only is None else [16 * self.only]
+        if self.only is not None:
+            return
+        code, last, back = 0, 0, _reversed()
+        for s in sorted(lengths, key=lengths.__getitem__):
+            n = lengths[s]
+            code <<= n - last
+            last = n
+            self.table[back[code] >> MAX_BITS - n :: 1 << n] = [16 * s + n] * (1 << self.bits - n)
+            code += 1
 
     def read(self, r: Reader) -> int:
         if self.only is not None:
             return self.only
-        window, at = r.bits(MAX_BITS), r.at - MAX_BITS
-        for n in range(1, MAX_BITS + 1):
-            s = self.table.get((n, window & ((1 << n) - 1)))
-            if s is not None:
-                r.at = at + n
-                return s
-        raise ValueError("no such code")
+        e = self.table[r.bits(self.bits)]
+        if e < 0:
+            raise ValueError("no such code")
+        r.at += (e & 15) - self.bits
+        return e >> 4
+
+
+@lru_cache
+def _literals() -> list[bytes]:
+    """All strings of two bytes, by the first and 256 times the second, and then of one."""
+    return [bytes((k & 255, k >> 8)) for k in range(1 << 16)] + [bytes((k,)) for k in range(256)]
+
+
+def _pairs(code: Code) -> list[int]:
+    """For the next ``code.bits`` bits the literals that they hold, two at most, as 16 * place in ``_literals`` + their length; -1 at others."""
+    e = np.array(code.table, np.int32)
+    n, s = e & 15, e >> 4
+    literal = (e >= 0) & (s < 256)
+    window = np.arange(len(e), dtype=np.int32)
+    following = e[window >> n]
+    two = literal & (following >= 0) & (following >> 4 < 256) & (n + (following & 15) <= code.bits)
+    one = np.where(literal, 16 * ((1 << 16) + s) + n, -1)
+    return np.where(two, 16 * (s + 256 * (following >> 4)) + n + (following & 15), one).tolist()
 
 
 def read_code(r: Reader, alphabet: int) -> Code:
     if r.bits(1):
         count, wide = r.bits(1) + 1, r.bits(1)
-        symbols = [r.bits(8 if wide else 1)] + ([r.bits(8)] if count == 2 else [])
-        lengths = [0] * alphabet
-        for s in symbols:
-            lengths[s] = 1
-        return Code(lengths)
-    first = [0] * 19
+        return Code(dict.fromkeys(sorted([r.bits(8 if wide else 1)] + ([r.bits(8)] if count == 2 else [])), 1))
+    first = {}
     for k in range(4 + r.bits(4)):
-        first[LENGTH_ORDER[k]] = r.bits(3)
-    code = Code(first)
+        n = r.bits(3)
+        if n:
+            first[LENGTH_ORDER[k]] = n
+    code = Code({s: first[s] for s in sorted(first)})
     most = alphabet if not r.bits(1) else 2 + r.bits(2 + 2 * r.bits(3))
-    lengths: list[int] = []
-    last = 8
-    while len(lengths) < alphabet and most:
-        most -= 1
-        s = code.read(r)
-        if s < 16:
-            lengths.append(s)
-            last = s or last
-        else:
-            value, times = (last, 3 + r.bits(2)) if s == 16 else (0, 3 + r.bits(3)) if s == 17 else (0, 11 + r.bits(7))
-            lengths += [value] * times
-    if len(lengths) > alphabet:
+    lengths: dict[int, int] = {}
+    last, have = 8, 0
+    words, at, table, mask = r.words(), r.at, code.table, (1 << code.bits) - 1
+    try:
+        while have < alphabet and most:
+            most -= 1
+            w = words[at >> 3] >> (at & 7)
+            e = table[w & mask]
+            if e < 0:
+                raise ValueError("no such code")
+            w >>= e & 15
+            at += e & 15
+            s = e >> 4
+            if s < 16:
+                if s:
+                    lengths[have] = last = s
+                have += 1
+            elif s == 16:
+                for have in range(have, have + 3 + (w & 3)):
+                    lengths[have] = last
+                have += 1
+                at += 2
+            else:
+                have += 3 + (w & 7) if s == 17 else 11 + (w & 127)
+                at += 3 if s == 17 else 7
+    except IndexError:
+        raise ValueError("the image ends too early") from None
+    r.at = at
+    if have > alphabet:
         raise ValueError("too many code lengths")
-    return Code(lengths + [0] * (alphabet - len(lengths)))
+    return Code(lengths)
+
+
+@lru_cache
+def _alone(symbol: int) -> int:
+    """The 11 bits of a code of one symbol below 256."""
+    w = Writer()
+    write_code(w, [int(s == symbol) for s in range(256)])
+    return w.value
 
 
 def write_code(w: Writer, lengths: list[int]) -> None:
-    used = [s for s, n in enumerate(lengths) if n]
-    if len(used) <= 2 and all(s < 256 for s in used):
+    few = len(lengths) - lengths.count(0) <= 2
+    used = [s for s, n in enumerate(lengths) if n] if few else []
+    if few and all(s < 256 for s in used):
         w.put(1, 1)
         w.put(max(0, len(used) - 1), 1)
         w.put(1, 1)
@@ -183,21 +274,22 @@ def write_code(w: Writer, lengths: list[int]) -> None:
         return
     w.put(0, 1)
     runs: list[tuple[int, int, int]] = []  # symbol, extra value, extra bits
-    i = 0
-    while i < len(lengths):
-        j = i
-        while j < len(lengths) and lengths[j] == lengths[i]:
+    i, size = 0, len(lengths)
+    while i < size:
+        value = lengths[i]
+        j = i + 1
+        while j < size and lengths[j] == value:
             j += 1
         n = j - i
-        if lengths[i] == 0 and n >= 3:
-            n = min(n, 138)
-            runs.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
-        elif i and lengths[i] and lengths[i - 1] == lengths[i] and n >= 3:
+        if n < 3 or value and (not i or lengths[i - 1] != value):
+            n = 1
+            runs.append((value, 0, 0))
+        elif value:
             n = min(n, 6)
             runs.append((16, n - 3, 2))
         else:
-            n = 1
-            runs.append((lengths[i], 0, 0))
+            n = min(n, 138)
+            runs.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3))
         i += n
     weights = [0.0] * 19
     for s, _, _ in runs:
@@ -209,16 +301,19 @@ def write_code(w: Writer, lengths: list[int]) -> None:
         w.put(first[s], 3)
     w.put(0, 1)
     codes, alone = canonical(first), sum(1 for n in first if n) == 1
+    value = at = 0
     for s, extra, bits in runs:
-        w.put(codes[s], 0 if alone else first[s])
-        w.put(extra, bits)
+        n = 0 if alone else first[s]
+        value |= (codes[s] | extra << n) << at
+        at += n + bits
+    w.put(value, at)
 
 
 def _blocks(size: int, bits: int) -> int:
     return (size + (1 << bits) - 1) >> bits
 
 
-def _pixels(r: Reader, width: int, height: int, main: bool) -> list[int]:
+def _pixels(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     """The pixels of an image or, where not main, of a table that belongs to one."""
     cache_bits = r.bits(4) if r.bits(1) else 0
     if cache_bits > 11:
@@ -226,41 +321,91 @@ def _pixels(r: Reader, width: int, height: int, main: bool) -> list[int]:
     meta, meta_bits, groups = None, 0, 1
     if main and r.bits(1):
         meta_bits = r.bits(3) + 2
-        meta = [(p >> 8) & 0xFFFF for p in _pixels(r, _blocks(width, meta_bits), _blocks(height, meta_bits), False)]
+        meta = (_pixels(r, _blocks(width, meta_bits), _blocks(height, meta_bits), False) >> 8 & 0xFFFF).tolist()
         groups = max(meta) + 1
     sizes = (256 + GREEN_LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)
     codes = [[read_code(r, n) for n in sizes] for _ in range(groups)]
-    cache = [0] * (1 << cache_bits)
-    out: list[int] = []
-    total, hashed, near = width * height, 0, neighbourhood()
-    across = _blocks(width, meta_bits)
-    while len(out) < total:
-        at = len(out)
-        g = codes[meta[(at // width >> meta_bits) * across + (at % width >> meta_bits)] if meta else 0]
-        s = g[0].read(r)
-        if s < 256:
-            red, blue, alpha = g[1].read(r), g[2].read(r), g[3].read(r)
-            out.append(alpha << 24 | red << 16 | s << 8 | blue)
-        elif s < 256 + GREEN_LENGTHS:
-            first, extra = value_of(s - 256)
-            length = first + r.bits(extra)
-            first, extra = value_of(g[4].read(r))
-            d = first + r.bits(extra)
-            if d <= len(near):
-                x, y = near[d - 1]
-                d = max(1, x + y * width)
+    # where only green differs, its samples are enough
+    others = [None if any(c.only is None for c in g[1:4]) else g[3].only << 24 | g[1].only << 16 | g[2].only for g in codes]
+    plain = not cache_bits and None not in others and len(set(others)) == 1
+    # literals by pairs can pass the image's end, behind which no more is read
+    pairs = _pairs(codes[0][0]) if main and plain and groups == 1 and codes[0][0].bits else None
+    out: list[int] | bytearray = bytearray() if plain else []
+    cache, hashed, near, literals, values = [0] * (1 << cache_bits), 0, neighbourhood(), _literals(), _values()
+    across, total, end = _blocks(width, meta_bits), width * height, width * height
+    words, at, done = r.words(), r.at, 0
+    try:
+        while done < total:
+            if meta:
+                y, x = divmod(done, width)
+                g = meta[(y >> meta_bits) * across + (x >> meta_bits)]
+                end = y * width + min(width, ((x >> meta_bits) + 1) << meta_bits)  # of the tile's row
             else:
-                d -= len(near)
-            if d > at:
-                raise ValueError("a back-reference begins before the image")
-            for _ in range(min(length, total - at)):
-                out.append(out[-d])
-        else:
-            while hashed < at:  # the cache holds what came before
-                cache[(CACHE_MULTIPLIER * out[hashed] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[hashed]
-                hashed += 1
-            out.append(cache[s - 256 - GREEN_LENGTHS])
-    return out
+                g = 0
+            green, red, blue, alpha, distance = codes[g]
+            table, mask, base = green.table, (1 << green.bits) - 1, others[g]
+            far, far_mask = distance.table, (1 << distance.bits) - 1
+            while done < end:
+                w = words[at >> 3] >> (at & 7)
+                if pairs:
+                    e = pairs[w & mask]
+                    while e >= 0:
+                        at += e & 15
+                        out += literals[e >> 4]
+                        e = pairs[words[at >> 3] >> (at & 7) & mask]
+                    w = words[at >> 3] >> (at & 7)
+                    done = len(out)
+                    if done >= end:
+                        break
+                e = table[w & mask]
+                if e < 0:
+                    raise ValueError("no such code")
+                at += e & 15
+                s = e >> 4
+                if s < 256:
+                    if base is None:
+                        r.at = at
+                        red_, blue_, alpha_ = red.read(r), blue.read(r), alpha.read(r)
+                        at = r.at
+                        out.append(alpha_ << 24 | red_ << 16 | s << 8 | blue_)
+                    else:
+                        out.append(s if plain else base | s << 8)
+                    done += 1
+                elif s < 256 + GREEN_LENGTHS:
+                    length, extra = values[s - 256]
+                    length += words[at >> 3] >> (at & 7) & ((1 << extra) - 1)
+                    at += extra
+                    e = far[words[at >> 3] >> (at & 7) & far_mask]
+                    if e < 0:
+                        raise ValueError("no such code")
+                    at += e & 15 if distance.bits else 0
+                    d, extra = values[e >> 4]
+                    d += words[at >> 3] >> (at & 7) & ((1 << extra) - 1)
+                    at += extra
+                    if d <= len(near):
+                        x, y = near[d - 1]
+                        d = max(1, x + y * width)
+                    else:
+                        d -= len(near)
+                    if d > done:
+                        raise ValueError("a back-reference begins before the image")
+                    length = min(length, total - done)
+                    copied = out[done - d : done - d + length]
+                    out += copied if length <= d else (copied * (length // d + 1))[:length]
+                    done += length
+                else:
+                    while hashed < done:  # the cache holds what came before
+                        cache[(CACHE_MULTIPLIER * out[hashed] & 0xFFFFFFFF) >> (32 - cache_bits)] = out[hashed]
+                        hashed += 1
+                    out.append(cache[s - 256 - GREEN_LENGTHS])
+                    done += 1
+    except IndexError:
+        if not pairs or len(out) < total:
+            raise ValueError("the image ends too early") from None
+    r.at = at
+    if plain:
+        return np.frombuffer(bytes(out), np.uint8)[:total].astype(np.uint32) << np.uint32(8) | np.uint32(others[0])
+    return np.array(out, np.uint32)
 
 
 def _add(a: int, b: int) -> int:
@@ -361,24 +506,96 @@ def _bundle_bits(colours: int) -> int:
     return 3 if colours <= 2 else 2 if colours <= 4 else 1 if colours <= 16 else 0
 
 
-def _from_palette(pixels: list[int], width: int, height: int, palette: list[int]) -> list[int]:
+def _from_palette(pixels: np.ndarray, width: int, height: int, palette: np.ndarray) -> np.ndarray:
     bits = _bundle_bits(len(palette))
-    packed, each, out = _blocks(width, bits), 8 >> bits, []
-    for y in range(height):
-        for x in range(width):
-            index = (pixels[y * packed + (x >> bits)] >> 8 >> (x & ((1 << bits) - 1)) * each) & ((1 << each) - 1)
-            out.append(palette[index] if index < len(palette) else 0)
+    each = 8 >> bits
+    shifts = np.arange(0, 8, each, dtype=np.uint32)
+    index = (pixels >> 8 & 255).reshape(height, -1, 1) >> shifts & np.uint32((1 << each) - 1)
+    colours = np.zeros(256, np.uint32)  # those past the palette are transparent black
+    colours[: len(palette)] = palette
+    return colours[index.reshape(height, -1)[:, :width]].ravel()
+
+
+def _without_green(pixels: np.ndarray) -> np.ndarray:
+    green = pixels >> 8 & 255
+    return pixels & 0xFF00FF00 | (pixels & 0x00FF00FF) + (green << 16 | green) & 0x00FF00FF
+
+
+def _without_cross_colour(pixels: np.ndarray, width: int, bits: int, table: np.ndarray) -> np.ndarray:
+    at = np.arange(len(pixels))
+    t = table[(at // width >> bits) * _blocks(width, bits) + (at % width >> bits)]
+    sample = lambda p, k: (p >> k).astype(np.uint8).view(np.int8).astype(np.int32)
+    green = sample(pixels, 8)
+    red = sample(pixels, 16) + (sample(t, 0) * green >> 5) & 255
+    blue = sample(pixels, 0) + (sample(t, 8) * green >> 5) + (sample(t, 16) * sample(red, 0) >> 5) & 255
+    return pixels & 0xFF00FF00 | (red << 16 | blue).astype(np.uint32)
+
+
+def _averages(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a & b) + ((a ^ b) >> 1 & 0x7F7F7F7F)
+
+
+def _sums(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a & 0xFF00FF00) + (b & 0xFF00FF00) & 0xFF00FF00 | (a & 0x00FF00FF) + (b & 0x00FF00FF) & 0x00FF00FF
+
+
+def _predictions(left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What the 14 predictors give for pixels, as ``predicted`` does for one."""
+    out = np.empty((14, len(left)), np.uint32)
+    a, b, c = (x.view(np.uint8).reshape(-1, 4).astype(np.int16) for x in (left, top, corner))
+    packed = lambda x: np.clip(x, 0, 255).astype(np.uint8).view(np.uint32).ravel()
+    left_corner, top_right, left_top = _averages(left, corner), _averages(top, right), _averages(left, top)
+    out[0], out[1], out[2], out[3], out[4] = OPAQUE, left, top, right, corner
+    out[5] = _averages(_averages(left, right), top)
+    out[6], out[7], out[8], out[9] = left_corner, left_top, _averages(corner, top), top_right
+    out[10] = _averages(left_corner, top_right)
+    out[11] = np.where(np.abs(b - c).sum(1) < np.abs(a - c).sum(1), left, top)
+    out[12] = packed(a + b - c)
+    m = left_top.view(np.uint8).reshape(-1, 4).astype(np.int16)
+    d = m - c
+    out[13] = packed(m + (d + (d < 0) >> 1))  # halves are cut towards 0
     return out
 
 
+def _without_predictor(images: list[tuple[np.ndarray, int, int, np.ndarray]]) -> list[np.ndarray]:
+    """Images of (pixels, width, bits, table) with the predictors undone: side by side, and in each the pixels of equal x + 2 * y at
+    once, as all that they need has a smaller one."""
+    starts = np.cumsum([0] + [len(p) for p, _, _, _ in images])
+    turn, mode, above = (np.empty(starts[-1], kind) for kind in (np.int32, np.int8, np.int32))
+    for lo, (pixels, width, bits, table) in zip(starts.tolist(), images):
+        height = len(pixels) // width
+        x, y = np.arange(width, dtype=np.int32), np.arange(height, dtype=np.int32)[:, None]
+        own = slice(lo, lo + len(pixels))
+        turn[own] = (x + 2 * y).ravel()
+        modes = (table >> 8 & 15).astype(np.int8).reshape(_blocks(height, bits), -1)
+        modes = np.repeat(np.repeat(modes, 1 << bits, 0)[:height], 1 << bits, 1)[:, :width].copy()
+        modes[modes > 13] = 0
+        modes[0], modes[1:, 0], modes[0, 0] = 1, 2, 0
+        mode[own], above[own] = modes.ravel(), width
+    most = int(turn.max())
+    order = np.argsort(turn.astype(np.uint16) if most < 1 << 16 else turn, kind="stable")
+    bounds = np.cumsum(np.bincount(turn, minlength=most + 1)).tolist()
+    out = np.concatenate([p for p, _, _, _ in images])
+    mode, above = mode[order].astype(np.int64), order - above[order]
+    near = lambda at: out.take(at, mode="clip")
+    lo = 0
+    for hi in bounds:
+        at, up = order[lo:hi], above[lo:hi]
+        # what lies outside an image is read from anywhere, as its edges use none of it
+        guess = _predictions(near(at - 1), near(up), near(up + 1), near(up - 1))[mode[lo:hi], np.arange(hi - lo)]
+        out[at] = _sums(out[at], guess)
+        lo = hi
+    return [out[a:b] for a, b in zip(starts[:-1], starts[1:])]
+
+
 def _chunk(data: bytes) -> bytes:
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L":
         raise ValueError("not a lossless WebP file")
     return data[20 : 20 + int.from_bytes(data[16:20], "little")]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels of a lossless WebP file as an array height x width x (red, green, blue, alpha)."""
+def _read(data: bytes) -> tuple[int, int, bool, list[tuple], np.ndarray]:
+    """Width, height, whether opaque, transforms in the order of the file, and the pixels before these are undone."""
     r = Reader(_chunk(data))
     if r.bits(8) != SIGNATURE:
         raise ValueError("no lossless image")
@@ -386,38 +603,52 @@ def decode(data: bytes) -> np.ndarray:
     opaque = not r.bits(1)
     if r.bits(3):
         raise ValueError("unknown version")
-    undo, now = [], width
+    transforms, now = [], width
     while r.bits(1):
         kind = r.bits(2)
         if kind in (0, 1):
             bits = r.bits(3) + 2
-            undo.append((kind, now, bits, _pixels(r, _blocks(now, bits), _blocks(height, bits), False)))
+            transforms.append((kind, now, bits, _pixels(r, _blocks(now, bits), _blocks(height, bits), False)))
         elif kind == 2:
-            undo.append((kind, now, 0, []))
+            transforms.append((kind, now, 0, None))
         else:
             size = r.bits(8) + 1
-            palette = _pixels(r, size, 1, False)
-            for i in range(1, size):
-                palette[i] = _add(palette[i], palette[i - 1])
-            undo.append((kind, now, 0, palette))
+            palette = np.cumsum(_pixels(r, size, 1, False).view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).view(np.uint32).ravel()
+            transforms.append((kind, now, 0, palette))
             now = _blocks(now, _bundle_bits(size))
-    pixels = _pixels(r, now, height, True)
-    for kind, w, bits, table in reversed(undo):
-        if kind == 0:
-            pixels = _with_predictor(pixels, w, bits, table, False)
-        elif kind == 1:
-            pixels = _with_cross_colour(pixels, w, bits, table, False)
-        elif kind == 2:
-            pixels = _with_green(pixels, False)
-        else:
-            pixels = _from_palette(pixels, w, height, table)
-    argb = np.array(pixels, np.uint32).reshape(height, width)
-    out = np.stack([(argb >> np.uint32(k)).astype(np.uint8) for k in (16, 8, 0, 24)], axis=-1)
-    if opaque:
-        out[..., 3] = 255
+    return width, height, opaque, transforms, _pixels(r, now, height, True)
+
+
+def decode_all(files: list[bytes]) -> list[np.ndarray]:
+    """Pixels of lossless WebP files as arrays height x width x (red, green, blue, alpha)."""
+    images = [_read(f) for f in files]
+    pixels = [i[4] for i in images]
+    while any(i[3] for i in images):
+        steps = [i[3].pop() if i[3] else (None,) for i in images]
+        alike = {kind: [k for k, s in enumerate(steps) if s[0] == kind] for kind in range(4)}
+        if alike[0]:
+            for k, p in zip(alike[0], _without_predictor([(pixels[k], *steps[k][1:]) for k in alike[0]])):
+                pixels[k] = p
+        for k in alike[1]:
+            pixels[k] = _without_cross_colour(pixels[k], *steps[k][1:])
+        for k in alike[2]:
+            pixels[k] = _without_green(pixels[k])
+        for k in alike[3]:
+            pixels[k] = _from_palette(pixels[k], steps[k][1], images[k][1], steps[k][3])
+    out = []
+    for (width, height, opaque, _, _), argb in zip(images, pixels):
+        rgba = argb.astype("<u4").view(np.uint8).reshape(height, width, 4)[..., [2, 1, 0, 3]]
+        if opaque:
+            rgba[..., 3] = 255
+        out.append(rgba)
     return out
 
 
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of a lossless WebP file as an array height x width x (red, green, blue, alpha)."""
+    return decode_all([data])[0]
+
+
 def _tokens(pixels: list[int], width: int, cache_bits: int, matches: bool) -> list[tuple]:
     """Literals ("p", pixel), cache hits ("c", index) and back-references ("b", length, distance)."""
     out: list[tuple] = []
@@ -449,11 +680,13 @@ def _tokens(pixels: list[int], width: int, cache_bits: int, matches: bool) -> li
     return out
 
 
+@lru_cache
+def _short_distances(width: int) -> dict[int, int]:
+    return {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(neighbourhood())))}
+
+
 def _distance_value(d: int, width: int) -> int:
-    for k, (x, y) in enumerate(neighbourhood()):
-        if x + y * width == d:
-            return k + 1
-    return d + len(neighbourhood())
+    return _short_distances(width).get(d, d + len(neighbourhood()))
 
 
 def _write_pixels(w: Writer, pixels: list[int], width: int, main: bool, cache_bits: int = 0, matches: bool = False, group_bits: int | None = None, groups: list[int] | None = None) -> None:
@@ -549,223 +782,232 @@ def encode(rgba: np.ndarray, transforms: tuple[str, ...] = (), cache_bits: int =
     return _file(w.data())
 
 
-# ---- payloads as one-sample images, many at once ----
-
-
-@lru_cache
-def text_code() -> tuple[list[int], list[int]]:
-    """Code lengths and codes of the green symbols for stored texts: a fixed rule, so that equal texts give equal files."""
-    weights = [0.02] * 256
-    for i in range(32, 127):
-        weights[i] = 1.0
-    for i in range(0x80, 0xC0):
-        weights[i] = 2.0
-    for i, c in enumerate(b" etaoinshrdlcumwfgypbvkjxqz"):
-        weights[c] = 700.0 / (3.5 + i)
-    weights[10], weights[0], weights[ord(",")], weights[ord(".")], weights[0xC3] = 8.0, 3.0, 12.0, 12.0, 20.0
-    lengths = code_lengths([*weights, *([0.5] * 12 + [0.05] * 12)])
-    return lengths, canonical(lengths)
-
-
-@lru_cache
-def text_header() -> Writer:
-    """What follows the size of a stored image: no transform, no cache, one group of codes."""
-    w = Writer()
-    w.put(0, 3)
-    write_code(w, text_code()[0])
-    for s, n in ((0, 256), (0, 256), (255, 256), (1, DISTANCES)):  # red, blue, alpha; back-references to the pixel on the left
-        lengths = [0] * n
-        lengths[s] = 1
-        write_code(w, lengths)
-    return w
+# ---- payloads as grey images, many at once ----
 
 
 def sides(payload_bytes: int) -> tuple[int, int]:
-    """Width and height of the image of a payload (a multiple of 64)."""
+    """Width and height of the image of a payload: about square, so that long texts have long diagonals."""
     width = 64
-    while -(-payload_bytes // width) > MAX_SIDE:
+    while width * width < payload_bytes:
         width *= 2
     if width > MAX_SIDE:
         raise ValueError("more bytes than an image has pixels")
     return width, -(-payload_bytes // width)
 
 
-def store(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
-    """Files of the payloads data[offsets[i]:offsets[i + 1]], padded with zeros to a positive multiple of 64."""
-    n = len(offsets) - 1
-    sizes = np.diff(offsets)
-    payload = np.maximum(64, -(-sizes // 64) * 64)
-    shapes = [sides(int(x)) for x in payload]
-    zeros = np.array([w * h for w, h in shapes], np.int64) - sizes
-    lengths, codes = text_code()
-    code, bits = np.array(codes, np.uint64), np.array(lengths, np.int64)
-    # two further symbols end each text: a zero and a back-reference for the other zeros
-    slots = offsets[:-1] + 2 * np.arange(n)
-    value, width = np.empty(len(data) + 2 * n, np.uint64), np.empty(len(data) + 2 * n, np.int64)
-    text = np.ones(len(value), bool)
-    last = slots + sizes
-    text[last] = text[last + 1] = False
-    value[text], width[text] = code[data], bits[data]
-    value[last], width[last] = np.where(zeros > 0, code[0], 0), np.where(zeros > 0, bits[0], 0)
-    value[last + 1], width[last + 1] = 0, 0
-    for i in np.flatnonzero(zeros > 1).tolist():
-        s, extra_bits, extra = symbol_of(int(zeros[i]) - 1)
-        value[last[i] + 1], width[last[i] + 1] = codes[256 + s] | extra << lengths[256 + s], lengths[256 + s] + extra_bits
-    head = text_header()
+def _tile_bits(width: int) -> int:
+    """Tiles of 16 pixels a side, larger ones in images of more than 1024 of these."""
+    return max(4, width.bit_length() - 6)
+
+
+def _residuals(images: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Green residuals of images of equal width, and the mode of each of their tiles, that with the least sum of residuals."""
+    width = images[0].shape[1]
+    bits = _tile_bits(width)
+    heights = np.array([len(i) for i in images])
+    tops = np.cumsum(heights) - heights
+    flat = np.concatenate([np.zeros(width + 1, np.uint8), *(i.ravel() for i in images)])
+    n = len(flat) - width - 1
+    now, left, top, right, corner = (flat[width + 1 - k :][:n] for k in (0, 1, width, width - 1, width + 1))
+    average = lambda a, b: (a & b) + ((a ^ b) >> 1)
+    a, b, c = (x.astype(np.int16) for x in (left, top, corner))
+    left_corner, top_right, middle = average(left, corner), average(top, right), average(left, top)
+    half = middle.astype(np.int16) - c
+    guesses = (
+        np.uint8(0), left, top, right, corner, average(average(left, right), top), left_corner, middle, average(corner, top), top_right, average(left_corner, top_right),
+        np.where(np.abs(b - c) < np.abs(a - c), left, top), np.clip(a + b - c, 0, 255).astype(np.uint8), np.clip(middle + (half + (half < 0) >> 1), 0, 255).astype(np.uint8),
+    )
+    tile_rows = _blocks(heights, bits)
+    first_rows = np.concatenate([np.arange(t, t + h, 1 << bits) for t, h in zip(tops, heights)])
+    every, costs = [], []
+    for g in guesses:
+        r = now - g
+        every.append(r)
+        size = np.minimum(r, -r).reshape(-1, width)
+        size[tops], size[:, 0] = 0, 0  # their predictors are fixed
+        size = size.reshape(-1, width >> bits, 1 << bits).sum(2, dtype=np.uint32)
+        costs.append(np.add.reduceat(size, first_rows, 0))
+    modes = np.argmin(costs, 0).astype(np.uint8)
+    own = np.diff(np.append(first_rows, len(flat[width + 1 :]) // width))
+    by_pixel = np.repeat(np.repeat(modes, own, 0), 1 << bits, 1)
+    by_pixel[:, 0] = 2
+    by_pixel[tops] = 1
+    by_pixel[tops, 0] = 0
+    by_pixel, out = by_pixel.ravel(), np.empty(n, np.uint8)
+    for k, r in enumerate(every):
+        np.copyto(out, r, where=by_pixel == k)
+    ends = np.cumsum(heights * width)
+    return np.split(out, ends[:-1]), np.split(modes, np.cumsum(tile_rows)[:-1])
+
+
+def _coded_bits(samples: np.ndarray) -> float:
+    """Bits of samples in a code of their own, about: their entropy."""
+    counts = np.bincount(samples)
+    counts = counts[counts > 0]
+    return float(len(samples) * np.log2(len(samples)) - (counts * np.log2(counts)).sum())
+
+
+def _header(width: int, height: int) -> Writer:
+    w = Writer()
+    for value, bits in ((SIGNATURE, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        w.put(value, bits)
+    return w
+
+
+def _matches(data: np.ndarray, starts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Places, lengths and distances of disjoint back-references in strings data[starts[i]:starts[i + 1]]: runs of places whose next
+    MATCH_KEY bytes were last seen at the same distance before."""
+    n = len(data)
+    whole = np.zeros(n + MATCH_KEY, np.uint8)
+    whole[:n] = data
+    key = np.lib.stride_tricks.sliding_window_view(whole, MATCH_KEY)[:n].copy().view(np.uint64).ravel()
+    # hash and place in one number, sorted string by string, so that what stands beside a string makes no difference to it
+    entries, counted = mix64(key), np.arange(int(np.diff(starts).max()), dtype=np.uint64)
+    later, earlier = [], []
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        own, count = entries[lo:hi], hi - lo
+        bits = np.uint64(count.bit_length())
+        mask = (np.uint64(1) << bits) - np.uint64(1)
+        own &= ~mask
+        own |= counted[:count]
+        own.sort()
+        same = np.flatnonzero((own[1:] ^ own[:-1]) <= mask)
+        places = (own & mask).view(np.int64) + lo
+        i, j = places[same + 1], places[same]
+        inside = i <= hi - MATCH_KEY
+        later.append(i[inside])
+        earlier.append(j[inside])
+    i, j = np.concatenate(later), np.concatenate(earlier)
+    good = (key[i] == key[j]) & (i - j <= FARTHEST)
+    back = np.zeros(n + 1, np.int64)
+    back[i[good]] = (i - j)[good]
+    edges = np.flatnonzero(np.r_[True, back[1:] != back[:-1]])
+    edges = np.append(edges, n + 1)
+    runs = np.flatnonzero(back[edges[:-1]] > 0)
+    at, lengths, distances, free = [], [], [], 0
+    # a run goes on for the bytes behind its last place; an image's first place has nothing before it, so that no run spans two
+    for lo, hi, d in zip(edges[runs].tolist(), (edges[runs + 1] + MATCH_KEY - 1).tolist(), back[edges[runs]].tolist()):
+        lo = max(lo, free)
+        while hi - lo >= LEAST_MATCH:
+            at.append(lo)
+            lengths.append(min(hi - lo, LONGEST_MATCH))
+            distances.append(d)
+            lo += lengths[-1]
+            free = lo
+    return at, lengths, distances
+
+
+def _coded(samples: list[np.ndarray], widths: list[int], heads: list[Writer], alphas: list[int]) -> list[bytes]:
+    """Files of images with these green samples, after what stands in heads; each with its own codes."""
+    n = len(samples)
+    data = np.concatenate(samples)
+    starts = np.cumsum([0] + [len(x) for x in samples])
+    at, lengths, distances = _matches(data, starts)
+    literal = np.ones(len(data) + 1, bool)
+    literal[-1] = False
+    for i, k in zip(at, lengths):
+        literal[i : i + k] = False
+    begins = literal.copy()
+    begins[at] = True
+    place = np.flatnonzero(begins)
+    is_match = ~literal[place]
+    owner = np.repeat(np.arange(n), np.diff(starts))[place]
+    symbol = data[place].astype(np.int64)
+    green = [symbol_of(k) for k in lengths]
+    match_owner = owner[is_match]
+    far = [symbol_of(_distance_value(d, widths[o])) for d, o in zip(distances, match_owner.tolist())]
+    symbol[is_match] = [256 + s for s, _, _ in green]
+    size = 256 + GREEN_LENGTHS
+    green_counts = np.bincount(owner * size + symbol, minlength=n * size).reshape(n, size)
+    far_symbol = np.array([s for s, _, _ in far], np.int64)
+    far_counts = np.bincount(match_owner * DISTANCES + far_symbol, minlength=n * DISTANCES).reshape(n, DISTANCES)
+    code, bits = np.zeros((n, size + DISTANCES), np.uint64), np.zeros((n, size + DISTANCES), np.int64)
+    for i, w in enumerate(heads):
+        w.put(0, 3)  # no further transform, no cache, one group of codes
+        for lo, counts, limit in ((0, green_counts[i], STORED_BITS), (size, far_counts[i], MAX_BITS)):
+            if lo:
+                w.put(_alone(0) | _alone(0) << 11 | _alone(alphas[i]) << 22, 33)  # red, blue, alpha
+            own = code_lengths(counts.tolist(), limit)
+            write_code(w, own)
+            if np.count_nonzero(counts) > 1:
+                code[i, lo : lo + len(own)], bits[i, lo : lo + len(own)] = canonical(own), own
+    # a slot a literal, two a match: length and distance, each with its extra bits
+    slot = np.arange(len(place)) + np.cumsum(is_match) - is_match
+    value, width = np.zeros(len(place) + len(at) + 1, np.uint64), np.zeros(len(place) + len(at) + 1, np.int64)
+    value[slot], width[slot] = code[owner, symbol], bits[owner, symbol]
+    for where, items in ((slot[is_match], green), (slot[is_match] + 1, far)):
+        if items is far:
+            value[where], width[where] = code[match_owner, size + far_symbol], bits[match_owner, size + far_symbol]
+        value[where] |= np.array([x for _, _, x in items], np.uint64) << width[where].astype(np.uint64)
+        width[where] += np.array([k for _, k, _ in items], np.int64)
+    slots = np.append(slot[np.searchsorted(place, starts[:-1])], len(value) - 1)
     ends = np.zeros(len(value) + 1, np.int64)
     np.cumsum(width, out=ends[1:])
-    body = ends[np.append(slots[1:], len(value))] - ends[slots]
-    stream_bytes = (40 + head.bits + body + 7) // 8
+    head = np.array([w.bits for w in heads])
+    stream_bytes = (head + ends[slots[1:]] - ends[slots[:-1]] + 7) // 8
     words = (stream_bytes + 7) // 8
     word_starts = np.cumsum(words) - words
-    shift = 64 * word_starts + 40 + head.bits - ends[slots]
-    at = ends[:-1] + np.repeat(shift, np.append(slots[1:], len(value)) - slots)
+    shift = 64 * word_starts + head - ends[slots[:-1]]
+    value, width = value[:-1], width[:-1]
+    bit = ends[: len(value)] + np.repeat(shift, np.diff(slots))
     out = np.zeros(int(words.sum()) + 1, np.uint64)
-    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    word, inside = bit >> 6, (bit & 63).astype(np.uint64)
     first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-    out[word[first]] = np.bitwise_or.reduceat(value << bit, first)
-    cross = np.flatnonzero((at & 63) + width > 64)
-    out[word[cross] + 1] |= value[cross] >> (np.uint64(64) - bit[cross])
+    out[word[first]] = np.bitwise_or.reduceat(value << inside, first)
+    cross = np.flatnonzero((bit & 63) + width > 64)
+    out[word[cross] + 1] |= value[cross] >> (np.uint64(64) - inside[cross])
     raw = out.view(np.uint8)
     files = []
-    for i in range(n):
-        w, h = shapes[i]
-        lo = 8 * int(word_starts[i])
-        start = SIGNATURE | (w - 1) << 8 | (h - 1) << 22 | 1 << 36 | head.value << 40
-        fixed = (40 + head.bits + 7) // 8
-        stream = bytearray(raw[lo : lo + int(stream_bytes[i])].tobytes())
-        stream[:fixed] = (int.from_bytes(stream[:fixed], "little") | start).to_bytes(fixed, "little")
+    for w, lo, count in zip(heads, (8 * word_starts).tolist(), stream_bytes.tolist()):
+        fixed = (w.bits + 7) // 8
+        stream = bytearray(raw[lo : lo + count])
+        stream[:fixed] = (int.from_bytes(stream[:fixed], "little") | w.value).to_bytes(fixed, "little")
         files.append(_file(bytes(stream)))
     return files
 
 
-class _Plain:
-    """Codes of an image whose red, blue, alpha and distance codes have one symbol each, and that has no transform or cache."""
-
-    def __init__(self, stream: bytes) -> None:
-        r = Reader(stream, 40)
-        if r.bits(3):
-            raise ValueError("not plain")
-        green, *rest, distance = (read_code(r, n) for n in (256 + GREEN_LENGTHS, 256, 256, 256, DISTANCES))
-        if green.only is not None or any(c.only is None for c in rest) or distance.only != 1:
-            raise ValueError("not plain")
-        self.bits = r.at - 40
-        self.mark = int.from_bytes(stream[5:], "little") & ((1 << self.bits) - 1)
-        self.step, self.symbol = np.zeros(1 << MAX_BITS, np.uint8), np.zeros(1 << MAX_BITS, np.uint16)
-        for s, (n, c) in enumerate(zip(green.lengths, canonical(green.lengths))):
-            if n:
-                self.symbol[c :: 1 << n] = s
-                self.step[c :: 1 << n] = n + (value_of(s - 256)[1] if s >= 256 else 0)
-        self.green = green.lengths
-
-    def fits(self, stream: bytes) -> bool:
-        k = (self.bits + 7) // 8
-        return int.from_bytes(stream[5 : 5 + k], "little") & ((1 << self.bits) - 1) == self.mark
-
-
-_KNOWN: list[_Plain] = []
-
-
-def _plain(stream: bytes) -> _Plain | None:
-    for p in _KNOWN:
-        if p.fits(stream):
-            return p
-    try:
-        _KNOWN.append(_Plain(stream))
-    except (ValueError, IndexError):
-        return None
-    del _KNOWN[:-16]
-    return _KNOWN[-1]
-
-
-def _load_plain(code: _Plain, streams: list[bytes], counts: list[int]) -> list[np.ndarray]:
-    """Green samples of images that share their codes."""
-    lengths = np.array([len(s) for s in streams], np.int64)
-    starts = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(b"".join(streams) + b"\0" * 8, np.uint8).astype(np.uint32)
-    n = len(raw) - 8
-    three = raw[:n] | raw[1 : n + 1] << 8 | raw[2 : n + 2] << 16
-    window = np.empty(8 * n, np.uint16)
-    for k in range(8):
-        window[k::8] = (three >> k) & 0x7FFF
-    follow = np.arange(8 * n, dtype=np.int32)
-    follow += code.step[window]
-    np.minimum(follow, 8 * n - 1, out=follow)
-    far = follow
-    for _ in range(STRIDE.bit_length() - 1):
-        far = far[far]
-    jump = memoryview(far)
-    marks: list[int] = []
-    blocks = []
-    for s, count in zip(starts.tolist(), counts):
-        p, k = 8 * s + 40 + code.bits, -(-count // STRIDE)
-        blocks.append(k)
-        for _ in range(k):
-            marks.append(p)
-            p = jump[p]
-    place = np.array(marks, np.int64)
-    symbols, places = np.empty((len(place), STRIDE), np.uint16), np.empty((len(place), STRIDE), np.int64)
-    for k in range(STRIDE):
-        places[:, k] = place
-        symbols[:, k] = code.symbol[window[place]]
-        place = follow[place]
-    out, at = [], 0
-    for i, count in enumerate(counts):
-        own, where = symbols[at : at + blocks[i]].ravel(), places[at : at + blocks[i]].ravel()
-        at += blocks[i]
-        copies = np.flatnonzero(own >= 256)
-        if not len(copies) or copies[0] >= count:
-            out.append(own[:count].astype(np.uint8))
+def store(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Files of the payloads data[offsets[i]:offsets[i + 1]], padded with zeros to a positive multiple of 64."""
+    sizes = np.diff(offsets)
+    images, palettes = [], []
+    for lo, size in zip(offsets.tolist(), sizes.tolist()):
+        width, height = sides(max(64, -(-size // 64) * 64))
+        image = np.zeros(width * height, np.uint8)
+        image[:size] = data[lo : lo + size]
+        colours = np.flatnonzero(np.bincount(image, minlength=256))
+        images.append(image.reshape(height, width))
+        palettes.append(colours if len(colours) <= FEW_COLOURS else None)
+    samples: list[np.ndarray] = [None] * len(images)
+    heads = [_header(i.shape[1], i.shape[0]) for i in images]
+    widths = [i.shape[1] for i in images]
+    for i, (image, colours, w) in enumerate(zip(images, palettes, heads)):
+        if colours is None:
             continue
-        samples, done = np.empty(count, np.uint8), 0
-        previous = 0
-        r = Reader(streams[i])
-        for c in copies.tolist():
-            part = own[previous:c][: count - done]
-            samples[done : done + len(part)] = part
-            done += len(part)
-            if done >= count:
-                break
-            s = int(own[c])
-            first, extra = value_of(s - 256)
-            r.at = int(where[c]) - 8 * int(starts[i]) + code.green[s]
-            length = min(first + r.bits(extra), count - done)
-            samples[done : done + length] = samples[done - 1]
-            done += length
-            previous = c + 1
-        part = own[previous:][: count - done]
-        samples[done : done + len(part)] = part
-        out.append(samples)
-    return out
+        grey = [OPAQUE | c << 16 | c << 8 | c for c in colours.tolist()]
+        w.put(1 | 3 << 1, 3)
+        w.put(len(grey) - 1, 8)
+        _write_pixels(w, [_sub(c, grey[k - 1]) if k else c for k, c in enumerate(grey)], len(grey), False)
+        pack = _bundle_bits(len(grey))
+        index = np.searchsorted(colours, image).reshape(image.shape[0], -1, 1 << pack)
+        samples[i] = (index << np.arange(0, 8, 8 >> pack)).sum(2).astype(np.uint8).ravel()
+        widths[i] >>= pack
+    alphas = [255] * len(images)
+    for width in {w for w, p in zip(widths, palettes) if p is None}:
+        index = [i for i, p in enumerate(palettes) if p is None and widths[i] == width]
+        bits = _tile_bits(width)
+        for i, residuals, modes in zip(index, *_residuals([images[i] for i in index])):
+            heads[i].put(1 | 2 << 1, 3)
+            samples[i] = images[i].ravel()
+            if _coded_bits(residuals) + 4 * modes.size < _coded_bits(samples[i]):
+                heads[i].put(1 | 0 << 1 | bits - 2 << 3, 6)
+                _write_pixels(heads[i], [OPAQUE | m << 8 for m in modes.ravel().tolist()], width >> bits, False)
+                samples[i], alphas[i] = residuals, 0
+    return _coded(samples, widths, heads, alphas) if images else []
 
 
 def load(files: list[bytes]) -> list[np.ndarray]:
     """The samples of stored files, as arrays height x width."""
-    out: list[np.ndarray | None] = [None] * len(files)
-    same: dict[int, tuple[_Plain, list[int], list[bytes], list[int]]] = {}
-    shapes = []
-    for i, f in enumerate(files):
-        stream = _chunk(f)
-        size = int.from_bytes(stream[1:5], "little")
-        shapes.append(((size >> 14 & 0x3FFF) + 1, (size & 0x3FFF) + 1))
-        code = _plain(stream)
-        if code is None:
-            out[i] = decode(f)[..., 1]
-            continue
-        _, index, streams, counts = same.setdefault(id(code), (code, [], [], []))
-        index.append(i)
-        streams.append(stream)
-        counts.append(shapes[i][0] * shapes[i][1])
-    for code, index, streams, counts in same.values():
-        lo, size = 0, 0
-        for k in range(len(index) + 1):
-            if k == len(index) or size and size + len(streams[k]) > SIDE_BY_SIDE:
-                for i, samples in zip(index[lo:k], _load_plain(code, streams[lo:k], counts[lo:k])):
-                    out[i] = samples.reshape(shapes[i])
-                lo, size = k, 0
-            if k < len(index):
-                size += len(streams[k])
-    return out
+    return [image[..., 1] for image in decode_all(files)]
 
 
 def feature(samples: np.ndarray) -> str:
