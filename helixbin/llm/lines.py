@@ -43,6 +43,8 @@ HOT = 1000
 LEADERS = 3
 #: 64-bit parities of a line's words by which candidates are compared before their words are.
 PARITIES = 4
+#: Parts, by key, in which sets are compared with all their partners: the entries of one part lie on disk at a time.
+PARTS = 3
 #: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
 ID_BITS, LINE_BITS = 40, 23
 #: Tokens of a line from which it carries its further parities into the join: two lines that share nothing differ in about 32 of 64 bits,
@@ -126,10 +128,14 @@ def _parities(hashes: str) -> Column:
     return F.array(*(_parity(F.filter(hashes, lambda h: F.shiftright(h, 6).bitwiseAND(PARITIES - 1) == q)) for q in range(PARITIES)))
 
 
-def _key(entry: str) -> Column:
+def _key(entry: str | Column) -> Column:
     return F.shiftright(entry, 32).cast("int")
 
 
+def _of_part(keys: str, part: int) -> Column:
+    return F.filter(keys, lambda e: F.pmod(_key(e), F.lit(PARTS)) == part)
+
+
 def _packed(n: str, entry: str, open_: Column) -> Column:
     """Size, place and whether the set is open, in one number."""
     return F.shiftleft(F.col(n).cast("long"), 32) + 2 * F.col(entry).bitwiseAND(0x7FFFFFFF) + open_.cast("long")
@@ -203,8 +209,17 @@ def _led(sets: DataFrame) -> DataFrame:
 
 def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
     """Distinct (x, y) of sets x that are not settled and earlier sets y that share a key and pass the filters."""
+    found = []
+    for part in range(PARTS):
+        found.append(materialize(_partners_by(sets, settled, part)))
+        release(sets.sparkSession)  # the part's entries
+    return reduce(DataFrame.union, found).distinct()
+
+
+def _partners_by(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
+    """What ``_partners`` gives by the keys of one part."""
     marked = sets.join(settled.select(F.col("x").alias("sid"), F.lit(True).alias("settled")), "sid", "left")
-    entries = marked.select("sid", "n", "bits", "wide", "head", "settled", F.explode("keys").alias("e"))
+    entries = marked.select("sid", "n", "bits", "wide", "head", "settled", F.explode(_of_part("keys", part)).alias("e"))
     head = F.when(F.get("head", F.col("e").bitwiseAND(0x7FFFFFFF).cast("int")) >= _hot(), F.col("head"))  # of entries that are pairs
     entries = entries.select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits", "wide", head.alias("head"))
     entries = entries.where("key IS NOT NULL AND sid IS NOT NULL AND p IS NOT NULL AND bits IS NOT NULL")  # or else the sides would differ in that
@@ -221,7 +236,9 @@ def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
 @settled
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(did, tk, removed): sorted positions of the lines to remove, of the documents that have some."""
-    places = rarity(docs).scalar()
+    counted = rarity(docs)
+    release(docs.sparkSession)
+    places = counted.scalar()
     rows = _row_keys(docs.select("doc_id", "text"))
     lines = rows.select("did", "tk", F.posexplode(F.split(_spaced(_text()), "\n")).alias("pos", "line"))
     lines = lines.select("did", "tk", "pos", F.trim("line").alias("line")).where("line <> ''").select("did", "tk", "pos", _words("line").alias("w"))

@@ -91,3 +91,25 @@ def test_tokens_hold_no_null(spark):
     frame = spark.createDataFrame([(["a", "b", "a"], [0] * lines.BUCKETS)], "w array<string>, places array<long>")
     k = frame.select(lines.tokens(F.col("w"), F.col("places")).alias("k"))
     assert not k.schema["k"].dataType.containsNull and len(k.first().k) == 2
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_partners_are_compared_part_by_part(spark, monkeypatch, parts):
+    """The entries of all keys lay on disk at once."""
+    monkeypatch.setattr(lines, "PARTS", parts, raising=False)
+    monkeypatch.setattr(lines, "LEADERS", 0)  # leave more to compare with all
+    entries = []
+
+    def partners(sets, settled):
+        counted = [sets.select(F.explode(lines._of_part("keys", k)).alias("e")) for k in range(parts)]
+        entries.append(([c.count() for c in counted], sets.select(F.explode("keys")).count()))
+        pairs = whole(sets, settled)
+        assert pairs.count() == pairs.dropDuplicates().count()
+        return pairs
+
+    whole = lines._partners
+    monkeypatch.setattr(lines, "_partners", partners)
+    texts = edited(60, 60, 14, 7) + edited(40, 12, 6, 8)
+    assert by_line(spark, texts) == removed(texts)
+    (each, total), = entries
+    assert sum(each) == total and max(each) < 1.5 * total / parts
