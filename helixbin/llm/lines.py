@@ -35,16 +35,20 @@ from helixbin.llm.common import broadcast_if_small, discard, materialize, releas
 
 WORD = r"[^\x20\x09-\x0D]"
 SIMILARITY = 0.8
-#: Buckets in which words are counted, and classes of their counts, a factor apart: a number for each bucket, a fixed size in all.
-BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 19, 120, 1.3, 4096
-#: Words of a bucket from which its tokens are joined in pairs.
-HOT = 1000
+#: Buckets in which words are counted, and classes of their counts, a factor apart: a byte for each bucket, a fixed size in all. A rare word that
+#: shares its bucket with many others counts as frequent, so there are about as many buckets as a corpus of a GB has words.
+BUCKETS, CLASSES, FACTOR, CHUNK = 1 << 22, 120, 1.3, 4096
+#: Words of a bucket from which its tokens are joined in pairs, of a corpus of WORDS words or fewer; of a larger one as many times more. With a fixed
+#: number most tokens of a large corpus would be in pairs, and the keys of a line many times as many.
+HOT, WORDS = 1000, 100_000_000
 #: Rarest keys by which a set meets its leaders, beside every other one.
 LEADERS = 3
 #: 64-bit parities of a line's words by which candidates are compared before their words are.
 PARITIES = 4
 #: Parts, by key, in which sets are compared with all their partners: the entries of one part lie on disk at a time.
 PARTS = 3
+#: Parts, by document, in which texts are shuffled where too many lines are wanted for a broadcast.
+TEXT_PARTS = 4
 #: A line's place in the corpus is one number where ids are distinct and below 2**ID_BITS and lines below 2**LINE_BITS.
 ID_BITS, LINE_BITS = 40, 23
 #: Tokens of a line from which it carries its further parities into the join: two lines that share nothing differ in about 32 of 64 bits,
@@ -69,17 +73,18 @@ def _text() -> Column:
 
 
 def _class(count: Column) -> Column:
-    return F.least(F.floor(F.log(F.greatest(count, F.lit(1))) / math.log(FACTOR)), F.lit(CLASSES)).cast("long")
+    return F.least(F.floor(F.log(F.greatest(count, F.lit(1))) / math.log(FACTOR)), F.lit(CLASSES)).cast("tinyint")
 
 
 def rarity(docs: DataFrame) -> DataFrame:
-    """One row: the class of each bucket of words by its count in all texts, shifted by 56 bits, as an array of BUCKETS numbers."""
+    """One row: the class of each bucket of words by its count in all texts, as an array of BUCKETS bytes."""
     words = F.split(F.replace(_spaced(_text()), F.lit("\n"), F.lit(" ")), " ")
     each = docs.select(F.explode(words).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("count"))
-    counts = each.groupBy("b").count().union(every).groupBy("b").agg(F.sum("count").alias("n"))
+    counts = materialize(each.groupBy("b").count().union(every).groupBy("b").agg(F.sum("count").alias("n")))
+    growth = max(1.0, counts.agg(F.sum("n")).first()[0] / WORDS)
     in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value])
-    chunks = counts.select("b", F.floor(F.col("b") / CHUNK).alias("c"), F.shiftleft(_class(F.col("n")), 56).alias("v")).groupBy("c").agg(in_order("b", "v").alias("v"))
+    chunks = counts.select("b", F.floor(F.col("b") / CHUNK).alias("c"), _class(F.col("n") / growth).alias("v")).groupBy("c").agg(in_order("b", "v").alias("v"))
     return materialize(chunks.agg(F.flatten(in_order("c", "v")).alias("places")))
 
 
@@ -87,7 +92,7 @@ def tokens(words: Column, places: Column) -> Column:
     """Sorted distinct tokens of a line: class of the word's bucket, then 56 bits of its hash. No bucket lacks a class; without the default
     the elements could be null, and Spark would sort objects."""
     hashes = F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(places, h.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("long")).bitwiseOR(F.shiftrightunsigned(h, 8))))
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(F.coalesce(F.get(places, h.bitwiseAND(BUCKETS - 1)), F.lit(0).cast("tinyint")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _need(a: Column, b: Column) -> Column:
@@ -174,6 +179,15 @@ def _with_places(lines: DataFrame) -> DataFrame:
     return materialize(lines.join(places, ["did", "tk", "pos"]))
 
 
+def _set_words(rows: DataFrame, by_row: DataFrame) -> DataFrame:
+    """(sid, k, n, b): the words of the wanted lines of by_row (did, tk, w), their number and parities."""
+    each = rows.select("did", "tk", "text").join(by_row, ["did", "tk"]).select(F.split(_text(), "\n").alias("ls"), "w")
+    each = each.select(F.explode(F.transform("w", lambda x: F.struct(x["sid"].alias("sid"), F.element_at("ls", x["pos"] + 1).alias("line")))).alias("w"))
+    each = each.select("w.sid", F.trim(_spaced(F.col("w.line"))).alias("line"))
+    found = each.select("sid", F.array_distinct(_words("line")).alias("k")).dropDuplicates(["sid"]).withColumn("h", F.transform("k", lambda w: F.xxhash64(w)))
+    return found.select("sid", "k", F.size("k").alias("n"), _parities("h").alias("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct sid x of the pairs (x, y) of sets whose words are similar."""
     pairs = materialize(pairs)
@@ -181,12 +195,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = materialize(pairs.select(F.col("x").alias("sid")).union(pairs.select("y")).distinct().join(sets.select("sid", "did", "tk", "pos"), "sid"))
     by_row = wanted.groupBy("did", "tk").agg(F.collect_set(F.struct("sid", "pos")).alias("w"))
     if wanted.count() <= BROADCAST_ROWS:
-        by_row = F.broadcast(by_row)
-    each = rows.select("did", "tk", "text").join(by_row, ["did", "tk"]).select(F.split(_text(), "\n").alias("ls"), "w")
-    each = each.select(F.explode(F.transform("w", lambda x: F.struct(x["sid"].alias("sid"), F.element_at("ls", x["pos"] + 1).alias("line")))).alias("w"))
-    each = each.select("w.sid", F.trim(_spaced(F.col("w.line"))).alias("line"))
-    found = each.select("sid", F.array_distinct(_words("line")).alias("k")).dropDuplicates(["sid"]).withColumn("h", F.transform("k", lambda w: F.xxhash64(w)))
-    found = materialize(found.select("sid", "k", F.size("k").alias("n"), _parities("h").alias("b")))
+        found = materialize(_set_words(rows, F.broadcast(by_row)))
+    else:  # beside the tables that lie there, texts are too much to be on disk at a time
+        found = []
+        for part in range(TEXT_PARTS):
+            here = F.pmod(F.xxhash64("did", "tk"), F.lit(TEXT_PARTS)) == part
+            found.append(materialize(_set_words(rows.where(here), by_row.where(here))))
+            release(rows.sparkSession)  # the part's texts
+        found = reduce(DataFrame.union, found)
     # most candidates are long lines that 64 bits cannot tell apart; these are told apart on narrow rows, so that no words are shuffled for them
     x, y = found.select("sid", "n", "b").toDF("x", "xn", "xb"), found.select("sid", "n", "b").toDF("y", "yn", "yb")
     differ = reduce(Column.__add__, (F.bit_count(F.get("xb", F.lit(q)).bitwiseXOR(F.get("yb", F.lit(q)))) for q in range(PARITIES)))
@@ -218,8 +234,9 @@ def _partners(sets: DataFrame, settled: DataFrame) -> DataFrame:
 
 def _partners_by(sets: DataFrame, settled: DataFrame, part: int) -> DataFrame:
     """What ``_partners`` gives by the keys of one part."""
-    marked = sets.join(settled.select(F.col("x").alias("sid"), F.lit(True).alias("settled")), "sid", "left")
-    entries = marked.select("sid", "n", "bits", "wide", "head", "settled", F.explode(_of_part("keys", part)).alias("e"))
+    marked = sets.select("sid", "n", "bits", "wide", "head", _of_part("keys", part).alias("keys"))  # no other keys are shuffled
+    marked = marked.join(settled.select(F.col("x").alias("sid"), F.lit(True).alias("settled")), "sid", "left")
+    entries = marked.select("sid", "n", "bits", "wide", "head", "settled", F.explode("keys").alias("e"))
     head = F.when(F.get("head", F.col("e").bitwiseAND(0x7FFFFFFF).cast("int")) >= _hot(), F.col("head"))  # of entries that are pairs
     entries = entries.select(_key("e").alias("key"), "sid", _packed("n", "e", F.col("settled").isNull()).alias("p"), "bits", "wide", head.alias("head"))
     entries = entries.where("key IS NOT NULL AND sid IS NOT NULL AND p IS NOT NULL AND bits IS NOT NULL")  # or else the sides would differ in that

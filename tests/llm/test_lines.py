@@ -113,3 +113,38 @@ def test_partners_are_compared_part_by_part(spark, monkeypatch, parts):
     assert by_line(spark, texts) == removed(texts)
     (each, total), = entries
     assert sum(each) == total and max(each) < 1.5 * total / parts
+
+
+def test_keys_of_a_line_do_not_grow_with_the_corpus(spark, monkeypatch):
+    """A fixed bound of frequent words made nearly all tokens of a large corpus frequent, and these are joined in pairs."""
+    monkeypatch.setattr(lines, "HOT", 30)
+    monkeypatch.setattr(lines, "WORDS", 8000, raising=False)
+    keys = []
+    whole = lines._partners
+    monkeypatch.setattr(lines, "_partners", lambda sets, settled: keys.append(sets.agg(F.avg(F.size("keys"))).first()[0]) or whole(sets, settled))
+    for n in (200, 1600):
+        rng = np.random.default_rng(4)
+        by_line(spark, [" ".join(f"w{i}" for i in rng.integers(0, 1000, 40)) for _ in range(n)])
+    assert keys[1] < 1.5 * keys[0], keys
+
+
+def test_rare_words_stay_rare(spark):
+    """Words were counted in so few buckets that a rare one often shared its bucket with others."""
+    n = 300_000
+    docs = spark.range(60).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n // 60 - 1)), lambda i: F.concat(F.lit("w"), (F.col("id") * (n // 60) + i).cast("string"))), " ").alias("text"))
+    places = lines.rarity(docs)
+    word = docs.select(F.explode(F.split("text", " ")).alias("w"))
+    rare = word.select(F.array("w").alias("w"), places.scalar().alias("p")).select(lines.tokens(F.col("w"), F.col("p"))[0].alias("t")).where(F.shiftright("t", 56) == 0).count()
+    assert rare > 0.9 * n
+
+
+@pytest.mark.parametrize("most", [-1, 400_000])
+def test_texts_are_shuffled_in_parts(spark, monkeypatch, most):
+    """All texts were shuffled at once where too many lines were wanted for a broadcast."""
+    monkeypatch.setattr(lines, "BROADCAST_ROWS", most)
+    shares = []
+    whole = lines._set_words
+    monkeypatch.setattr(lines, "_set_words", lambda rows, by_row: shares.append(rows.count()) or whole(rows, by_row))
+    texts = edited(150, 40, 12, 6)
+    assert by_line(spark, texts) == removed(texts)
+    assert max(shares) <= (len(texts) if most else len(texts) / 2)
