@@ -83,6 +83,22 @@ def _close(r: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     return run
 
 
+def _block_pairs(centres: DataFrame, r: float, vectors: list[str]):
+    """Rows (i, j, contig, *vectors) of two blocks at a time, cogrouped: all pairs of blocks that may hold centres within r of each other."""
+    dims = centres.select(F.posexplode("centre").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("v")).orderBy("d").collect()  # one row a dimension
+    pivot = F.array(*(F.lit(float(x["v"])) for x in dims))
+    far = F.sqrt(squared_distance(F.col("centre"), pivot))
+    rows = centres.select("contig", *vectors, F.struct(far.alias("far"), "contig").alias("key")).where("contig IS NOT NULL AND centre IS NOT NULL")
+    placed = materialize(ranked(rows, "key", "place").select("contig", *vectors, F.col("key.far").alias("far"), F.floor(F.col("place") / BLOCK).alias("block")))
+    spans = placed.groupBy("block").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))  # a row a block
+    one, two = spans.toDF("i", "lo", "hi"), spans.toDF("j", "lo_j", "hi_j")
+    reach = r * (1 + 1e-9) + 1e-9
+    pairs = materialize(one.join(F.broadcast(two), (F.col("i") <= F.col("j")) & (F.col("lo_j") <= F.col("hi") + F.lit(reach))).select("i", "j"))
+    left = placed.withColumnRenamed("block", "i").join(F.broadcast(pairs), "i").select("i", "j", "contig", *vectors)
+    right = placed.toDF("contig", *vectors, "far", "j").join(F.broadcast(pairs.toDF("i", "j")), "j").select("i", "j", "contig", *vectors)
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j"))
+
+
 def radius_pairs(centres: DataFrame, r: float) -> DataFrame:
     """(a, b, dist) of ordered pairs of different contigs within r, exact, without a cross join of rows.
 
@@ -90,22 +106,82 @@ def radius_pairs(centres: DataFrame, r: float) -> DataFrame:
     blocks of bounded size in order of that distance, and a task compares two blocks by products of matrices, if their distances to the
     pivot allow. In many dimensions that leaves most pairs of blocks: the job is quadratic, spread over the cluster and bounded in memory.
     """
-    dims = centres.select(F.posexplode("centre").alias("d", "v")).groupBy("d").agg(F.avg("v").alias("v")).orderBy("d").collect()  # one row a dimension
-    pivot = F.array(*(F.lit(float(x["v"])) for x in dims))
     kind = centres.schema["contig"].dataType.simpleString()
-    far = F.sqrt(squared_distance(F.col("centre"), pivot))
-    rows = centres.select("contig", "centre", F.struct(far.alias("far"), "contig").alias("key")).where("contig IS NOT NULL AND centre IS NOT NULL")
-    placed = materialize(ranked(rows, "key", "place").select("contig", "centre", F.col("key.far").alias("far"), F.floor(F.col("place") / BLOCK).alias("block")))
-    spans = placed.groupBy("block").agg(F.min("far").alias("lo"), F.max("far").alias("hi"))  # a row a block
-    one, two = spans.toDF("i", "lo", "hi"), spans.toDF("j", "lo_j", "hi_j")
-    reach = r * (1 + 1e-9) + 1e-9
-    pairs = materialize(one.join(F.broadcast(two), (F.col("i") <= F.col("j")) & (F.col("lo_j") <= F.col("hi") + F.lit(reach))).select("i", "j"))
-    left = placed.withColumnRenamed("block", "i").join(F.broadcast(pairs), "i").select("i", "j", "contig", "centre")
-    right = placed.toDF("contig", "centre", "far", "j").join(F.broadcast(pairs.toDF("i", "j")), "j").select("i", "j", "contig", "centre")
-    near = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(_close(r), f"a {kind}, b {kind}, dist double")
+    near = _block_pairs(centres, r, ["centre"]).applyInArrow(_close(r), f"a {kind}, b {kind}, dist double")
     return near.where("a <> b")
 
 
+def _best(xs: list[np.ndarray], ys: list[np.ndarray], mine: np.ndarray, theirs: np.ndarray, radii: list[float], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, dist): the k nearest rows of ys of each row of xs by the first feature and then by number, of those within the radii in every feature."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    yy = [(y * y).sum(1) for y in ys]
+    for lo in range(0, len(xs[0]), STRIPE):
+        maybe = mine[lo : lo + STRIPE, None] != theirs
+        sure, first, slack = maybe.copy(), None, None
+        for x, y, lengths, r in zip(xs, ys, yy, radii):
+            part = x[lo : lo + STRIPE]
+            lengths = (part * part).sum(1)[:, None] + lengths
+            square, off = lengths - 2 * (part @ y.T), PRODUCT_SLACK * (lengths + r * r)
+            maybe &= square <= r * r + off
+            sure &= square <= r * r - off
+            if first is None:
+                first, slack = square, off
+        if len(theirs) > k:  # what is farther than k others is left out before its distance is computed
+            most = np.partition(np.where(sure, first + slack, np.inf), k - 1, axis=1)[:, k - 1]
+            maybe &= first - slack <= most[:, None]
+        i, j = np.nonzero(maybe)
+        dist = np.zeros(len(i))
+        near = np.ones(len(i), bool)
+        for at in range(0, len(i), 1 << 14):
+            a, b = lo + i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            for f, (x, y, r) in enumerate(zip(xs, ys, radii)):
+                total = np.zeros(len(a))
+                for d in range(x.shape[1]):  # in the order of the dimensions, as squared_distance
+                    total += np.square(x[a, d] - y[b, d])
+                total = np.sqrt(total)
+                near[at : at + (1 << 14)] &= total <= r
+                if f == 0:
+                    dist[at : at + (1 << 14)] = total
+        i, j, dist = i[near], j[near], dist[near]
+        order = np.lexsort((theirs[j], dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((lo + i[keep], j[keep], dist[keep]))
+    return tuple(map(np.concatenate, zip(*found)))
+
+
+def _nearest_close(radii: list[float], k: int) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """The k nearest, within the radii, of each centre of two blocks in the other block; of a block and itself in that block."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        names = left.column("contig").combine_chunks(), right.column("contig").combine_chunks()
+        parts = []
+        if len(left) and len(right):
+            sides = [[_vectors(t, c) for c in t.column_names if c.startswith("centre")] for t in (left, right)]
+            number = np.unique(np.array(names[0].to_pylist() + names[1].to_pylist()), return_inverse=True)[1]  # in the order of the contigs
+            number = number[: len(left)], number[len(left) :]
+            for x, y in ((0, 1),) if key[0].as_py() == key[1].as_py() else ((0, 1), (1, 0)):
+                i, j, dist = _best(sides[x], sides[y], number[x], number[y], radii, k)
+                parts.append(pa.table([names[x].take(pa.array(i)), names[y].take(pa.array(j)), pa.array(dist)], ["a", "b", "dist"]))
+        return pa.concat_tables(parts) if parts else pa.table([names[0].slice(0, 0), names[0].slice(0, 0), pa.array([], pa.float64())], ["a", "b", "dist"])
+
+    return run
+
+
+def nearest_common(features: list[DataFrame], radii: list[float], k: int) -> DataFrame:
+    """(a, b, dist), with the k nearest of each a among the contigs that are within the radius in every feature, at the first one's distance.
+
+    As ``radius_pairs`` and ``common_neighbours``, but no more than k rows of a centre leave a pair of blocks, however many are within the
+    radius; ``nearest`` picks from these.
+    """
+    rows, vectors = features[0], ["centre"]
+    for f, other in enumerate(features[1:]):
+        vectors.append(f"centre{f}")
+        rows = rows.join(other.select("contig", F.col("centre").alias(vectors[-1])), "contig")
+    kind = rows.schema["contig"].dataType.simpleString()
+    return _block_pairs(materialize(rows), radii[0], vectors).applyInArrow(_nearest_close(radii, k), f"a {kind}, b {kind}, dist double")
+
+
 def near_centres(centres: DataFrame, r: float, exact_contigs: int = EXACT_CONTIGS, degree: int = GRAPH_DEGREE) -> DataFrame:
     """(a, b, dist) of contigs within r: all of them for fewer than ``exact_contigs`` contigs, else those in the graph of the nearest."""
     if centres.limit(exact_contigs).count() < exact_contigs:

@@ -99,3 +99,20 @@ def test_meetings_equal_all_differences():
     dist = lambda p, q: float(np.sqrt(((np.array(p["vec"]) - np.array(q["vec"])) ** 2).sum()))
     want = [(p["id"], q["id"]) for h in hubs for p in h for q in h if p is not q and (p["fresh"] or q["fresh"]) and dist(p, q) <= p["last"]]
     assert [(r["a"], r["b"]) for r in got] == want and len(want) > 500
+
+
+@pytest.mark.parametrize("block,stripe", [(8192, 256), (17, 5)])
+def test_nearest_common_is_bounded(spark, monkeypatch, block, stripe):
+    """All pairs within the radii were gathered in a task's memory; of many copies no more than k rows of a centre leave a pair of blocks."""
+    monkeypatch.setattr(latent, "BLOCK", block)
+    monkeypatch.setattr(latent, "STRIPE", stripe)
+    rng = np.random.default_rng(18)
+    x = [np.concatenate([rng.normal(size=(50, 3)), np.repeat(rng.normal(size=(4, 3)), 15, axis=0), np.full((1, 3), 50.0)]) for _ in range(2)]
+    centres = [centres_of(spark, v) for v in x]
+    got = latent.nearest_common(centres, [1.5, 1.2], 4).collect()
+    blocks = -(-len(x[0]) // block)
+    assert len(got) <= 4 * len(x[0]) * blocks
+    near = latent.common_neighbours([latent.radius_pairs(c, r) for c, r in zip(centres, (1.5, 1.2))])
+    want = {(r.a, r.b, r.dist, r["rank"]) for r in latent.nearest(near, 4).collect()}
+    found = spark.createDataFrame(got, "a long, b long, dist double")
+    assert {(r.a, r.b, r.dist, r["rank"]) for r in latent.nearest(found, 4).collect()} == want and len(want) > 200
