@@ -40,28 +40,59 @@ def _rows(table: pa.Table) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
 
 
+#: Rows that are compared at once, and the share of the lengths below which a square distance by products of matrices is computed from differences.
+STRIPE, CLOSE = 256, 1e-3
+
+
+def _sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The weighted sum of the distances of each row of x to the rows of y."""
+    centre = y.mean(axis=0)
+    u, v = x - centre, y - centre
+    uu, vv = (u * u).sum(1), (v * v).sum(1)
+    if not (np.isfinite(uu).all() and np.isfinite(vv).all()):
+        return np.array([(np.sqrt(np.square(y - row).sum(axis=1)) * weight).sum() for row in x])
+    out = np.zeros(len(x))
+    for lo in range(0, len(x), STRIPE):
+        lengths = uu[lo : lo + STRIPE, None] + vv
+        square = lengths - 2 * (u[lo : lo + STRIPE] @ v.T)
+        i, j = np.nonzero(square <= CLOSE * lengths)
+        for at in range(0, len(i), 1 << 14):
+            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
+            square[a, b] = np.square(x[lo + a] - y[b]).sum(axis=1)
+        out[lo : lo + STRIPE] = np.sqrt(square) @ weight
+    return out
+
+
+def _weights(table: pa.Table) -> np.ndarray:
+    return table.column("weight").to_numpy().astype(float)
+
+
 def _between(schema: list[str]) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
     """Sum of a query's distances to a block of references, a row a query."""
 
     def run(key: tuple, queries: pa.Table, refs: pa.Table) -> pa.Table:
         if not len(queries) or not len(refs):
             return pa.table([pa.array([], t.type) for t in (queries.column("contig"), queries.column("bin"))] + [pa.array([], pa.int64()), pa.array([], pa.float64())], schema)
-        y = _rows(refs)
-        total = [float(np.sqrt(np.square(y - x).sum(axis=1)).sum()) for x in _rows(queries)]
-        return pa.table([queries.column("contig"), queries.column("bin"), pa.array([len(y)] * len(total), pa.int64()), pa.array(total, pa.float64())], schema)
+        weight = _weights(refs)
+        total = _sums(_rows(queries), _rows(refs), weight)
+        return pa.table([queries.column("contig"), queries.column("bin"), pa.array([int(weight.sum())] * len(total), pa.int64()), pa.array(total, pa.float64())], schema)
 
     return run
 
 
 def _inside(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
     """Sum of the distances between two blocks of a bin and sample; of a block and itself every pair counts once."""
-    x, y = (_rows(t) if len(t) else np.zeros((0, 1)) for t in (left, right))  # a block can be empty
-    same = key[2].as_py() == key[3].as_py()
-    if same:  # the two sides hold the same rows
-        total = sum(float(np.sqrt(np.square(y[i + 1 :] - y[i]).sum(axis=1)).sum()) for i in range(len(y)))
-    else:
-        total = sum(float(np.sqrt(np.square(y - row).sum(axis=1)).sum()) for row in x) if len(y) else 0.0
-    return pa.table([pa.array([k.as_py()], k.type) for k in key[:2]] + [pa.array([float(total)])], ["bin", "sample", "total"])
+    total = 0.0  # a block can be empty
+    if len(left) and len(right):
+        total = float(_sums(_rows(left), _rows(right), _weights(right)) @ _weights(left))
+    if key[2].as_py() == key[3].as_py():  # the two sides hold the same rows
+        total /= 2
+    return pa.table([pa.array([k.as_py()], k.type) for k in key[:2]] + [pa.array([total])], ["bin", "sample", "total"])
+
+
+def _distinct(refs: DataFrame, *keys: str) -> DataFrame:
+    """Equal vectors of a group as one, with their number and one of their names."""
+    return refs.groupBy(*keys, "pct").agg(F.min("ref").alias("ref"), F.count(F.lit(1)).alias("weight"))
 
 
 def _blocked(rows: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
@@ -73,10 +104,10 @@ def _blocked(rows: DataFrame, keys: list[str], by: str, name: str) -> DataFrame:
 def within_bins(refs: DataFrame) -> DataFrame:
     """(bin, sample, intra): the mean distance of the pairs of references (bin, sample, ref, pct) of a bin."""
     kind = {f.name: f.dataType.simpleString() for f in refs.schema}
-    dealt = materialize(_blocked(refs, ["bin", "sample"], "ref", "block"))
+    dealt = materialize(_blocked(materialize(_distinct(refs, "bin", "sample")), ["bin", "sample"], "ref", "block"))
     keys = ["bin", "sample", "i", "j"]
-    left = dealt.select("bin", "sample", "pct", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = dealt.toDF(*dealt.columns).select("bin", "sample", "pct", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"))
+    left = dealt.select("bin", "sample", "pct", "weight", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = dealt.toDF(*dealt.columns).select("bin", "sample", "pct", "weight", F.explode(F.sequence(F.lit(0).cast("long"), "block")).alias("i"), F.col("block").alias("j"))
     sums = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_inside, f"bin {kind['bin']}, sample {kind['sample']}, total double")
     counts = refs.groupBy("bin", "sample").agg(F.count(F.lit(1)).alias("n"))
     mean = F.try_divide("total", F.col("n") * (F.col("n") - 1) / 2)
@@ -115,6 +146,9 @@ def recruits(vectors: DataFrame, bins: DataFrame, lengths: DataFrame, min_bin_si
     sized = bins.join(bins.groupBy("bin").count().where(F.col("count") >= min_bin_size).select("bin"), "bin", "left_semi")
     refs = materialize(sized.join(vectors, "contig").select("bin", "sample", F.col("contig").alias("ref"), "pct"))
     queries = materialize(lengths.where((F.col("length") > longer) & (F.col("length") < shorter)).select("contig").join(vectors, "contig").select("contig", "sample", "pct"))
+    # queries of equal vectors in a sample are compared as one
+    same = queries.groupBy("sample", "pct").agg(F.min("contig").alias("one"))
+    queries = materialize(queries.join(same, ["sample", "pct"]).select("contig", "sample", "pct", "one"))
     samples = [r["sample"] for r in vectors.select("sample").distinct().orderBy("sample").collect()]  # as many as there are inputs
     kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *refs.schema]}
     width = refs.select(F.size("pct").alias("n")).first()
@@ -127,20 +161,22 @@ def recruits(vectors: DataFrame, bins: DataFrame, lengths: DataFrame, min_bin_si
     for s in samples:
         q, c = (rows.where(F.col("sample") == F.lit(s)).drop("sample") for rows in (queries, centres))
         near = left.join(c, "bin").join(q, "contig").where(_distance("pct", "centre") <= F.col("intra") * (1 + SLACK) + SLACK)
-        near = materialize(near.select("contig", "bin", "score", "intra", "size", "pct"))
-        ref = materialize(_blocked(refs.where(F.col("sample") == F.lit(s)).select("bin", "ref", "pct"), ["bin"], "ref", "block"))
-        ask = materialize(_blocked(near, ["bin"], "contig", "query").join(ref.groupBy("bin").agg(F.max("blocks").alias("blocks")), "bin"))
+        near = materialize(near.select("contig", "bin", "score", "intra", "one"))
+        ref = materialize(_distinct(refs.where(F.col("sample") == F.lit(s)), "bin"))
+        ref = materialize(_blocked(ref, ["bin"], "ref", "block"))
+        ones = near.select("bin", F.col("one").alias("contig")).distinct().join(q.where("contig = one").select("contig", "pct"), "contig")
+        ask = materialize(_blocked(materialize(ones), ["bin"], "contig", "query").join(ref.groupBy("bin").agg(F.max("blocks").alias("blocks")), "bin"))
         ref = materialize(ref.join(ask.groupBy("bin").agg(F.max("querys").alias("querys")), "bin"))
         keys = ["bin", "query", "block"]
         asks = ask.select("contig", "bin", "pct", "query", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        gives = ref.select("bin", "pct", F.explode(F.sequence(F.lit(0).cast("long"), F.col("querys") - 1)).alias("query"), "block")
+        gives = ref.select("bin", "pct", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.col("querys") - 1)).alias("query"), "block")
         parts = asks.groupBy(*keys).cogroup(gives.groupBy(*keys)).applyInArrow(_between(["contig", "bin", "n", "total"]), f"contig {kind['contig']}, bin {kind['bin']}, n bigint, total double")
         dist = materialize(parts.groupBy("contig", "bin").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("dist")))
         done, every = dist.agg(F.sum("n")).first()[0] or 0, q.count() * (c.agg(F.sum("size")).first()[0] or 0)
         log.info("recruitment, sample %s: %d distances of %d", s, done, every)
         if computed is not None:
             computed.append((done, every))
-        fits = near.select("contig", "bin", "score", "intra").join(dist, ["contig", "bin"]).where("dist <= intra")
+        fits = near.join(dist.withColumnRenamed("contig", "one"), ["one", "bin"]).where("dist <= intra")
         left = materialize(fits.select("contig", "bin", (F.col("score") + F.col("dist")).alias("score")))
     best = left.groupBy("contig").agg(F.min(F.struct((F.col("score") / len(samples)).alias("score"), "bin")).alias("v"))
     return best.select("contig", "v.bin", "v.score")

@@ -277,3 +277,31 @@ def test_recruits_send_few_copies(spark):
     """A side of some thousand vectors is one block, so that the other side is sent once."""
     rows = spark.range(5000).select((F.col("id") % 1).alias("bin"), F.col("id").alias("ref"))
     assert recruit._blocked(rows, ["bin"], "ref", "block").agg(F.max("blocks")).first()[0] == 1
+
+
+def test_distance_sums_by_products():
+    """Copies and vectors that nearly agree, far from the origin, beside others; weights count references that are one row."""
+    rng = np.random.default_rng(19)
+    y = np.concatenate([rng.normal(size=(300, 20)), 1e6 + rng.normal(size=(30, 20)), np.zeros((1, 20))])
+    x = np.concatenate([y[::7], y[::5] + 1e-7, rng.normal(size=(300, 20))])
+    weight = rng.integers(1, 5, len(y)).astype(float)
+    want = [(np.linalg.norm(y - row, axis=1) * weight).sum() for row in x]
+    assert np.allclose(recruit._sums(x, y, weight), want, rtol=1e-10, atol=0)
+    same = np.repeat(y[:1], 3, axis=0)
+    assert (recruit._sums(same, same, np.ones(3)) == 0).all()
+
+
+def test_recruits_compare_equal_vectors_once(spark):
+    """Every query was compared with every reference by itself, copies too."""
+    rng = np.random.default_rng(20)
+    kinds = np.sort(rng.normal(20, 4, (12, 2, 10)))
+    vectors = {(c, s): kinds[c % 12, s] for c in range(240) for s in range(2)}
+    bin_of, length = {c: c % 2 for c in range(60)}, {c: 1500 for c in range(240)}
+    df = spark.createDataFrame([(c, s, v.tolist()) for (c, s), v in vectors.items()], "contig long, sample int, pct array<double>")
+    computed = []
+    bins, lengths = (spark.createDataFrame(list(d.items()), f"contig long, {n} long") for d, n in ((bin_of, "bin"), (length, "length")))
+    got = {r.contig: (r.score, r.bin) for r in recruit.recruits(df, bins, lengths, computed=computed).collect()}
+    want = brute_recruits(vectors, bin_of, length)
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(got[c][1] == want[c][1] and abs(got[c][0] - want[c][0]) < 1e-9 for c in want)
+    assert all(10 * done <= every for done, every in computed), computed
